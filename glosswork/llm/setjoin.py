@@ -33,6 +33,8 @@ SKETCH, PARTS = 1 << 18, 64
 SMALL_BUCKET = 64
 #: Words of 64 bits in a set's parity bitmap: two bitmaps differ in no more bits than the sets in shingles.
 BITMAP = 8
+#: Tables of no more rows than this are broadcast (some 40 MB); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Extra segments of a band beyond the pigeonhole's need: an eighth and two; a sixteenth take one-deletion keys.
 EXTRA, DELETING = 8, 16
 
@@ -361,13 +363,14 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     large = met.filter("kind = 1").select("key", F.col("a").alias("member"), F.col("x").alias("meta"))
 
     members = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).union(large.select("member")).distinct()
-    chosen = classes.join(members, classes.d1 == members.member).select("member", "node", "low", "d2", "n")
-    found = texts.join(chosen.filter("low is not null").withColumnRenamed("low", "doc_id"), "doc_id").select("member", "d2", "node", "text")
+    chosen = cut(classes.join(members, classes.d1 == members.member).select("member", "node", "low", "d2", "n"))
+    wanted = chosen.filter("low is not null").select(F.col("low").alias("doc_id"), "member", "d2", "node")
+    found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id").select("member", "d2", "node", "text")
     if not classes.filter("low is null").isEmpty():  # rows without doc_id are found by their class
         nameless = texts.filter("doc_id is null").select("text").mapInArrow(_named(width), "member long, d2 long, text string")
         found = found.union(nameless.join(chosen.filter("low is null"), ["member", "d2"]).select("member", "d2", "node", "text"))
     sets = found.mapInArrow(_sets(width), "member long, node long, shingles binary, bits array<long>")
-    sets = cut(sets.groupBy("member", "node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")))
+    sets = cut(sets.repartition("member").groupBy("member", "node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")))
 
     links = cut(_links(pairs, sets))
     nodes = components(links)
