@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, linededup, mix, setjoin, shard, tokens
+from . import ann, chat, decontam, linededup, mix, quality, setjoin, shard, tokens, toxicity
 from .common import table
 
 #: A shard's bytes of text; the ranks of a public byte-level BPE vocabulary.
@@ -21,6 +21,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_target_examples(conversations))
 
 
+def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,14 +53,21 @@ def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_multiprobe_neighbours": op2_multiprobe_neighbours,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_extendible_sharding": op5_extendible_sharding,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_source_mixing": op7_source_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_section_tokens": op9_section_tokens,
+    "op10_toxicity_classifier": op10_toxicity_classifier,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
