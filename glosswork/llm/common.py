@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,18 +35,36 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder that the session names."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Use the shared folder that the session names; only local sessions may go without."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it again."""
+    checkpoint_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``ids``; a null doc_id stays. The ids are broadcast while they are few (some 20 MB)."""
+    ids = cut(ids.select("doc_id").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)``: one row ``(node, component)`` a node, component its smallest node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, cut, row_key
+from .common import ALNUM_WORD, ascii_lower, cut, row_key, without_ids
 
 #: Tables of no more rows than this are broadcast (some 20 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -82,6 +82,5 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with the columns of ``docs``."""
-    bad = contamination(docs, items, size).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti").select(docs.columns)
+    """The rows of ``docs`` that hold no window of an item, with the columns of ``docs``. A null doc_id stays."""
+    return without_ids(docs, contamination(docs, items, size).filter("contaminated and doc_id is not null"))

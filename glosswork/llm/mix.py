@@ -160,6 +160,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int
     plan = mixture(docs, weights, repeats, seed).groupBy("row").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.max("size").alias("size"))
     plan = plan.withColumn("copies", F.when(F.col("size") == 0, F.col("rows")).otherwise(F.col("copies"))).filter("copies > 0")
     keyed = docs.withColumn("__row", row_key("doc_id", "source", "text"))
-    one = keyed.join(plan.filter("rows = 1").select(F.col("row").alias("__row"), "copies").withColumnRenamed("copies", "__copies"), "__row")
-    several = keyed.join(plan.filter("rows > 1").select(F.col("row").alias("__row"), F.col("copies").alias("__copies")), "__row").dropDuplicates(["__row"])
-    return one.unionByName(several).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    plan = cut(plan.select(F.col("row").alias("__row"), F.col("copies").alias("__copies"), "rows"))
+    several = plan.filter("rows > 1")
+    taken = keyed.join(plan.filter("rows = 1").drop("rows"), "__row")
+    if not several.isEmpty():
+        taken = taken.unionByName(keyed.join(several.drop("rows"), "__row").dropDuplicates(["__row"]))
+    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)

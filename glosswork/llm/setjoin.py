@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, cut, mix64, pieces, shingle_sets
+from .common import batches, components, cut, mix64, pieces, shingle_sets, without_ids
 
 #: Counters of the document-frequency sketch (4 bytes each) and the parts in which it is summed.
 SKETCH, PARTS = 1 << 18, 64
@@ -397,11 +397,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with the row of smallest doc_id of each group of near duplicates; rows without words all stay.
 
-    Of repeated rows with that doc_id, one stays. Columns are those of ``docs``.
+    Of repeated rows with that doc_id and equal text, one stays. Columns are those of ``docs``.
     """
-    found = near_duplicates(docs, width)
-    drop = found.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    repeated = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(twice).select(docs.columns)
+    found = cut(near_duplicates(docs, width))
+    kept = without_ids(docs, found.filter("n_shingles > 0 and doc_id <> component_id"))
+    repeated = cut(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once.select(docs.columns))
