@@ -30,8 +30,9 @@ IDENTITY_TERMS = (
 )
 #: Labelled documents of each class that the fit reads at most, and the features that it keeps at most.
 MOST_ROWS, MOST_FEATURES = 8_000, 8_192
-#: A feature is a hash of so many bits of a window of so many bytes of a word and its start.
-BITS, WIDTH = 20, 5
+#: Features are hashes of so many bits: of all windows of WIDTH bytes within a word, and of windows of STARTS bytes
+#: at its beginning. The space on either side of a word counts as a part of it.
+BITS, WIDTH, STARTS = 20, 5, (7, 9, 11)
 
 
 def swapped(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> str:
@@ -45,22 +46,26 @@ _PLAIN = np.array([i if (97 <= i <= 122 or 48 <= i <= 57 or i >= 128) else 32 fo
 
 
 def features(text: str) -> np.ndarray:
-    """Hashes of all windows of WIDTH bytes in the lower-cased text that lie within a word, its two spaces included; repeats stay."""
+    """Hashes of the lower-cased text's windows, repeats included."""
+    widest = max(WIDTH, *STARTS)
     data = _PLAIN[np.frombuffer(f" {text.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)]
+    data = np.concatenate((data, np.full(widest, 32, np.uint8)))
     out = []
-    for at in range(0, max(1, len(data) - WIDTH + 1), PIECE_BYTES):
-        piece = data[at : at + PIECE_BYTES + WIDTH - 1].astype(np.uint64)
-        n = len(piece) - WIDTH + 1
-        if n <= 0:
-            continue
-        window = np.zeros(n, np.uint64)
-        inner = np.ones(n, bool)
-        for j in range(WIDTH):
-            window = (window << np.uint64(8)) | piece[j : j + n]
-            if 0 < j < WIDTH - 1:
-                inner &= piece[j : j + n] != 32
-        out.append((mix64(window[inner]) >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.concatenate(out) if out else np.empty(0, np.int64)
+    for at in range(0, len(data) - widest + 1, PIECE_BYTES):
+        piece = data[at : at + PIECE_BYTES + widest - 1].astype(np.uint64)
+        n = len(piece) - widest + 1
+        space = piece == 32
+        hashed = np.zeros(n, np.uint64)
+        inner = np.ones(n, bool)  # whether all bytes but the first and the last are of one word
+        for j in range(widest):
+            hashed = hashed * np.uint64(0x100000001B3) + piece[j : j + n]
+            if j + 1 == WIDTH:
+                out.append(mix64(hashed[inner]))
+            elif j + 1 in STARTS:
+                out.append(mix64(hashed[inner & space[:n]] + np.uint64(j)))
+            if j:
+                inner = inner & ~space[j : j + n]
+    return (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _extract(groups):
