@@ -169,11 +169,11 @@ def distinct_but_for_case(items: Column) -> Column:
 
 def within_budget(items: Column, budget: Column, most: int) -> Column:
     """The first items whose lengths, plus two each, stay within the budget; the first overflow ends it."""
-    start = F.struct(budget.cast("int").alias("left"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("kept"))
+    start = F.struct(budget.cast("int").alias("room"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
 
     def take(acc: Column, x: Column) -> Column:
-        left = acc.left - F.char_length(x) - 2
-        over = acc.over | (left < 0) | (F.size(acc.kept) >= most)
-        return F.struct(F.when(over, acc.left).otherwise(left).cast("int").alias("left"), over.alias("over"), F.when(over, acc.kept).otherwise(F.array_append(acc.kept, x)).alias("kept"))
+        left = acc.room - F.char_length(x) - 2
+        over = acc.full | (left < 0) | (F.size(acc.kept) >= most)
+        return F.struct(F.when(over, acc.room).otherwise(left).cast("int").alias("room"), over.alias("full"), F.when(over, acc.kept).otherwise(F.array_append(acc.kept, x)).alias("kept"))
 
     return F.aggregate(items, start, take, lambda acc: acc.kept)

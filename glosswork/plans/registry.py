@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_queries
+from . import facts_queries, table_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (text_queries,):
+for _part in (text_queries, table_queries, facts_queries):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 
