@@ -5,7 +5,7 @@ A facts column is a struct; fields that it lacks count as null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -89,10 +89,14 @@ class Facts:
             return F.when(known | seen, acc).otherwise(more)
 
         picked = F.aggregate(short, start, pick, lambda acc: acc.picked)
-        kept = F.transform(within_budget(picked, F.lit(budget - len(" Also visible: .")) - F.char_length(base) - 1, most), lower_lead)
-        n = F.size(kept)
-        detail = F.when(n == 1, F.element_at(kept, 1)).otherwise(F.concat(F.array_join(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.try_element_at(kept, F.lit(-1))))
-        return F.when(base == "", F.lit("")).when(n == 0, F.concat(base, F.lit("."))).otherwise(F.concat(base, F.lit(". Also visible: "), detail, F.lit(".")))
+        kept = F.transform(within_budget(picked, F.lit(budget - len(" Also visible: .")) - F.char_length(base) - 1, most), lambda x: lower_lead(x))
+
+        def told(k: Column) -> Column:
+            n = F.size(k)
+            detail = F.when(n == 1, F.get(k, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(k, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(", and "), F.try_element_at(k, F.lit(-1))))
+            return F.when(n == 0, F.concat(base, F.lit("."))).otherwise(F.concat(base, F.lit(". Also visible: "), detail, F.lit(".")))
+
+        return F.when(base == "", F.lit("")).otherwise(let(kept, told))
 
     def enriched(self, caption: Column, enough: int = 34, budget: int = 292, most: int = 3) -> Column:
         """A caption of fewer words than enough, with phrases that it lacks appended within the budget."""
@@ -101,24 +105,21 @@ class Facts:
         fresh = F.filter(tidy, lambda x: (x != "") & (F.size(words(x)) <= 8) & ~F.contains(low, F.lower(x)) & ~F.exists(F.split(F.lower(x), " "), lambda w: (F.char_length(w) > 4) & F.contains(low, w)))
         cut = F.rtrim(caption)
         joined = F.when(F.endswith(cut, F.lit(".")), cut).otherwise(F.concat(cut, F.lit(".")))
-        kept = F.transform(within_budget(distinct_but_for_case(fresh), F.lit(budget - len(" In the background, .")) - F.char_length(joined), most), lower_lead)
-        n = F.size(kept)
-        detail = F.when(n <= 2, F.array_join(kept, " and ")).otherwise(F.concat(F.array_join(F.slice(kept, 1, 2), ", "), F.lit(", and "), F.try_element_at(kept, F.lit(-1))))
-        return F.when((word_count(caption) >= enough) | (n == 0), caption).otherwise(F.concat(joined, F.lit(" In the background, "), detail, F.lit(".")))
+        kept = F.transform(within_budget(distinct_but_for_case(fresh), F.lit(budget - len(" In the background, .")) - F.char_length(joined), most), lambda x: lower_lead(x))
+        told = let(kept, lambda k: F.when(F.size(k) == 0, caption).otherwise(F.concat(joined, F.lit(" In the background, "), _three(k), F.lit("."))))
+        return F.when(word_count(caption) >= enough, caption).otherwise(told)
 
     def formal_or(self, caption: Column, enough: int = 20) -> Column:
         """The built formal caption if it has enough words, else the given one, enriched."""
-        built = self.formal()
-        return F.when(word_count(built) >= enough, built).otherwise(self.enriched(caption))
+        return let(self.formal(), lambda built: F.when(word_count(built) >= enough, built).otherwise(self.enriched(caption)))
 
     def evidence_caption(self, style: Column, caption: Column, cap: int = 300) -> Column:
         """Formal captions only: the summary and the first three phrases that it lacks."""
         own = F.rtrim(F.trim(self.text("summary")), F.lit("."))
         base = F.when(F.trim(self.text("summary")) != "", own).otherwise(F.rtrim(F.trim(caption), F.lit(".")))
         lacking = F.slice(F.filter(self.evidence_phrases(), lambda x: ~F.contains(F.lower(base), F.lower(x))), 1, 3)
-        n = F.size(lacking)
-        detail = F.when(n <= 2, F.array_join(lacking, " and ")).otherwise(F.concat(F.array_join(F.slice(lacking, 1, 2), ", "), F.lit(", and "), F.try_element_at(lacking, F.lit(-1))))
-        return F.when((style != "formal") | (n == 0), caption).otherwise(F.trim(F.left(F.concat(base, F.lit(", with "), detail, F.lit(".")), F.lit(cap))))
+        told = let(lacking, lambda k: F.when(F.size(k) == 0, caption).otherwise(F.trim(F.left(F.concat(base, F.lit(", with "), _three(k), F.lit(".")), F.lit(cap)))))
+        return F.when(style != "formal", caption).otherwise(told)
 
     def issues(self, style: Column, caption: Column, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS) -> Column:
         found = evidence_tokens(caption, stop)
@@ -156,15 +157,25 @@ def static_fallback(style: Column, static: dict[str, str] | None = None) -> Colu
     return reduce(lambda c, s: c.when(style == s, static[s]), static, F.when(F.lit(False), "")).otherwise(static["formal"])
 
 
+def _three(items: Column) -> Column:
+    """One to three items: "a", "a and b", "a, b, and c"."""
+    return F.when(F.size(items) <= 2, F.array_join(items, " and ")).otherwise(F.concat(F.array_join(F.slice(items, 1, 2), ", "), F.lit(", and "), F.try_element_at(items, F.lit(-1))))
+
+
 def _by_style(style: Column) -> list[Column]:
     rows = rules.EVIDENCE
     return [reduce(lambda c, s: c.when(style == s, rows[s][i]), rows, F.when(F.lit(False), 0)).otherwise(rules.EVIDENCE_OTHERWISE[i]) for i in range(4)]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def distinct_but_for_case(items: Column) -> Column:
     """Items in order of first occurrence, those that differ only in case once."""
-    low = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    once = lambda all_, low: F.filter(all_, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return let(items, lambda a: let(F.transform(a, lambda x: F.lower(x)), lambda low: once(a, low)))
 
 
 def within_budget(items: Column, budget: Column, most: int) -> Column:
