@@ -122,8 +122,11 @@ def _descend(labels: np.ndarray, own: list, other: list, size: int, swap: float,
     share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     w, b = np.zeros(size), 0.0
     v, vb, t = w.copy(), b, 1.0
-    active = np.bincount(r, minlength=n).max(initial=1)
-    step = 4.0 / (active + 1)
+    # the trace bounds the curvature, of the loss and of the penalty
+    curve = 0.25 * float((share * (np.bincount(r, minlength=n) + 1)).sum()) + ridge
+    if len(has):
+        curve += 2 * swap * float(np.mean([len(set(own[i]) ^ set(other[i])) for i in has]))
+    step = 1.0 / curve
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for _ in range(rounds):
         z = np.bincount(r, v[c], minlength=n) + vb
