@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import rules
 from .checks import words
@@ -70,7 +71,7 @@ def best_object_of(text: str | None) -> str | None:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def best_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """best_object_of over a column; nested braces need a scanner that SQL doesn't have."""
     for t in texts:
