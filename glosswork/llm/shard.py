@@ -25,8 +25,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def assign(docs: DataFrame, limit: int) -> DataFrame:
-    """One row per row of ``docs``: doc_id, bytes, shard, depth, shard_bytes, shard_rows.
+def _key() -> Column:
+    return _address(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def assign(docs: DataFrame, limit: int, rows_too: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, bytes, shard, depth, shard_bytes, shard_rows; with ``rows_too`` also row, a hash of doc_id and text.
 
     bytes are those of the text in UTF-8. The shard is a prefix of the row's address, the MD5 of doc_id and text. The
     directory starts as one bucket (the empty prefix); a bucket of more than ``limit`` bytes splits on the next bit.
@@ -36,11 +40,11 @@ def assign(docs: DataFrame, limit: int) -> DataFrame:
     one of them get the address of an ordinal, so a key with any share of the rows splits like others.
     Null doc_id and null text count as the strings "null" and "". An empty table gives no rows.
     """
-    slim = docs.select(F.col("doc_id"), F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("bytes"), _address(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("key"))
+    slim = docs.select(F.col("doc_id"), F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("bytes"), _key().alias("key"))
     counted = slim.groupBy("key", "doc_id", "bytes").agg(F.count("*").alias("copies"))
     runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {RUN}"))))
     each = runs.withColumn("ordinal", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("copies"), (F.col("run") + 1) * RUN) - 1)))
-    rows = cut(each.select("doc_id", "bytes", F.when(F.col("ordinal") == 0, F.col("key")).otherwise(_address(F.concat("key", F.lit("#"), F.col("ordinal").cast("string")))).alias("key")))
+    rows = cut(each.select("doc_id", "bytes", F.when(F.col("ordinal") == 0, F.col("key")).otherwise(_address(F.concat("key", F.lit("#"), F.col("ordinal").cast("string")))).alias("key"), *([F.xxhash64("key").alias("row")] if rows_too else [])))
 
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     low, high = 0, min(BITS, math.ceil(math.log2(max(1, total / limit))) + MORE)
@@ -52,7 +56,7 @@ def assign(docs: DataFrame, limit: int) -> DataFrame:
         buckets = levels.groupBy("depth", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_rows")).filter(fits | (F.col("shard_rows") == 1) | (F.col("depth") == BITS))
         directory = cut(levels.join(buckets, ["depth", "shard"]).groupBy("leaf").agg(F.min(F.struct("depth", "shard", "shard_bytes", "shard_rows")).alias("bucket")))
         here = open_rows.withColumn("leaf", F.substring("key", 1, high))
-        found = here.join(_small(directory), "leaf").select("doc_id", "bytes", "bucket.shard", "bucket.depth", "bucket.shard_bytes", "bucket.shard_rows")
+        found = here.join(_small(directory), "leaf").select("doc_id", "bytes", "bucket.shard", "bucket.depth", "bucket.shard_bytes", "bucket.shard_rows", *(["row"] if rows_too else []))
         placed = found if placed is None else placed.unionByName(found)
         oversized = leaves.join(directory, "leaf", "left_anti").select("leaf")
         if high == BITS or oversized.isEmpty():
@@ -62,10 +66,9 @@ def assign(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """Write ``docs`` as Parquet, one folder a shard; equal rows may change places among each other."""
-    keys = ["doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("bytes")]
-    shards = assign(docs, limit).select("doc_id", "bytes", "shard").distinct()
-    texts = docs.select("*", keys[1])
-    one = shards.groupBy("doc_id", "bytes").agg(F.min("shard").alias("shard"))
-    joined = texts.join(one, texts.doc_id.eqNullSafe(one.doc_id) & (texts.bytes == one.bytes)).drop(one.doc_id).drop(one.bytes).drop(texts.bytes)
-    joined.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Write ``docs`` as Parquet, one folder for each shard. Equal rows each have a shard of their own."""
+    placed = cut(assign(docs, limit, True).select("row", F.concat(F.lit("s"), "shard").alias("shard")))
+    keyed = docs.withColumn("row", F.xxhash64(_key()))
+    repeated = cut(placed.groupBy("row").count().filter("count > 1").select("row"))
+    once = keyed if repeated.isEmpty() else keyed.join(repeated, "row", "left_anti").unionByName(keyed.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
+    once.join(placed, "row").drop("row").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -255,6 +255,14 @@ def test_shards(spark):
     assert shard.assign(docs_of(spark, rows).limit(0), 4000).count() == 0
 
 
+def test_write_shards(spark, tmp_path):
+    df = docs_of(spark, [(i, "z" * 60) for i in range(40)] + [(7, "same " * 20)] * 30 + [(None, None)]).drop("row")
+    shard.write_shards(df, 500, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
+    assert all(r["b"] <= 500 for r in back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect() if r["b"])
+
+
 def test_shards_beyond_the_first_bits(spark, monkeypatch):
     monkeypatch.setattr(shard, "MORE", 1)
     rows = [(i, "y" * 100) for i in range(200)]

@@ -21,6 +21,19 @@ def test_pipeline(spark, data):
     assert out.count() == docs.count()
 
 
+def test_stages_with_odd_rows(spark, data):
+    own = spark.read.parquet(f"{data}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (5, None, "en", None, 0), (5, None, "en", None, 0), (-1, "", "en", "s", 0), (-2, "a b " * 3000, "en", "s", 9)], own.schema)
+    docs = own.limit(60).unionByName(odd).withColumn("count", F.lit(2)).withColumn("row", F.lit("x"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, data).columns == docs.columns
+        stage(spark, docs, data).collect()
+        assert stage(spark, docs.limit(0), data).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
+    kept = corpus_pipeline.distinct(spark, docs, data)
+    assert kept.filter("text is null").count() == 3  # rows without words all stay
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, data, name):
     con = duckdb.connect()
