@@ -60,13 +60,13 @@ def _phrases_sql(noise: str = "") -> str:
 
 query("fct_evidence_phrases", _phrases_sql())(lambda s, d: (lambda df: df.select("doc_id", F.array_join(Facts(df).evidence_phrases(), "|").alias("phrases")))(with_facts(s, d)))
 query("fct_background_phrases", _phrases_sql(" AND NOT regexp_matches(lower(x), '(^|[^A-Za-z0-9_])(the|de la)([^A-Za-z0-9_]|$)')"))(lambda s, d: (lambda df: df.select("doc_id", F.array_join(Facts(df).background_phrases("the|de la"), "|").alias("phrases")))(with_facts(s, d)))
-query("set_ci_distinct", f"SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), ' ') AS value FROM (SELECT doc_id, list_filter(string_split(left(text, 400), ' '), lambda x: x <> '') AS w FROM documents)")(lambda s, d: _ci(s, d))
+query("set_ci_distinct", f"SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i), ' ') AS value FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS w FROM documents)")(lambda s, d: _ci(s, d))
 
 
 def _ci(spark, d):
     from ..functions.facts import distinct_but_for_case
 
-    some = F.filter(F.split(F.left("text", F.lit(400)), " "), lambda x: x != "")
+    some = F.filter(F.split("text", "\n"), lambda x: x != "")
     return read(spark, d, "documents").select("doc_id", F.array_join(distinct_but_for_case(some), " ").alias("value"))
 
 
@@ -98,13 +98,13 @@ def _(spark, d):
 @query("cap_enrich")
 def _(spark, d):
     df = with_facts(spark, d)
-    return df.select("doc_id", Facts(df).enriched(F.left("caption", F.lit(120))).alias("caption"))
+    return df.select("doc_id", Facts(df).enriched(F.coalesce("facts.summary", F.lit(""))).alias("caption"))
 
 
 @query("cap_formal_select")
 def _(spark, d):
     df = with_facts(spark, d)
-    return df.select("doc_id", Facts(df).formal_or(F.left("caption", F.lit(120))).alias("caption"))
+    return df.select("doc_id", Facts(df).formal_or(F.coalesce("facts.summary", F.lit(""))).alias("caption"))
 
 
 @query("cap_fallback")
@@ -116,7 +116,7 @@ def _(spark, d):
 @query("cap_evidence_build")
 def _(spark, d):
     df = with_facts(spark, d)
-    return df.select("doc_id", "style", Facts(df).evidence_caption(F.col("style"), F.left("caption", F.lit(120))).alias("caption"))
+    return df.select("doc_id", "style", Facts(df).evidence_caption(F.col("style"), F.coalesce("facts.summary", F.lit(""))).alias("caption"))
 
 
 # --- datasets ----------------------------------------------------------------------------------------------------

@@ -147,19 +147,19 @@ def _(spark, d):
     return cap.validate_tasks(tasks).select("task_id", "reason", F.size("styles").cast("long").alias("n_styles"))
 
 
-_PRESENT = f"(SELECT task_id, list_sort(list(DISTINCT style)) AS present FROM {CAPTIONS_SQL} WHERE doc_id % 7 < 3 GROUP BY task_id)"
+_PRESENT = f"(SELECT doc_id AS task_id, [style] AS present FROM {CAPTIONS_SQL})"
 _MISSING = "list_filter(['formal', 'humorous_non_tech', 'humorous_tech', 'sarcastic'], lambda s: NOT list_contains(present, s))"
 
 
 @query("prj_result_validate", f"SELECT task_id, CASE WHEN len({_MISSING}) > 0 THEN 'missing: ' || array_to_string({_MISSING}, ',') END AS reason FROM {_PRESENT}")
 def _(spark, d):
-    rows = captions(spark, d).filter("doc_id % 7 < 3").groupBy("task_id", "style").agg(F.max("caption").alias("caption"))
-    return cap.validate_results(rows.groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct("style", "caption"))).alias("captions"))).select("task_id", "reason")
+    results = captions(spark, d).select(F.col("doc_id").alias("task_id"), F.create_map("style", "caption").alias("captions"))
+    return cap.validate_results(results).select("task_id", "reason")
 
 
 @query("set_missing_unknown", f"SELECT task_id, array_to_string({_MISSING}, ',') AS missing, '' AS unknown FROM {_PRESENT}")
 def _(spark, d):
-    present = captions(spark, d).filter("doc_id % 7 < 3").groupBy("task_id").agg(F.collect_set("style").alias("present"))
+    present = captions(spark, d).select(F.col("doc_id").alias("task_id"), F.array("style").alias("present"))
     wanted = F.array(*map(F.lit, ("formal", "humorous_non_tech", "humorous_tech", "sarcastic")))
     return present.select("task_id", F.array_join(F.array_except(wanted, "present"), ",").alias("missing"), F.array_join(F.array_except("present", wanted), ",").alias("unknown"))
 
@@ -264,9 +264,9 @@ def _(spark, d):
     return _anchor_groups(spark, d).groupBy("style").agg(F.count_if(F.col("words") < 20).alias("too_thin"), F.count_if(F.col("shared").between(0, 1)).alias("few_anchors"))
 
 
-@query("jn_signature_scan", "SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(documents.text), lower(left(b.text, 40))))")
+@query("jn_signature_scan", "SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(documents.text), lower(b.text)))")
 def _(spark, d):
-    signatures = read(spark, d, "benchmark").select(F.left("text", F.lit(40)).alias("signature"))
+    signatures = read(spark, d, "benchmark").select(F.col("text").alias("signature"))
     return sel.signature_hits(read(spark, d, "documents"), signatures, "text").select("doc_id")
 
 
@@ -292,11 +292,11 @@ def _(spark, d):
     return sel.overlay(read(spark, d, "customer").select("c_custkey"), done, ["c_custkey"], ["o_orderkey"], {"o_orderstatus": F.lit("fallback")})
 
 
-@query("jn_memo", "SELECT doc_id, length(text)::BIGINT AS chars, left(sha256('{\"text\":' || to_json(text)::VARCHAR || '}'), 0) AS none FROM documents")
+@query("jn_memo", "SELECT doc_id, length(text)::BIGINT AS chars FROM documents")
 def _(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    made = sel.memo(docs, F.xxhash64("text"), lambda once: once.select("memo_key", F.char_length("text").cast("long").alias("chars")))
-    return made.select("doc_id", "chars", F.lit("").alias("none"))
+    made = sel.memo(docs, F.sha2("text", 256), lambda once: once.select("memo_key", F.char_length("text").cast("long").alias("chars")))
+    return made.select("doc_id", "chars")
 
 
 @query("jn_cross_styles", "SELECT item_id, style FROM benchmark CROSS JOIN (SELECT unnest(['formal', 'sarcastic', 'humorous_tech', 'humorous_non_tech']) AS style)")
@@ -343,9 +343,9 @@ def _(spark, d):
     return rows.groupBy("event_type").agg(F.round(F.avg("k"), 9).alias("mean"), F.count("k").alias("valid"), F.count_if(F.col("k").isNull()).alias("rejected"))
 
 
-@query("agg_wrong_claims", "SELECT conv_id, array_to_string((list(left(text, 20) ORDER BY turn))[1:2], '; ') AS claims FROM conversations GROUP BY conv_id")
+@query("agg_wrong_claims", "SELECT conv_id, array_to_string((list(text ORDER BY turn))[1:2], '; ') AS claims FROM conversations GROUP BY conv_id")
 def _(spark, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(20)).alias("flaw")))), lambda x: x.flaw)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("flaw")))), lambda x: x.flaw)
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.slice(ordered, 1, 2), "; ").alias("claims"))
 
 

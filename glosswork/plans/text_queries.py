@@ -117,7 +117,7 @@ def _t() -> Column:
 QUERIES["txt_clean"] = lambda s, d: read(s, d, "documents").select("doc_id", text.clean(_t()).alias("value"))
 ORACLES["txt_clean"] = f"SELECT doc_id, clean AS value FROM {sql_clean('documents', 'text', 'doc_id')}"
 _docs("txt_truncate", lambda: text.truncate(_t()), sql_truncate("text"))
-_docs("txt_direction", lambda: text.neutral_directions(F.concat(F.left(_t(), F.lit(40)), F.lit(" it sits to her left side, onto its right side."))), sql_directions("left(text, 40) || ' it sits to her left side, onto its right side.'"))
+_docs("txt_direction", lambda: text.neutral_directions(F.concat(_t(), F.lit(" it sits to her left side, onto its right side."))), sql_directions("text || ' it sits to her left side, onto its right side.'"))
 QUERIES["txt_strip_fillers"] = lambda s, d: read(s, d, "conversations").select("conv_id", "turn", text.without_hedges(F.concat(F.lit("mission - Probably, "), _t(), F.lit(" , maybe .")), rules.HEDGES).alias("value"))
 ORACLES["txt_strip_fillers"] = r"""SELECT conv_id, turn, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace('mission - Probably, ' || text || ' , maybe .', '(?i)(probably|maybe|perhaps|apparently)[ ,]*', '', 'g'), '\s{2,}', ' ', 'g'), ' .', '.'), ' ,', ','), ',\s*([.!?])', '\1', 'g')) AS value FROM conversations"""
 _over("part", "p_partkey", "txt_neutralise_attrs", lambda: text.neutral_attributes(F.concat(F.col("p_name"), F.lit(" near a Red sports car with a ring on her left hand")), rules.COLOURS, (*rules.COLOURED_NOUNS, "widget", "bolt")), f"regexp_replace(regexp_replace(p_name || ' near a Red sports car with a ring on her left hand', '(?i)(^|[^A-Za-z0-9_]){text.any_of(rules.COLOURS)}(-framed|-colored|-coloured)?\\s+([A-Za-z0-9_]+\\s+)?{text.any_of((*rules.COLOURED_NOUNS, 'widget', 'bolt'))}([^A-Za-z0-9_]|$)', '\\1\\5\\6', 'g'), 'ring on her left finger', 'a ring', 'g')")
@@ -186,9 +186,9 @@ _docs("fn_csv_order", lambda: F.concat_ws("|", jsonx.model_candidates(F.col("lan
 _over("supplier", "s_suppkey", "fn_provider_name", lambda: F.concat(F.when(F.startswith(F.col("s_name"), F.lit("Supplier#")), F.lit("supplier:")).otherwise("other:"), F.element_at(F.split("s_name", "#", 2), -1)), "'supplier:' || split_part(s_name, '#', 2)")
 _over("events", "event_id", "fn_retry_wait", lambda: jsonx.retry_wait(F.when(F.pmod("event_id", F.lit(5)) == 0, "soon").otherwise(F.col("value").cast("string")), F.pmod("event_id", F.lit(4))), "CASE WHEN event_id % 5 = 0 THEN least(2.0 + event_id % 4, 8.0) WHEN value > 60 THEN -1.0 ELSE least(value + event_id % 4, 8.0) END::DOUBLE")
 _over("events", "event_id", "fn_time_label", lambda: jsonx.time_label(F.pmod("event_id", F.lit(8)) + 1, F.lit(8), F.col("value")), "'Frame ' || (event_id % 8 + 1) || '/8 at ' || (floor(value)::BIGINT // 60) || ':' || lpad((floor(value)::BIGINT % 60)::VARCHAR, 2, '0')")
-_docs("fn_data_uri", lambda: jsonx.data_uri(F.encode(F.left(_t(), F.lit(50)), "UTF-8"), "text/plain"), "'data:text/plain;base64,' || base64(encode(left(text, 50)))")
-_docs("fn_join_human", lambda: text.human_list(F.filter(F.split(F.left(_t(), F.lit(12)), " "), lambda x: x != "")), "CASE len(w) WHEN 0 THEN 'nothing' WHEN 1 THEN w[1] WHEN 2 THEN w[1] || ' and ' || w[2] ELSE w[1] || ', ' || w[2] || ', and ' || w[3] END")
-ORACLES["fn_join_human"] = ORACLES["fn_join_human"].replace("FROM documents", "FROM (SELECT doc_id, list_filter(string_split(left(text, 12), ' '), lambda x: x <> '') AS w FROM documents)")
+_docs("fn_data_uri", lambda: jsonx.data_uri(F.encode(_t(), "UTF-8"), "text/plain"), "'data:text/plain;base64,' || base64(encode(text))")
+_docs("fn_join_human", lambda: text.human_list(F.filter(F.split(_t(), " "), lambda x: x != "")), "CASE len(w) WHEN 0 THEN 'nothing' WHEN 1 THEN w[1] WHEN 2 THEN w[1] || ' and ' || w[2] ELSE w[1] || ', ' || w[2] || ', and ' || w[3] END")
+ORACLES["fn_join_human"] = ORACLES["fn_join_human"].replace("FROM documents", "FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)")
 QUERIES["fn_cap_transcript"] = lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg(F.left(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), " ")), F.lit(1200)).alias("value"))
 ORACLES["fn_cap_transcript"] = "SELECT conv_id, left(trim(string_agg(text, ' ' ORDER BY turn, text)), 1200) AS value FROM conversations GROUP BY conv_id"
 _docs("flt_payload_size", lambda: io.payload_fits([F.col("text"), F.col("source")], 3000), "octet_length(encode(text)) + octet_length(encode(source)) <= 3000")
