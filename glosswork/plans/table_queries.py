@@ -482,7 +482,7 @@ def _times(spark, d):
 _TIMES_SQL = "(SELECT user_id, list_sort(list((epoch_us(ts) % 1000000000) / 1e6)) AS times FROM events GROUP BY user_id)"
 query("tl_default_duration", f"SELECT user_id, dur FROM {_SPAN_SQL}")(lambda s, d: _spans(s, d))
 query("tl_uniform", f"SELECT user_id, i, round_even(i * greatest(dur / 7, 0.1), 1) AS t FROM {_SPAN_SQL}, (SELECT unnest(range(1, 7)) AS i)")(lambda s, d: _spans(s, d).select("user_id", F.posexplode(tl.uniform(F.col("dur"), 6, 1)).alias("i", "t")).withColumn("i", (F.col("i") + 1).cast("long")))
-query("tl_anchored", f"SELECT user_id, i, floor(greatest(0.1, dur * (0.02 + 0.96 * (i - 1) / 5.0::DOUBLE)))::BIGINT AS t FROM {_SPAN_SQL}, (SELECT unnest(range(1, 7)) AS i)")(lambda s, d: _spans(s, d).select("user_id", F.posexplode(tl.anchored(F.col("dur"), 6)).alias("i", "t")).select("user_id", (F.col("i") + 1).cast("long").alias("i"), F.floor("t").alias("t")))
+query("tl_anchored", f"SELECT user_id, i, floor(round_even(greatest(0.1, dur * (0.02 + 0.96 * (i - 1) / 5.0::DOUBLE)), 3))::BIGINT AS t FROM {_SPAN_SQL}, (SELECT unnest(range(1, 7)) AS i)")(lambda s, d: _spans(s, d).select("user_id", F.posexplode(tl.anchored(F.col("dur"), 6)).alias("i", "t")).select("user_id", (F.col("i") + 1).cast("long").alias("i"), F.floor("t").alias("t")))
 
 
 @query("tl_scene_cuts", "SELECT user_id, t FROM (SELECT user_id, epoch_us(ts) AS t, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts)) AS change FROM events) WHERE change > 35 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t) <= 5")
@@ -490,7 +490,7 @@ def _(spark, d):
     return tl.cuts(read(spark, d, "events").select("user_id", _micros().alias("at"), "value"), "user_id", "at", "value", 35.0, 5)
 
 
-@query("tl_hybrid", f"SELECT user_id, array_to_string(list_transform((list_slice(times, 1, 4) || list_transform(range(1, 9 - least(len(times), 4)), lambda i: i * greatest(dur / (9 - least(len(times), 4)), 0.1)))[1:8], lambda x: floor(x)::BIGINT), ',') AS times FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id)")
+@query("tl_hybrid", f"SELECT user_id, array_to_string(list_transform((list_slice(times, 1, 4) || list_transform(range(1, 9 - least(len(times), 4)), lambda i: round_even(i * greatest(dur / (9 - least(len(times), 4)), 0.1), 3)))[1:8], lambda x: floor(x)::BIGINT), ',') AS times FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id)")
 def _(spark, d):
     both = _times(spark, d).join(_spans(spark, d), "user_id")
     return both.select("user_id", F.array_join(F.transform(tl.hybrid(F.col("times"), F.col("dur"), 8), lambda x: F.floor(x).cast("string")), ",").alias("times"))
