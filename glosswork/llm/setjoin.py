@@ -332,11 +332,23 @@ def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep))], ["u", "v"])
 
 
+def _differing(p: str, q: str) -> str:
+    """SQL for the number of bits in which two bitmaps differ."""
+    return " + ".join(f"bit_count({p}[{i}] ^ {q}[{i}])" for i in range(BITMAP))
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of members whose shingle sets are similar, as nodes (u, v)."""
-    left = sets.select(F.col("member").alias("a"), F.col("node").alias("u"), F.col("shingles").alias("first"))
-    right = sets.select(F.col("member").alias("b"), F.col("node").alias("v"), F.col("shingles").alias("second"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").filter("u <> v").select("u", "v", "first", "second").mapInArrow(_verify, "u long, v long")
+    """The pairs (a, b) of members whose shingle sets are similar, as nodes (u, v).
+
+    Bitmaps and sizes are joined first; the sets themselves only for pairs that these don't rule out.
+    """
+    light = sets.select("member", "node", "bits", F.expr("octet_length(shingles) div 8").alias("n"))
+    left = light.select(F.col("member").alias("a"), F.col("node").alias("u"), F.col("bits").alias("p"), "n")
+    right = light.select(F.col("member").alias("b"), F.col("node").alias("v"), F.col("bits").alias("q"), F.col("n").alias("m"))
+    near = pairs.select("a", "b").join(left, "a").join(right, "b").filter(F.expr(f"u <> v and {_differing('p', 'q')} <= (n + m) div 9")).select("a", "b", "u", "v")
+    first = sets.select(F.col("member").alias("a"), F.col("node").alias("u"), F.col("shingles").alias("first"))
+    second = sets.select(F.col("member").alias("b"), F.col("node").alias("v"), F.col("shingles").alias("second"))
+    return near.join(first, ["a", "u"]).join(second, ["b", "v"]).select("u", "v", "first", "second").mapInArrow(_verify, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -381,8 +393,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     rest = large.join(apart, "key").join(label, "member").withColumn("size", F.expr("meta div 4"))
     one = rest.filter("meta & 2 > 0").select("key", F.col("member").alias("a"), F.col("size").alias("n"), F.col("component").alias("c"), F.col("bits").alias("p"))
     two = rest.filter("meta & 1 > 0").select("key", F.col("member").alias("b"), F.col("size").alias("m"), F.col("component").alias("d"), F.col("bits").alias("q"))
-    differing = " + ".join(f"bit_count(p[{i}] ^ q[{i}])" for i in range(BITMAP))
-    more = one.alias("one").join(two.alias("two"), F.expr(f"one.key = two.key and c <> d and 5 * least(n, m) >= 4 * greatest(n, m) and {differing} <= (n + m) div 9"))
+    more = one.alias("one").join(two.alias("two"), F.expr(f"one.key = two.key and c <> d and 5 * least(n, m) >= 4 * greatest(n, m) and {_differing('p', 'q')} <= (n + m) div 9"))
     more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not more.isEmpty():
         nodes = components(links.union(_links(more, sets)))
