@@ -1,9 +1,10 @@
-"""Substring dedup by hashing lines, and the sentences within lines, over the whole corpus."""
+"""Substring dedup by hashing the clauses of lines, over the whole corpus."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -13,47 +14,66 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-_LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"\S.*?(?:[.!?](?=\s)|$)")
+#: Part of a line up to a mark that white space follows, or up to the end of the line.
+_CLAUSE = re.compile(r"(?=\S)[^\n,;:.!?]*(?:[,;:.!?](?!\s)[^\n,;:.!?]*)*[,;:.!?]?")
 
-_UNITS = "doc_id long, begin int, stop int, words int, d1 long, d2 long"
+#: d1 and d2 are 96 bits of a digest: two of 2 billion unlike units share them with a chance of some 1e-11.
+_UNITS = "doc_id long, begin int, stop int, at int, words int, d1 long, d2 int"
 
 
-def normal(unit: str) -> str:
-    """Lower case, with single spaces."""
-    return " ".join(unit.lower().split())
+def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """First and last index of the clauses of ``least`` words, and from each shorter one the least neighbours after it, and before it, that make so many.
+
+    Any stretch of neighbours that has ``least`` words is covered by those that lie in it, wherever it starts and ends.
+    """
+    out = set()
+    for i, n in enumerate(sizes):
+        total, j = n, i
+        while total < least and j + 1 < len(sizes):
+            j += 1
+            total += sizes[j]
+        if total >= least:
+            out.add((i, j))
+        total, j = n, i
+        while total < least and j:
+            j -= 1
+            total += sizes[j]
+        if total >= least:
+            out.add((j, i))
+    return sorted(out)
 
 
 def _units(least: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "begin", "stop", "words", "d1", "d2"]
+        names = ["doc_id", "begin", "stop", "at", "words", "d1", "d2"]
 
-        def made(ids, begins, stops, words, digests):
+        def made(ids, begins, stops, ats, words, digests):
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(begins, pa.int32()), pa.array(stops, pa.int32()), pa.array(words, pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])], names)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in (begins, stops, ats, words)), pa.array(d[:, 0]), pa.array(d[:, 1].astype(np.int32))], names)
 
-        ids, begins, stops, words, digests = [], [], [], [], []
+        ids, begins, stops, ats, words, digests = [], [], [], [], [], []
         for b in batches(rows):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                for line in _LINE.finditer(text.as_py() or ""):
-                    first, body = line.start(), line.group()
-                    spans = [m.span() for m in _SENTENCE.finditer(body)]
-                    if len(spans) > 1:
-                        spans.append((spans[0][0], len(body.rstrip())))
-                    for begin, stop in spans:
-                        unit = normal(body[begin:stop])
-                        n = unit.count(" ") + 1
-                        if n >= least:
-                            ids.append(doc_id)
-                            begins.append(first + begin)
-                            stops.append(first + stop)
-                            words.append(n)
-                            digests.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass")))
-                if len(ids) > 20_000:
-                    yield made(ids, begins, stops, words, digests)
-                    ids, begins, stops, words, digests = [], [], [], [], []
+                firsts, lasts, units, places = [], [], [], [0]
+                for m in _CLAUSE.finditer(text.as_py() or ""):
+                    split = m.group().lower().split()
+                    firsts.append(m.start())
+                    lasts.append(m.start() + len(m.group().rstrip()))
+                    units.append(" ".join(split))
+                    places.append(places[-1] + len(split))
+                for i, j in runs([q - p for p, q in pairwise(places)], least):
+                    unit = units[i] if i == j else " ".join(units[i : j + 1])
+                    ids.append(doc_id)
+                    begins.append(firsts[i])
+                    stops.append(lasts[j])
+                    ats.append(places[i])
+                    words.append(places[j + 1] - places[i])
+                    digests.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass")))
+                    if len(ids) > 20_000:
+                        yield made(ids, begins, stops, ats, words, digests)
+                        ids, begins, stops, ats, words, digests = [], [], [], [], [], []
         if ids:
-            yield made(ids, begins, stops, words, digests)
+            yield made(ids, begins, stops, ats, words, digests)
 
     return run
 
@@ -61,22 +81,29 @@ def _units(least: int):
 def repeated_units(docs: DataFrame, least: int = 6) -> DataFrame:
     """The spans to remove: doc_id, begin, stop, words, kept_doc_id, kept_begin.
 
-    Units are lines, and the sentences of a line that has several; either needs ``least`` words. Equal units
-    (lower-cased, with single spaces) are one group, whatever kind they are of. The occurrence of smallest
-    (doc_id, begin) stays, all others go. begin and stop are offsets in code points of the original text. Sentences inside a line
-    that goes as a whole are not named on their own; nor are spans inside other spans.
+    Lines are cut into clauses at .,;:!? before white space. Units are the clauses of ``least`` words, and the least
+    runs of neighbouring clauses, also across lines, in which each shorter one has so many. Equal units (lower-cased, with
+    single spaces) are one group. The occurrence of smallest (doc_id, begin) stays, all others go. Units that follow
+    or overlap each other in the same way where they are kept are named as one span. begin and stop are offsets in code
+    points of the original text. Units inside other units are not named on their own.
 
     Null and empty texts have no units. A null doc_id ranks after all others; such rows are named with a null
-    doc_id. Rows that share a doc_id and a text are one document. Further columns are ignored.
+    doc_id, each unit on its own. Rows that share a doc_id and a text are one document. Further columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = texts.mapInArrow(_units(least), _UNITS)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "begin")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "begin", "at")
     groups = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).filter("n > 1").drop("n")
     again = units.join(groups, ["d1", "d2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("begin") == F.col("kept.begin"))))
-    gone = again.select("doc_id", "begin", "stop", "words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.begin").alias("kept_begin")).distinct()
-    before = Window.partitionBy("doc_id").orderBy("begin", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
-    return gone.withColumn("reach", F.max("stop").over(before)).filter(F.col("reach").isNull() | (F.col("stop") > F.col("reach"))).drop("reach")
+    gone = again.select("doc_id", "begin", "stop", "at", (F.col("at") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.begin").alias("kept_begin"), (F.col("kept.at") - F.col("at")).alias("shift"))
+    order = Window.partitionBy("doc_id").orderBy("begin", F.desc("stop"), "kept_doc_id", "kept_begin", "at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # this drops repeated rows, too
+    outer = gone.withColumn("reach", F.max("stop").over(before)).filter(F.col("reach").isNull() | (F.col("stop") > F.col("reach")))
+    goes_on = (F.col("at") <= F.lag("end").over(order)) & (F.col("shift") == F.lag("shift").over(order)) & F.col("kept_doc_id").eqNullSafe(F.lag("kept_doc_id").over(order)) & F.col("kept_doc_id").isNotNull()
+    spans = outer.withColumn("span", F.count_if(~F.coalesce(goes_on, F.lit(False)) | F.col("doc_id").isNull()).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy("doc_id", "span").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), (F.max("end") - F.min("at")).alias("words"), F.min("kept_doc_id").alias("kept_doc_id"), F.min("kept_begin").alias("kept_begin"))
+    return merged.select("doc_id", "begin", "stop", "words", "kept_doc_id", "kept_begin")
 
 
 def _without(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -424,6 +424,30 @@ def test_line_dedup(spark):
     assert out[9] == " Tail." and out[2] == rows[1][1].replace(p.upper(), "") and out[3] is None and out[None] == p
 
 
+def test_line_dedup_inside_sentences(spark):
+    rng = random.Random(4)
+    clauses = [prose(rng, n) for n in (9, 2, 3, 8, 1, 4, 7, 2, 12, 5)]
+    shared = ", ".join(clauses)  # of 53 words, with a cut clause at each end
+    one, two = f"Alpha {shared} beta. Own words of one.", f"Gamma delta {shared.upper()} epsilon."
+    three = "Short. Tiny here.\n" + ", ".join(clauses[1:3]) + ". Nothing else"  # repeats of fewer than six words stay
+    rows = [(1, one), (2, two), (3, three)]
+    got = list(map(tuple, linededup.repeated_units(docs_of(spark, rows)).collect()))
+    middle = ", ".join(clauses[1:-1]) + ","
+    want = (2, two.index(middle.upper()), two.index(middle.upper()) + len(middle), sum(c.count(" ") + 1 for c in clauses[1:-1]), 1, one.index(middle))
+    assert got == [want]
+
+
+def test_line_dedup_runs_cover_every_stretch():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.choice([1, 2, 3, 5, 6, 9]) for _ in range(rng.randrange(1, 12))]
+        found = linededup.runs(sizes, 6)
+        for a in range(len(sizes)):
+            for b in range(a, len(sizes)):
+                if sum(sizes[a : b + 1]) >= 6:
+                    assert {k for x, y in found if a <= x and y <= b for k in range(x, y + 1)} == set(range(a, b + 1))
+
+
 def brute_sections(text, encoder, ranks, rule):
     data = (text or "").encode()
     lines, at = [], 0
