@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tables of no more rows than this are broadcast (some 20 MB).
+BROADCAST_ROWS = 200_000
+#: Signatures that one nested loop compares with all rows.
+SCANNED = 10_000
+
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column, most: int = 1) -> DataFrame:
     """The first rows of each key by the order."""
@@ -48,11 +53,40 @@ def terms_within(captions: DataFrame, terms: DataFrame, text: str) -> DataFrame:
     return captions.join(terms, "task_id").filter(F.contains(F.lower(text), F.col("term")))
 
 
+def _between(text: str) -> Column:
+    """The distinct words that stand between two spaces of a text."""
+    parts = F.split(text, " ")
+    return F.array_distinct(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != ""))
+
+
 def signature_hits(df: DataFrame, signatures: DataFrame, text: str) -> DataFrame:
-    """Rows whose text contains a signature of a checked, small table; a theta join has no other form."""
-    if signatures.count() > 10_000:
-        raise ValueError("too many signatures for a nested loop; index them by a word and join on it")
-    return df.join(F.broadcast(signatures.select(F.lower("signature").alias("_s"))), F.contains(F.lower(text), F.col("_s")), "left_semi")
+    """Rows whose text contains one of any number of signatures.
+
+    A word between two spaces of a signature must be a whole word of the text. So each signature is joined by the
+    rarest of its words and then verified. Signatures without such a word are compared with all rows, SCANNED at a time.
+    """
+    known = signatures.select(F.lower("signature").alias("_s")).filter("_s is not null").distinct().withColumn("_ws", _between("_s"))
+    low = df.select(F.lower(text).alias("_t")).filter("_t is not null")
+    long, short = known.filter(F.size("_ws") > 0), known.filter(F.size("_ws") == 0).select("_s")
+    small = long.count() <= BROADCAST_ROWS
+    side = F.broadcast if small else lambda x: x
+    tokens = long.select("_s", F.explode("_ws").alias("_w"))
+    words = F.explode(F.array_distinct(F.split("_t", " "))).alias("_w")
+    counts = low.select(words).join(side(tokens.select("_w").distinct()), "_w").groupBy("_w").count()
+    rarest = side(tokens.join(counts, "_w").groupBy("_s").agg(F.min_by("_w", F.struct("count", "_w")).alias("_w")))
+    if small:
+        met = low.select("_t", words).join(rarest, "_w")
+    else:  # carry a digest beside the words, not the text
+        keyed = low.distinct().withColumn("_k", F.sha2("_t", 256))
+        met = keyed.select("_k", words).join(rarest, "_w").select("_k", "_s").join(keyed, "_k")
+    hits = met.filter(F.contains("_t", F.col("_s"))).select(F.sha2("_t", 256).alias("_k")).distinct()
+    rest, n = low.distinct(), short.count()
+    if n:
+        parts = short.withColumn("_n", F.row_number().over(Window.orderBy("_s")) - 1)
+        for first in range(0, n, SCANNED):
+            part = F.broadcast(parts.filter(F.col("_n").between(first, first + SCANNED - 1)).select("_s"))
+            hits = hits.unionByName(rest.join(part, F.contains("_t", F.col("_s")), "left_semi").select(F.sha2("_t", 256).alias("_k")))
+    return df.join(hits, F.sha2(F.lower(text), 256) == F.col("_k"), "left_semi")
 
 
 def guarded(chosen: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from glosswork.operators import captions as cap
@@ -87,3 +88,17 @@ def test_sources(spark, tmp_path):
     assert io.ground_truth(spark, str(tmp_path / "gt.json")).count() == 2
     (tmp_path / "c.json").write_text(json.dumps([{"task_id": "a", "video_url": "1"}, {"task_id": "a", "video_url": "2"}]))
     assert io.clips(spark, str(tmp_path / "c.json")).first()["video_url"] == "2"
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_signature_hits_of_any_number(spark, monkeypatch, limit):
+    monkeypatch.setattr(sel, "BROADCAST_ROWS", limit)
+    texts = ["the Quick brown fox", "a quick  brown", "xab cdx", None, "", "word 9999 of many", "xab cdx", "\u00c9t\u00e9 au lac", "brown quick the"]
+    known = [f"word {i} of" for i in range(10_050)] + ["E QUICK BROWN F", "quick  brown", "ab cd", None, "\u00e9t\u00e9 AU l", "the brown quick"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = lambda s: sorted(r["id"] for r in sel.signature_hits(df, spark.createDataFrame([(x,) for x in s], "signature string"), "text").collect())
+    want = [i for i, t in enumerate(texts) if t is not None and any(k is not None and k.lower() in t.lower() for k in known)]
+    assert found(known) == want == [0, 1, 2, 5, 6, 7]
+    monkeypatch.setattr(sel, "SCANNED", 2)
+    assert found(["zz", "yy", "ab c", "fox", "x", "q"]) == [0, 1, 2, 6, 8]
+    assert found([""]) == [i for i, t in enumerate(texts) if t is not None] and found([]) == []
