@@ -59,10 +59,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``ids``; a null doc_id stays. The ids are broadcast while they are few (some 20 MB)."""
-    ids = cut(ids.select("doc_id").distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti").select(docs.columns)
+def without_rows(docs: DataFrame, gone: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` whose doc_id, null or not, and row_key(doc_id, text) aren't in ``gone(doc_id, key)``, which is broadcast while it is small (some 20 MB)."""
+    gone = cut(gone.select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone")).distinct())
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone"))
+    return keyed.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, same, "left_anti").select(docs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, row_key, without_ids
+from .common import ascii_lower, cut, row_key, without_rows
 
 #: Tables of no more rows than this are broadcast (some 20 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -49,6 +49,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     may share windows and ids. Repeated rows keep a row each, also with equal or null doc_id. With no
     items or no documents nothing is hit. Further columns are ignored.
     """
+    return _contamination(docs, items, size).drop("row")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """What contamination gives, with the key of each row."""
     wins = cut(windows(items, size))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", row_key("doc_id", "text"))
     split = texts.select("doc_id", "row", _split("text").alias("all"))
@@ -92,9 +97,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
         numbers = numbers.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")), "left").drop("_id", "_of")
     out = texts.select("doc_id", "row").join(numbers, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("of")))
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "row", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` that hold no window of an item, with the columns of ``docs``. A null doc_id stays."""
-    return without_ids(docs, contamination(docs, items, size).filter("contaminated and doc_id is not null"))
+    """The rows of ``docs`` that hold no window of an item, with the columns of ``docs``."""
+    return without_rows(docs, _contamination(docs, items, size).filter("contaminated").select("doc_id", F.col("row").alias("key")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, components, cut, mix64, pieces, shingle_sets, without_ids
+from .common import batches, components, cut, mix64, pieces, row_key, shingle_sets, without_rows
 
 #: Counters of the document-frequency sketch (4 bytes each) and the parts in which it is summed.
 SKETCH, PARTS = 1 << 18, 64
@@ -83,9 +83,9 @@ def _describe(width: int):
         for b in batches(rows):
             for first, k, h, _, n, d1, d2 in _read(b.column("text"), width):
                 sketch += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, k), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), empty(k, pa.int32()), empty(k, pa.binary())], ["doc_id", "n", "d1", "d2", "part", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(first, k), b.column("key").slice(first, k), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), empty(k, pa.int32()), empty(k, pa.binary())], ["doc_id", "key", "n", "d1", "d2", "part", "counts"])
         parts = [x.tobytes() for x in np.split(np.minimum(sketch, 2**31).astype(np.uint32), PARTS)]
-        yield pa.RecordBatch.from_arrays([*(empty(PARTS, pa.int64()) for _ in range(4)), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "d1", "d2", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([*(empty(PARTS, pa.int64()) for _ in range(5)), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "key", "n", "d1", "d2", "part", "counts"])
 
     return run
 
@@ -359,14 +359,25 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     Repeated rows keep a row each. A null doc_id gets the smallest non-null doc_id that it reaches,
     else null. Rows that share a doc_id are one node of the graph. Further columns are ignored.
     """
+    found = _grouped(docs, width, False)
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).when(F.col("component") < 2**62, F.col("component"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _grouped(docs: DataFrame, width: int, by_text: bool) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key, n and component, null where it links with nothing.
+
+    Nodes are doc_ids, or, where a text has none or ``by_text`` holds, 2**62 and more for texts of equal shingle sets.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    described = cut(texts.mapInArrow(_describe(width), "doc_id long, n long, d1 long, d2 long, part int, counts binary"))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key("doc_id", "text").alias("key"))
+    described = cut(keyed.mapInArrow(_describe(width), "doc_id long, key long, n long, d1 long, d2 long, part int, counts binary"))
     frequency = spark.sparkContext.broadcast(_sketch(described))  # 1 MB
-    base = described.filter("part is null").select("doc_id", "n", "d1", "d2")
+    base = described.filter("part is null").select("doc_id", "key", "n", "d1", "d2")
     lone = F.lit(2**62) + F.col("d1").bitwiseAND(F.lit(2**61 - 1))  # stands for a class that has no doc_id
     classes = base.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-    classes = cut(classes.withColumn("node", F.coalesce("low", lone)))
+    classes = cut(classes.withColumn("node", lone if by_text else F.coalesce("low", lone)))
 
     keys = texts.select("text").mapInArrow(_signatures(width, frequency), _ROWS)
     sorted_keys = keys.repartition("key").sortWithinPartitions("key", F.col("meta").bitwiseAND(F.lit(2)).desc(), "member")
@@ -400,20 +411,25 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 
     grouped = classes.filter("copies > 1").select("node").union(nodes.select("node")).distinct().join(nodes, "node", "left")
     named = classes.join(grouped, "node").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
-    named = named.withColumn("component", F.when(F.col("component") < 2**62, F.col("component")))
-    joined = base.join(named.withColumn("found", F.lit(True)), ["d1", "d2", "n"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("found"), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = base.join(named, ["d1", "d2", "n"], "left")
+    return joined.select("doc_id", "key", "n", "component")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``docs`` with the row of smallest doc_id of each group of near duplicates; rows without words all stay.
+    """``docs`` with the row of smallest doc_id, null last, of each group of near duplicates; rows without words all stay.
 
-    Of repeated rows with that doc_id and equal text, one stays. Columns are those of ``docs``.
+    Groups link texts, whatever their doc_ids. Among rows of that doc_id the one of smallest key stays, and of
+    repeated rows with equal text one. Columns are those of ``docs``.
     """
-    found = cut(near_duplicates(docs, width))
-    kept = without_ids(docs, found.filter("n_shingles > 0 and doc_id <> component_id"))
-    repeated = cut(found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    found = cut(_grouped(docs, width, True).filter("component is not null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
+    best = found.groupBy("component").agg(first)
+    ranked = cut(found.join(best, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).select("doc_id", "key", "stays"))
+    kept = without_rows(docs, ranked.filter("not stays"))
+    repeated = cut(ranked.filter("stays").groupBy("doc_id", "key").count().filter("count > 1").select("doc_id", "key"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once.select(docs.columns))
+    single = without_rows(kept, repeated)
+    keyed = kept.withColumn("__key", row_key("doc_id", "text"))
+    once = keyed.join(repeated.select(F.col("key").alias("__key")).distinct(), "__key", "left_semi").dropDuplicates(["__key"])
+    return single.unionByName(once.select(docs.columns))

@@ -103,6 +103,18 @@ def test_near_duplicates_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5, 6] and "n_chars" in kept.columns
 
 
+def test_filters_act_on_rows(spark):
+    t, u, leak = "one two three four five six seven", "quite another text of six words", "this passage is of the benchmark"
+    rows = [(None, t), (None, t), (None, t.upper()), (7, t), (7, u), (8, u), (3, t), (3, "alone in the world of texts"), (None, "null id but alone here"), (None, leak), (None, leak + " "), (None, "")]
+    kept = setjoin.without_near_duplicates(docs_of(spark, rows))
+    assert sorted(((r["doc_id"], r["text"].strip()) for r in kept.collect()), key=str) == sorted([(3, t), (7, u), (3, rows[7][1]), (None, rows[8][1]), (None, leak), (None, "")], key=str)
+    assert kept.filter(F.col("text") == u).count() == 1 and setjoin.without_near_duplicates(docs_of(spark, [(9, t), (9, t.upper())])).count() == 1
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    rows = [(None, leak), (None, "clean"), (4, "so " + leak), (4, "clean"), (5, None)]
+    got = decontam.decontaminated(docs_of(spark, rows), items)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, "clean"), (4, "clean"), (5, None)], key=str)
+
+
 def test_bands_cover_all_partners():
     known = setjoin.bands(3000)
     at = {n: k for k, b in enumerate(known) for n in range(b.low, b.high + 1)}
