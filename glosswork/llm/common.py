@@ -71,16 +71,17 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)``: one row ``(node, component)`` a node, component its smallest node.
 
     Rounds of smallest neighbouring label and pointer jumping, all of them joins; only the count of
-    changed labels comes to the driver. Hot nodes meet in partial aggregates and splittable joins.
+    changed labels comes to the driver. Hot nodes meet in partial aggregates and splittable joins. Labels are written as
+    tables: a checkpoint keeps the constraints that the optimizer has found, and these multiply from round to round.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
+    both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"))
-    labels = cut(labels)
+    labels = stored(labels)
     while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         up = labels.select(F.col("node").alias("mid"), F.col("component").alias("above"))
-        step = cut(lower.join(up, "mid", "left").select("node", "old", F.least("mid", F.coalesce("above", "mid")).alias("component")))
+        step = stored(lower.join(up, "mid", "left").select("node", "old", F.least("mid", F.coalesce("above", "mid")).alias("component")))
         labels = step.select("node", "component")
         if step.filter("component <> old").isEmpty():
             return labels

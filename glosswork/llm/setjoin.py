@@ -9,8 +9,12 @@ and spends just H + 1 units of capacity on the cheapest segments. The cost of a
 document frequency of its rarest shingle, from a count sketch over all documents.
 
 Pairs that meet under a key are verified exactly on their whole shingle sets. A small bucket gives all its
-pairs. A large bucket is first joined to one member of it; what the links found so far leave
-apart in a large bucket is then compared pair by pair, so that no link is lost between components.
+pairs. Large buckets become groups, each named by one member. A group gets a hub, and every set x of it the
+difference E(x) to the hub. Sets that link to the hub are one component. As x and y differ in |E(x)| + |E(y)| -
+2 |E(x) & E(y)| shingles, a set that doesn't link to the hub can only link to one with which it shares
+a part of its difference: such pairs are found by the rarest shingles of the differences (a prefix filter), again in
+small buckets or in smaller groups. So no join grows with the square of a group of copies, and no link
+between components is lost.
 
 Sets are held as 64-bit shingle hashes; classes of equal sets as a 128-bit sum over the hashes.
 """
@@ -22,15 +26,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, components, cut, mix64, pieces, row_key, shingle_sets, without_rows
+from .common import batches, components, cut, mix64, pieces, row_key, shingle_sets, stored, without_rows
 
 #: Counters of the document-frequency sketch (4 bytes each) and the parts in which it is summed.
 SKETCH, PARTS = 1 << 18, 64
 #: A bucket with so many index-probe combinations or fewer gives all its pairs.
 SMALL_BUCKET = 64
+#: Groups of so many members on average are compared pair by pair.
+FEW = 16
+#: Members of a group among which its hub is chosen.
+SAMPLE = 32
+#: Classes with more copies than this share of all rows (one in so many) are indexed by one of them.
+HEAVY = 20_000
+#: Stands for the null doc_id.
+NO_ID = -(2**63)
 #: Words of 64 bits in a set's parity bitmap: two bitmaps differ in no more bits than the sets in shingles.
 BITMAP = 8
 #: Tables of no more rows than this are broadcast (some 40 MB); larger ones are joined by a shuffle.
@@ -183,12 +195,26 @@ def _keys(h, owner, sizes, member, scheme: Band, need, own: bool, frequency) ->
     return key.view(np.int64), member[of_row].view(np.int64), sizes[of_row] * 4 + bits
 
 
-def _signatures(width: int, frequency):
+def _repeated(ids: pa.Array, d1: np.ndarray, d2: np.ndarray, heavy: tuple[np.ndarray, np.ndarray, np.ndarray], seen: np.ndarray) -> np.ndarray:
+    """The rows of classes with many copies that needn't be indexed: not of the class's smallest doc_id, or met in this task before."""
+    out = np.zeros(len(d1), bool)
+    if not len(heavy[0]):
+        return out
+    at = np.minimum(np.searchsorted(heavy[0], d1.view(np.int64)), len(heavy[0]) - 1)
+    for i in np.flatnonzero((heavy[0][at] == d1.view(np.int64)) & (heavy[1][at] == d2.view(np.int64))):
+        low = heavy[2][at[i]]
+        out[i] = seen[at[i]] or (low != NO_ID and ids[i].as_py() != low)
+        seen[at[i]] |= not out[i]
+    return out
+
+
+def _signatures(width: int, frequency, heavy):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bands(64)
+        known, seen = bands(64), np.zeros(len(heavy.value[0]), bool)
         for b in batches(rows):
-            for _, _, h, owner, n, d1, _ in _read(b.column("text"), width):
-                if not len(h):
+            for first, k, h, owner, n, d1, d2 in _read(b.column("text"), width):
+                n[_repeated(b.column("doc_id").slice(first, k), d1, d2, heavy.value, seen)] = 0
+                if not n.any():
                     continue
                 if n.max() > known[-1].high:
                     known = bands(int(n.max()))
@@ -218,20 +244,19 @@ def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of a partition that is sorted by key, index rows first, then by member.
 
-    Of a bucket, no more than the index rows of a small bucket are held at a time.
+    Kind 0 are pairs to verify; kind 1 says that b is in the group of a. Of a bucket, no more than the index rows of
+    a small bucket are held at a time.
     """
     held: list[np.ndarray] = []
-    hub: tuple | None = None  # key, member, size of the first index row of a large bucket that goes on
+    hub: tuple | None = None  # key and member of the first index row of a large bucket that goes on
 
-    def table(kind, key, a, b, x, y):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), *(pa.array(v) for v in (key, a, b, x, y))], ["kind", "key", "a", "b", "x", "y"])
+    def table(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
-    def star(key, member, meta, top):
-        good = (member != top[1]) & _fits(meta >> 2, np.full(len(meta), top[2]))
-        none = np.zeros(len(key), np.int64)
-        yield table(1, key, member, none, meta, none)
-        if good.any():
-            yield table(0, none[good], np.full(good.sum(), top[1]), member[good], np.full(good.sum(), top[2]), meta[good] >> 2)
+    def star(member, top):
+        new = np.ones(len(member), bool)
+        new[1:] = member[1:] != member[:-1]
+        yield table(1, np.full(new.sum(), top[1]), member[new])
 
     def done(key, member, meta):
         """Whole buckets."""
@@ -254,10 +279,10 @@ def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, m = meta[i] >> 2, meta[j] >> 2
             good = (meta[j] & 1 > 0) & (member[i] != member[j]) & _fits(n, m)
             i, j = i[good], j[good]
-            yield table(0, np.zeros(len(i), np.int64), member[i], member[j], meta[i] >> 2, meta[j] >> 2)
+            yield table(0, np.minimum(member[i], member[j]), np.maximum(member[i], member[j]))
         for g in np.flatnonzero(many & ~small):
             s = slice(at[g], at[g] + size[g])
-            yield from star(key[s], member[s], meta[s], (key[at[g]], member[at[g]], meta[at[g]] >> 2))
+            yield from star(member[s], (key[at[g]], member[at[g]]))
 
     def whole():
         if held:
@@ -271,7 +296,7 @@ def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = int(np.searchsorted(data[0] != hub[0], True)) if data[0][0] == hub[0] else 0
             n = len(data[0]) if data[0][-1] == hub[0] else n
             if n:
-                yield from star(*data[:, :n], hub)
+                yield from star(data[1, :n], hub)
             data = data[:, n:]
             if not data.shape[1]:
                 continue
@@ -286,8 +311,8 @@ def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             all_rows = np.concatenate(held, axis=1)
             held.clear()
             if all_rows[2][0] & 2:
-                hub = (last, all_rows[1][0], all_rows[2][0] >> 2)
-                yield from star(*all_rows, hub)
+                hub = (last, all_rows[1][0])
+                yield from star(all_rows[1], hub)
             else:  # no index row comes any more in this bucket
                 held.append(all_rows[:, -1:])
     yield from whole()
@@ -351,6 +376,82 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.join(first, ["a", "u"]).join(second, ["b", "v"]).select("u", "v", "first", "second").mapInArrow(_verify, "u long, v long")
 
 
+def _apart(groups: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (f, member) of groups whose members are in different components, with node, component and bits."""
+    label = sets.join(nodes, "node", "left").select("member", "node", F.coalesce("component", "node").alias("component"), "bits")
+    rows = groups.join(label, "member")
+    several = rows.groupBy("f").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("f")
+    return stored(rows.join(several, "f"))
+
+
+def _hubs(rows: DataFrame) -> DataFrame:
+    """Per group, of a sample of its members the one that differs least from the others by the bitmaps: f, hub, hub_node."""
+    order = Window.partitionBy("f").orderBy(F.xxhash64("member", "f"), "member", "node")
+    few = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE)
+    one, two = few.select("f", "member", "node", F.col("bits").alias("p")), few.select("f", F.col("bits").alias("q"))
+    total = one.join(two, "f").groupBy("f", "member", "node").agg(F.sum(F.expr(_differing("p", "q"))).alias("total"))
+    best = total.groupBy("f").agg(F.min(F.struct("total", "member", "node")).alias("best"))
+    return best.select("f", F.col("best.member").alias("hub"), F.col("best.node").alias("hub_node"))
+
+
+_DIFFERENCES = "f long, member long, node long, component long, hub_node long, near boolean, prefix int, elements array<long>"
+
+
+def _differences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's difference to the hub of its group, whether it links to the hub, and the length of its prefix.
+
+    With w(x) = 9 |E(x)| - |x|, sets x and y are similar just if they share (w(x) + w(y)) / 18 elements of their
+    differences or more, and x links to a hub of k shingles just if w(x) <= k; no w is below -k. A set that links to
+    the hub needs a partner that doesn't, so w(y) > k; for the others the shared part is no longer than E(y) either.
+    """
+    for b in batches(rows):
+        near, prefix, elements = [], [], []
+        for x, hub in zip(b.column("shingles"), b.column("hub_shingles"), strict=True):
+            x, hub = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, hub))
+            e = np.setxor1d(x, hub, assume_unique=True)
+            w, n, k = 9 * len(e) - len(x), len(x), len(hub)
+            near.append(w <= k)
+            shared = -(-(w + k + 1) // 18) if w <= k else max(-(-(w - k) // 18), -(-(w - n * 5 // 4) // 9))
+            prefix.append(max(0, len(e) - max(1, shared) + 1))
+            elements.append(e.view(np.int64))
+        own = [b.column(c) for c in ("f", "member", "node", "component", "hub_node")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(near), pa.array(prefix, pa.int32()), pa.array(elements, pa.list_(pa.int64()))], ["f", "member", "node", "component", "hub_node", "near", "prefix", "elements"])
+
+
+def _within(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of groups: links (u, v) to the hubs, pairs (a, b) to verify, and the smaller groups (f, member) that are left."""
+    sets = sets.select("member", "node", "shingles")
+    hubs = cut(_hubs(rows))
+    whole = hubs.join(sets.select(F.col("member").alias("hub"), F.col("node").alias("hub_node"), F.col("shingles").alias("hub_shingles")), ["hub", "hub_node"])
+    apart = cut(rows.drop("bits").join(whole, "f").join(sets, ["member", "node"]).select("f", "member", "node", "component", "hub_node", "shingles", "hub_shingles").mapInArrow(_differences, _DIFFERENCES))
+    links = apart.filter("near and node <> hub_node").select(F.col("node").alias("u"), F.col("hub_node").alias("v"))
+
+    each = apart.select("f", "member", "node", "component", "near", "prefix", F.explode("elements").alias("x"))
+    counts = each.groupBy("f", "x").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far"))
+    order = Window.partitionBy("f", "member", "node").orderBy("n", "x")
+    first = each.join(counts, ["f", "x"]).withColumn("nth", F.row_number().over(order)).filter("nth <= prefix and n > 1 and far > 0").drop("n", "far", "nth", "prefix")
+    first = cut(first)
+    buckets = first.groupBy("f", "x").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far"), F.min("member").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+    buckets = cut(buckets.filter("far > 0 and n > 1 and low < high").select("f", "x", "least", (F.col("far") * F.col("n") <= SMALL_BUCKET).alias("small")))
+    inside = first.join(buckets, ["f", "x"])
+    small = inside.filter("small")
+    far = small.filter("not near").select("f", "x", F.col("member").alias("a"), F.col("component").alias("c"))
+    pairs = far.join(small.select("f", "x", F.col("member").alias("b"), F.col("component").alias("d")), ["f", "x"]).filter("c <> d").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return links, pairs, cut(inside.filter("not small").select(F.col("least").alias("f"), "member").distinct())
+
+
+def _work(rows: DataFrame) -> tuple[int, int]:
+    """The rows of groups, and the sum of the squares of their sizes."""
+    size, work = rows.groupBy("f").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    return size or 0, work or 0
+
+
+def _all_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs of groups that are in different components and whose bitmaps don't rule them out."""
+    one = rows.select("f", F.col("member").alias("a"), F.col("component").alias("c"))
+    return one.join(rows.select("f", F.col("member").alias("b"), F.col("component").alias("d")), "f").filter("c < d").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest doc_id reachable by links.
 
@@ -379,13 +480,15 @@ def _grouped(docs: DataFrame, width: int, by_text: bool) -> DataFrame:
     classes = base.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("node", lone if by_text else F.coalesce("low", lone)))
 
-    keys = texts.select("text").mapInArrow(_signatures(width, frequency), _ROWS)
+    many = classes.filter(F.col("copies") > max(1, base.count() // HEAVY)).select("d1", "d2", F.coalesce("low", F.lit(NO_ID)).alias("low")).orderBy("d1", "d2").collect()  # HEAVY rows at most
+    heavy = spark.sparkContext.broadcast(tuple(np.array([r[i] for r in many], np.int64) for i in range(3)))
+
+    keys = texts.mapInArrow(_signatures(width, frequency, heavy), _ROWS)
     sorted_keys = keys.repartition("key").sortWithinPartitions("key", F.col("meta").bitwiseAND(F.lit(2)).desc(), "member")
-    met = cut(sorted_keys.mapInArrow(_meet, "kind byte, key long, a long, b long, x long, y long").groupBy("kind", "key", F.when(F.col("kind") == 0, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("kind") == 0, F.greatest("a", "b")).otherwise(F.col("b")).alias("b")).agg(F.max("x").alias("x")))
-    pairs = met.filter("kind = 0").select("a", "b")
-    large = met.filter("kind = 1").select("key", F.col("a").alias("member"), F.col("x").alias("meta"))
+    met = cut(sorted_keys.mapInArrow(_meet, "kind byte, a long, b long").distinct())
+    pairs, groups = met.filter("kind = 0").select("a", "b"), met.filter("kind = 1").select(F.col("a").alias("f"), F.col("b").alias("member"))
 
-    members = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).union(large.select("member")).distinct()
+    members = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).union(groups.select("member")).distinct()
     chosen = cut(classes.join(members, classes.d1 == members.member).select("member", "node", "low", "d2", "n"))
     wanted = chosen.filter("low is not null").select(F.col("low").alias("doc_id"), "member", "d2", "node")
     found = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id").select("member", "d2", "node", "text")
@@ -395,19 +498,22 @@ def _grouped(docs: DataFrame, width: int, by_text: bool) -> DataFrame:
     sets = found.mapInArrow(_sets(width), "member long, node long, shingles binary, bits array<long>")
     sets = cut(sets.repartition("member").groupBy("member", "node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")))
 
-    links = cut(_links(pairs, sets))
+    links = stored(_links(pairs, sets))
     nodes = components(links)
-    # large buckets whose members are still apart: their pairs, but for those whose bitmaps differ in too many bits
-    label = sets.join(nodes, "node", "left").select("member", F.coalesce("component", "node").alias("component"), "bits")
-    labelled = large.join(label.select("member", "component"), "member")
-    apart = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = large.join(apart, "key").join(label, "member").withColumn("size", F.expr("meta div 4"))
-    one = rest.filter("meta & 2 > 0").select("key", F.col("member").alias("a"), F.col("size").alias("n"), F.col("component").alias("c"), F.col("bits").alias("p"))
-    two = rest.filter("meta & 1 > 0").select("key", F.col("member").alias("b"), F.col("size").alias("m"), F.col("component").alias("d"), F.col("bits").alias("q"))
-    more = one.alias("one").join(two.alias("two"), F.expr(f"one.key = two.key and c <> d and 5 * least(n, m) >= 4 * greatest(n, m) and {_differing('p', 'q')} <= (n + m) div 9"))
-    more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not more.isEmpty():
-        nodes = components(links.union(_links(more, sets)))
+    rows = _apart(groups, sets, nodes)
+    size, work = _work(rows)
+    while size:
+        if work <= FEW * size:
+            nodes = components(links.union(_links(_all_pairs(rows), sets)))
+            break
+        direct, pairs, smaller = _within(rows, sets)
+        links = stored(links.union(direct).union(_links(pairs, sets)))
+        nodes = components(links)
+        rows, before = _apart(smaller, sets, nodes), work
+        size, work = _work(rows)
+        if 4 * work > 3 * before:  # the differences part the groups no further
+            nodes = components(links.union(_links(_all_pairs(rows), sets)))
+            break
 
     grouped = classes.filter("copies > 1").select("node").union(nodes.select("node")).distinct().join(nodes, "node", "left")
     named = classes.join(grouped, "node").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))

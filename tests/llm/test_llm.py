@@ -52,10 +52,11 @@ def words_of(text):
 
 
 def brute_components(rows):
-    sets = []
+    sets, numbers = [], {}
     for _, t in rows:
         w = words_of(t)
-        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set()))
+        shingles = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
+        sets.append(frozenset(numbers.setdefault(x, len(numbers)) for x in shingles))
     parent = list(range(len(rows)))
 
     def find(x):
@@ -91,6 +92,28 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize(("few", "number"), [(0, 300), (16, 2000)])
+def test_near_duplicates_of_drifting_copies(spark, monkeypatch, few, number):
+    rng = random.Random(10)
+    base = [prose(rng, 1) + str(k) for k in range(80)]
+    rows, copies = [], [base]
+    for i in range(number):  # copies of copies: some far from the first one, some far from all
+        w = list(copies[rng.randrange(len(copies))] if i % 3 else base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 7])):
+            w[rng.randrange(80)] = f"{prose(rng, 1)}{rng.randrange(9)}"
+        copies = (copies + [w])[-40:]
+        rows.append((i, " ".join(w)))
+    rows += [(5000 + i, rows[7][1]) for i in range(300)]  # equal copies
+    seen = collections.Counter()
+    monkeypatch.setattr(setjoin, "FEW", few)
+    for name in ("_within", "_all_pairs"):
+        own = getattr(setjoin, name)
+        monkeypatch.setattr(setjoin, name, lambda *a, own=own, name=name: seen.update([name]) or own(*a))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setjoin.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert seen["_within"] and len({c for _, c in got.values()}) > 20
+
+
 def test_near_duplicates_edges(spark):
     none = docs_of(spark, [(1, "a")]).limit(0)
     assert setjoin.near_duplicates(none).count() == 0
