@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A run of ASCII letters, digits and anything outside ASCII.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Label tables of no more rows than this are broadcast (some 10 MB); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Texts are hashed in pieces of about so many bytes, which bounds the memory of a task.
 PIECE_BYTES = 1 << 20
 
@@ -75,13 +77,13 @@ def components(edges: DataFrame) -> DataFrame:
     tables: a checkpoint keeps the constraints that the optimizer has found, and these multiply from round to round.
     """
     both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component"))
-    labels = stored(labels)
+    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    small = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda x: x
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
+        near = both.join(small(labels.withColumnRenamed("node", "v")), "v").select(F.col("u").alias("node"), "component", F.lit(None).cast("long").alias("own"))
+        lower = near.unionByName(labels.withColumn("own", F.col("component"))).groupBy("node").agg(F.min("component").alias("mid"), F.max("own").alias("old"))
         up = labels.select(F.col("node").alias("mid"), F.col("component").alias("above"))
-        step = stored(lower.join(up, "mid", "left").select("node", "old", F.least("mid", F.coalesce("above", "mid")).alias("component")))
+        step = stored(lower.join(small(up), "mid", "left").select("node", "old", F.least("mid", F.coalesce("above", "mid")).alias("component")))
         labels = step.select("node", "component")
         if step.filter("component <> old").isEmpty():
             return labels

@@ -36,7 +36,7 @@ SKETCH, PARTS = 1 << 18, 64
 #: A bucket with so many index-probe combinations or fewer gives all its pairs.
 SMALL_BUCKET = 64
 #: Groups of so many members on average are compared pair by pair.
-FEW = 16
+FEW = 64
 #: Members of a group among which its hub is chosen.
 SAMPLE = 32
 #: Classes with more copies than this share of all rows (one in so many) are indexed by one of them.
@@ -498,13 +498,12 @@ def _grouped(docs: DataFrame, width: int, by_text: bool) -> DataFrame:
     sets = found.mapInArrow(_sets(width), "member long, node long, shingles binary, bits array<long>")
     sets = cut(sets.repartition("member").groupBy("member", "node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")))
 
-    links = stored(_links(pairs, sets))
-    nodes = components(links)
-    rows = _apart(groups, sets, nodes)
+    links, nodes = stored(_links(pairs, sets)), None
+    rows = stored(groups.join(sets.select("member", "node", F.col("node").alias("component"), "bits"), "member"))  # each on its own as yet
     size, work = _work(rows)
     while size:
         if work <= FEW * size:
-            nodes = components(links.union(_links(_all_pairs(rows), sets)))
+            links, nodes = links.union(_links(_all_pairs(rows), sets)), None
             break
         direct, pairs, smaller = _within(rows, sets)
         links = stored(links.union(direct).union(_links(pairs, sets)))
@@ -512,8 +511,9 @@ def _grouped(docs: DataFrame, width: int, by_text: bool) -> DataFrame:
         rows, before = _apart(smaller, sets, nodes), work
         size, work = _work(rows)
         if 4 * work > 3 * before:  # the differences part the groups no further
-            nodes = components(links.union(_links(_all_pairs(rows), sets)))
+            links, nodes = links.union(_links(_all_pairs(rows), sets)), None
             break
+    nodes = components(links) if nodes is None else nodes
 
     grouped = classes.filter("copies > 1").select("node").union(nodes.select("node")).distinct().join(nodes, "node", "left")
     named = classes.join(grouped, "node").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
