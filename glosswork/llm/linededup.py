@@ -12,13 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, row_key
 
 #: Part of a line up to a mark that white space follows, or up to the end of the line.
 _CLAUSE = re.compile(r"(?=\S)[^\n,;:.!?]*(?:[,;:.!?](?!\s)[^\n,;:.!?]*)*[,;:.!?]?")
 
 #: d1 and d2 are 96 bits of a digest: two of 2 billion unlike units share them with a chance of some 1e-11.
-_UNITS = "doc_id long, begin int, stop int, at int, words int, d1 long, d2 int"
+_UNITS = "doc_id long, key long, begin int, stop int, at int, words int, d1 long, d2 int"
 
 
 def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
@@ -45,15 +45,15 @@ def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
 
 def _units(least: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "begin", "stop", "at", "words", "d1", "d2"]
+        names = ["doc_id", "key", "begin", "stop", "at", "words", "d1", "d2"]
 
-        def made(ids, begins, stops, ats, words, digests):
+        def made(ids, keys, begins, stops, ats, words, digests):
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int32()) for x in (begins, stops, ats, words)), pa.array(d[:, 0]), pa.array(d[:, 1].astype(np.int32))], names)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(x, pa.int32()) for x in (begins, stops, ats, words)), pa.array(d[:, 0]), pa.array(d[:, 1].astype(np.int32))], names)
 
-        ids, begins, stops, ats, words, digests = [], [], [], [], [], []
+        ids, keys, begins, stops, ats, words, digests = [], [], [], [], [], [], []
         for b in batches(rows):
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            for doc_id, key, text in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
                 firsts, lasts, units, places = [], [], [], [0]
                 for m in _CLAUSE.finditer(text.as_py() or ""):
                     split = m.group().lower().split()
@@ -64,52 +64,65 @@ def _units(least: int):
                 for i, j in runs([q - p for p, q in pairwise(places)], least):
                     unit = units[i] if i == j else " ".join(units[i : j + 1])
                     ids.append(doc_id)
+                    keys.append(key)
                     begins.append(firsts[i])
                     stops.append(lasts[j])
                     ats.append(places[i])
                     words.append(places[j + 1] - places[i])
                     digests.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass")))
                     if len(ids) > 20_000:
-                        yield made(ids, begins, stops, ats, words, digests)
-                        ids, begins, stops, ats, words, digests = [], [], [], [], [], []
+                        yield made(ids, keys, begins, stops, ats, words, digests)
+                        ids, keys, begins, stops, ats, words, digests = [], [], [], [], [], [], []
         if ids:
-            yield made(ids, begins, stops, ats, words, digests)
+            yield made(ids, keys, begins, stops, ats, words, digests)
 
     return run
 
 
-def repeated_units(docs: DataFrame, least: int = 6) -> DataFrame:
+def repeated_units(docs: DataFrame, least: int = 6, shortest: int = 30) -> DataFrame:
     """The spans to remove: doc_id, begin, stop, words, kept_doc_id, kept_begin.
 
     Lines are cut into clauses at .,;:!? before white space. Units are the clauses of ``least`` words, and the least
     runs of neighbouring clauses, also across lines, in which each shorter one has so many. Equal units (lower-cased, with
-    single spaces) are one group. The occurrence of smallest (doc_id, begin) stays, all others go. Units that follow
+    single spaces) are one group. The occurrence of smallest (doc_id, begin) stays; the others go where they follow each
+    other without a gap over ``shortest`` words or more, so that a stock phrase stays where it is. Units that follow
     or overlap each other in the same way where they are kept are named as one span. begin and stop are offsets in code
     points of the original text. Units inside other units are not named on their own.
 
-    Null and empty texts have no units. A null doc_id ranks after all others; such rows are named with a null
-    doc_id, each unit on its own. Rows that share a doc_id and a text are one document. Further columns are ignored.
+    Null and empty texts have no units. A null doc_id ranks after all others and is named as null. A document is a doc_id
+    and a text: rows that share both are one, rows that share only the id are several, ranked by a
+    hash of the text. Further columns are ignored, whatever their names.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _spans(docs, least, shortest).drop("key")
+
+
+def _spans(docs: DataFrame, least: int, shortest: int) -> DataFrame:
+    """What repeated_units gives, with the key of each row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("key"))
     units = texts.mapInArrow(_units(least), _UNITS)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "begin", "at")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "begin", "at")
     groups = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).filter("n > 1").drop("n")
-    again = units.join(groups, ["d1", "d2"]).filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("begin") == F.col("kept.begin"))))
-    gone = again.select("doc_id", "begin", "stop", "at", (F.col("at") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.begin").alias("kept_begin"), (F.col("kept.at") - F.col("at")).alias("shift"))
-    order = Window.partitionBy("doc_id").orderBy("begin", F.desc("stop"), "kept_doc_id", "kept_begin", "at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    again = units.join(groups, ["d1", "d2"]).filter(~((F.col("key") == F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("begin") == F.col("kept.begin"))))
+    gone = again.select("doc_id", "key", "begin", "stop", "at", (F.col("at") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.key").alias("kept_key"), F.col("kept.begin").alias("kept_begin"), (F.col("kept.at") - F.col("at")).alias("shift"))
+    row = Window.partitionBy("doc_id", "key")
+    order = row.orderBy("begin", F.desc("stop"), "kept_doc_id", "kept_key", "kept_begin", "at")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     # this drops repeated rows, too
     outer = gone.withColumn("reach", F.max("stop").over(before)).filter(F.col("reach").isNull() | (F.col("stop") > F.col("reach")))
-    goes_on = (F.col("at") <= F.lag("end").over(order)) & (F.col("shift") == F.lag("shift").over(order)) & F.col("kept_doc_id").eqNullSafe(F.lag("kept_doc_id").over(order)) & F.col("kept_doc_id").isNotNull()
-    spans = outer.withColumn("span", F.count_if(~F.coalesce(goes_on, F.lit(False)) | F.col("doc_id").isNull()).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("doc_id", "span").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), (F.max("end") - F.min("at")).alias("words"), F.min("kept_doc_id").alias("kept_doc_id"), F.min("kept_begin").alias("kept_begin"))
-    return merged.select("doc_id", "begin", "stop", "words", "kept_doc_id", "kept_begin")
+    follows = F.col("at") <= F.lag("end").over(order)
+    stretch = outer.withColumn("stretch", F.count_if(~F.coalesce(follows, F.lit(False))).over(upto))
+    whole = Window.partitionBy("doc_id", "key", "stretch")
+    long = stretch.withColumn("total", F.max("end").over(whole) - F.min("at").over(whole)).filter(F.col("total") >= shortest)
+    goes_on = follows & (F.col("shift") == F.lag("shift").over(order)) & F.col("kept_doc_id").eqNullSafe(F.lag("kept_doc_id").over(order)) & (F.col("kept_key") == F.lag("kept_key").over(order))
+    spans = long.withColumn("span", F.count_if(~F.coalesce(goes_on, F.lit(False))).over(upto))
+    merged = spans.groupBy("doc_id", "key", "span").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), (F.max("end") - F.min("at")).alias("words"), F.min("kept_doc_id").alias("kept_doc_id"), F.min("kept_begin").alias("kept_begin"))
+    return merged.select("doc_id", "key", "begin", "stop", "words", "kept_doc_id", "kept_begin")
 
 
 def _without(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches(rows):
         out = []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True):
             if text is not None and spans:
                 parts, at = [], 0
                 for begin, stop in sorted((s["begin"], s["stop"]) for s in spans):
@@ -117,10 +130,12 @@ def _without(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = max(at, stop)
                 text = "".join(parts) + text[at:]
             out.append(text)
-        yield b.drop_columns(["spans"]).set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+        yield b.drop_columns(["__spans"]).set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
 
-def deduplicated(docs: DataFrame, least: int = 6) -> DataFrame:
-    """``docs`` with the repeated spans taken out of their texts. A null doc_id keeps its text."""
-    spans = repeated_units(docs, least).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, "spans").mapInArrow(_without, docs.schema)
+def deduplicated(docs: DataFrame, least: int = 6, shortest: int = 30) -> DataFrame:
+    """``docs`` with the repeated spans taken out of their texts, by row: rows that share a doc_id, null or not, keep what is their own."""
+    spans = _spans(docs, least, shortest).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.collect_list(F.struct("begin", "stop")).alias("__spans"))
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    same = (F.col("__key") == F.col("__of")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("__id"))
+    return keyed.join(spans, same, "left").select(*docs.columns, "__spans").mapInArrow(_without, docs.schema)

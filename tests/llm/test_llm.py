@@ -92,7 +92,7 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize(("few", "number"), [(0, 300), (16, 2000)])
+@pytest.mark.parametrize(("few", "number"), [(0, 300), (64, 2000)])
 def test_near_duplicates_of_drifting_copies(spark, monkeypatch, few, number):
     rng = random.Random(10)
     base = [prose(rng, 1) + str(k) for k in range(80)]
@@ -214,6 +214,22 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("vec_id = 0")).count() == 0 and ann.nearest(df.filter("vec_id = 1000")).count() == 0
 
 
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 24))
+    x = centres[rng.integers(0, 60, 3000)] + 0.15 * rng.standard_normal((3000, 24))
+    df = spark.createDataFrame([(i, [float(v) for v in r], "x") for i, r in enumerate(x)], "vec_id long, embedding array<double>, bucket string")
+    packed = df.mapInArrow(ann._packed("f8"), "vec_id long, vector binary")
+    fit = ann.fitted(packed, 20, 20, 3000, float(np.linalg.norm(x, axis=1).max()), 2, 11, "f8")
+    assert fit.recall >= ann.TARGET and fit.compared < 0.25
+    hits = 0
+    for r in ann.nearest(df).groupBy("query_id").agg(F.collect_list("vec_id").alias("found")).collect():
+        s = x @ x[r["query_id"]]
+        s[r["query_id"]] = -np.inf
+        hits += len(set(r["found"]) & set(np.lexsort((np.arange(3000), -s))[:20].tolist()))
+    assert hits / (150 * 20) >= 0.9
+
+
 def test_blocks_of_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(ann, "MEMBERS", 50)
     monkeypatch.setattr(ann, "QUERIES", 4)
@@ -451,12 +467,76 @@ def test_line_dedup(spark):
     s = "This sentence has more than six words. "
     p = "Another long line that stands in many documents of this corpus."
     rows = [(5, f"Start here. {s}{p}"), (2, f"{p}\nunlike line in here that is alone, six words\n{p.upper()}"), (9, s + "Tail."), (None, p), (1, "tiny\ntiny"), (3, None), (4, "")]
-    got = sorted(((r["doc_id"], r["begin"], r["stop"], r["kept_doc_id"], r["kept_begin"]) for r in linededup.repeated_units(docs_of(spark, rows)).collect()), key=str)
+    got = sorted(((r["doc_id"], r["begin"], r["stop"], r["kept_doc_id"], r["kept_begin"]) for r in linededup.repeated_units(docs_of(spark, rows), 6, 6).collect()), key=str)
     first = rows[1][1].index(p.upper())
     want = [(5, 12 + len(s), 12 + len(s) + len(p), 2, 0), (2, first, first + len(p), 2, 0), (9, 0, len(s) - 1, 5, 12), (None, 0, len(p), 2, 0)]
     assert got == sorted(want, key=str)
-    out = {r["doc_id"]: r["text"] for r in linededup.deduplicated(docs_of(spark, rows), 6).collect()}
-    assert out[9] == " Tail." and out[2] == rows[1][1].replace(p.upper(), "") and out[3] is None and out[None] == p
+    out = {r["doc_id"]: r["text"] for r in linededup.deduplicated(docs_of(spark, rows), 6, 6).collect()}
+    assert out[9] == " Tail." and out[2] == rows[1][1].replace(p.upper(), "") and out[3] is None and out[None] == ""
+    assert linededup.repeated_units(docs_of(spark, rows)).count() == 0  # too short by themselves
+
+
+def brute_spans(rows, least, shortest):
+    """Spans by doc_id of rows with different ids, computed from all stretches of clauses."""
+    units, seen = {}, {}
+    for i, t in rows:
+        found = [(m.start(), m.start() + len(m.group().rstrip()), m.group().lower().split()) for m in linededup._CLAUSE.finditer(t or "")]
+        at = np.concatenate(([0], np.cumsum([len(w) for _, _, w in found]))).astype(int)
+        own = set()
+        for a in range(len(found)):
+            for b in range(a, len(found)):
+                n = at[b + 1] - at[a]
+                if n >= least and (a == b or n - len(found[b][2]) < least or n - len(found[a][2]) < least):
+                    own.add((found[a][0], found[b][1], int(at[a]), int(at[b + 1]), " ".join(w for c in found[a : b + 1] for w in c[2])))
+        units[i] = sorted(own)
+        for u in own:
+            seen.setdefault(u[4], []).append((i, u[0], u[2]))
+    out = set()
+    for i, own in units.items():
+        gone = [(u, min(seen[u[4]])) for u in own if min(seen[u[4]])[:2] != (i, u[0])]
+        gone = [(u, k) for u, k in gone if not any(v != u and v[0] <= u[0] and u[1] <= v[1] for v, _ in gone)]
+        stretches = []
+        for u, k in sorted(gone, key=lambda x: (x[0][0], -x[0][1])):
+            if stretches and u[2] <= stretches[-1][-1][0][3]:
+                stretches[-1].append((u, k))
+            else:
+                stretches.append([(u, k)])
+        for st in stretches:
+            if max(u[3] for u, _ in st) - st[0][0][2] < shortest:
+                continue
+            spans = []
+            for u, k in st:
+                if spans and spans[-1][1][0] == k[0] and spans[-1][1][2] - spans[-1][0][2] == k[2] - u[2]:
+                    spans[-1] = [(spans[-1][0][0], max(spans[-1][0][1], u[1]), spans[-1][0][2], u[3]), spans[-1][1], spans[-1][2]]
+                else:
+                    spans.append([u, k, u[0]])
+            out |= {(i, s[0][0], s[0][1], s[0][3] - s[0][2], s[1][0]) for s in spans}
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = [", ".join(prose(rng, rng.choice([1, 2, 4, 7, 11])) for _ in range(rng.choice([2, 5, 9]))) + rng.choice([".", "!", "\n"]) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else prose(rng, rng.choice([3, 9])) + ". " for _ in range(rng.choice([1, 3, 6]))]
+        rows.append((i, rng.choice([" ", "\n", ""]).join(parts)))
+    rows += [(900, None), (901, ""), (902, (pool[2] + " ") * 3 + prose(rng, 20_000))]
+    for least, shortest in ((6, 0), (6, 30)):
+        got = {tuple(r)[:5] for r in linededup.repeated_units(docs_of(spark, rows), least, shortest).collect()}
+        assert got == brute_spans(rows, least, shortest)
+
+
+def test_line_dedup_keeps_rows_of_one_id_apart(spark):
+    rng = random.Random(13)
+    q, r = prose(rng, 40) + ".", prose(rng, 33) + "."
+    rows = [(1, f"own one. {q}"), (7, f"{q} tail"), (7, f"x\n{q}"), (7, f"x\n{q}"), (None, r), (None, f"{q} {r}"), (None, "alone"), (8, "")]
+    df = docs_of(spark, rows).withColumn("spans", F.lit(1)).withColumn("key", F.lit("k"))
+    out = sorted(((x["doc_id"], x["text"]) for x in linededup.deduplicated(df).collect()), key=str)
+    left = sorted(t for i, t in out if i is None)
+    assert [t for i, t in out if i == 7] == [" tail", "x\n", "x\n"] and (1, rows[0][1]) in out and (8, "") in out
+    assert left in (sorted([r, " ", "alone"]), sorted(["", f" {r}", "alone"]))  # one of the two keeps what they share
+    assert linededup.deduplicated(df).columns == df.columns and linededup.repeated_units(df.limit(0)).count() == 0
 
 
 def test_line_dedup_inside_sentences(spark):
