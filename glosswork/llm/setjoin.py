@@ -9,12 +9,10 @@ and spends just H + 1 units of capacity on the cheapest segments. The cost of a
 document frequency of its rarest shingle, from a count sketch over all documents.
 
 Pairs that meet under a key are verified exactly on their whole shingle sets. A small bucket gives all its
-pairs. Large buckets become groups, each named by one member. A group gets a hub, and every set x of it the
-difference E(x) to the hub. Sets that link to the hub are one component. As x and y differ in |E(x)| + |E(y)| -
-2 |E(x) & E(y)| shingles, a set that doesn't link to the hub can only link to one with which it shares
-a part of its difference: such pairs are found by the rarest shingles of the differences (a prefix filter), again in
-small buckets or in smaller groups. So no join grows with the square of a group of copies, and no link
-between components is lost.
+pairs. Large buckets become groups, each named by one member. The sets of a group are first verified against a
+hub, the one that differs least from a sample of the others. What this leaves in several components is compared in
+blocks within tasks, by bitmaps and then exactly: only links between components come out, fewer than there are sets. So
+no join makes more rows than a group has, and no link between components is lost.
 
 Sets are held as 64-bit shingle hashes; classes of equal sets as a 128-bit sum over the hashes.
 """
@@ -35,8 +33,8 @@ from .common import batches, components, cut, mix64, pieces, row_key, shingle_se
 SKETCH, PARTS = 1 << 18, 64
 #: A bucket with so many index-probe combinations or fewer gives all its pairs.
 SMALL_BUCKET = 64
-#: Groups of so many members on average are compared pair by pair.
-FEW = 64
+#: Blocks of a group that are compared two at a time hold no more sets than this, and about so many bytes of them.
+BLOCK_ROWS, BLOCK_BYTES = 4_096, 32 << 20
 #: Members of a group among which its hub is chosen.
 SAMPLE = 32
 #: Classes with more copies than this share of all rows (one in so many) are indexed by one of them.
@@ -394,62 +392,44 @@ def _hubs(rows: DataFrame) -> DataFrame:
     return best.select("f", F.col("best.member").alias("hub"), F.col("best.node").alias("hub_node"))
 
 
-_DIFFERENCES = "f long, member long, node long, component long, hub_node long, near boolean, prefix int, elements array<long>"
-
-
-def _differences(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set's difference to the hub of its group, whether it links to the hub, and the length of its prefix.
-
-    With w(x) = 9 |E(x)| - |x|, sets x and y are similar just if they share (w(x) + w(y)) / 18 elements of their
-    differences or more, and x links to a hub of k shingles just if w(x) <= k; no w is below -k. A set that links to
-    the hub needs a partner that doesn't, so w(y) > k; for the others the shared part is no longer than E(y) either.
-    """
-    for b in batches(rows):
-        near, prefix, elements = [], [], []
-        for x, hub in zip(b.column("shingles"), b.column("hub_shingles"), strict=True):
-            x, hub = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, hub))
-            e = np.setxor1d(x, hub, assume_unique=True)
-            w, n, k = 9 * len(e) - len(x), len(x), len(hub)
-            near.append(w <= k)
-            shared = -(-(w + k + 1) // 18) if w <= k else max(-(-(w - k) // 18), -(-(w - n * 5 // 4) // 9))
-            prefix.append(max(0, len(e) - max(1, shared) + 1))
-            elements.append(e.view(np.int64))
-        own = [b.column(c) for c in ("f", "member", "node", "component", "hub_node")]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(near), pa.array(prefix, pa.int32()), pa.array(elements, pa.list_(pa.int64()))], ["f", "member", "node", "component", "hub_node", "near", "prefix", "elements"])
-
-
-def _within(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of groups: links (u, v) to the hubs, pairs (a, b) to verify, and the smaller groups (f, member) that are left."""
-    sets = sets.select("member", "node", "shingles")
-    hubs = cut(_hubs(rows))
-    whole = hubs.join(sets.select(F.col("member").alias("hub"), F.col("node").alias("hub_node"), F.col("shingles").alias("hub_shingles")), ["hub", "hub_node"])
-    apart = cut(rows.drop("bits").join(whole, "f").join(sets, ["member", "node"]).select("f", "member", "node", "component", "hub_node", "shingles", "hub_shingles").mapInArrow(_differences, _DIFFERENCES))
-    links = apart.filter("near and node <> hub_node").select(F.col("node").alias("u"), F.col("hub_node").alias("v"))
-
-    each = apart.select("f", "member", "node", "component", "near", "prefix", F.explode("elements").alias("x"))
-    counts = each.groupBy("f", "x").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far"))
-    order = Window.partitionBy("f", "member", "node").orderBy("n", "x")
-    first = each.join(counts, ["f", "x"]).withColumn("nth", F.row_number().over(order)).filter("nth <= prefix and n > 1 and far > 0").drop("n", "far", "nth", "prefix")
-    first = cut(first)
-    buckets = first.groupBy("f", "x").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far"), F.min("member").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
-    buckets = cut(buckets.filter("far > 0 and n > 1 and low < high").select("f", "x", "least", (F.col("far") * F.col("n") <= SMALL_BUCKET).alias("small")))
-    inside = first.join(buckets, ["f", "x"])
-    small = inside.filter("small")
-    far = small.filter("not near").select("f", "x", F.col("member").alias("a"), F.col("component").alias("c"))
-    pairs = far.join(small.select("f", "x", F.col("member").alias("b"), F.col("component").alias("d")), ["f", "x"]).filter("c <> d").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links, pairs, cut(inside.filter("not small").select(F.col("least").alias("f"), "member").distinct())
-
-
-def _work(rows: DataFrame) -> tuple[int, int]:
-    """The rows of groups, and the sum of the squares of their sizes."""
-    size, work = rows.groupBy("f").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-    return size or 0, work or 0
-
-
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """The pairs of groups that are in different components and whose bitmaps don't rule them out."""
-    one = rows.select("f", F.col("member").alias("a"), F.col("component").alias("c"))
-    return one.join(rows.select("f", F.col("member").alias("b"), F.col("component").alias("d")), "f").filter("c < d").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _to_hubs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the hub of each group and its other members."""
+    hubs = _hubs(rows)
+    return rows.select("f", "member").join(hubs, "f").filter("member <> hub").select(F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b")).distinct()
+
+
+def _compare(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+    """Links between components of a block: of two components no more than one, so that there are fewer links than sets."""
+    node, component, part = (block[c].to_numpy().copy() for c in ("node", "component", "part"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in block["shingles"].chunks for x in c]
+    size = np.array([len(x) for x in sets])
+    bits = np.array(block["bits"].combine_chunks().values, np.int64).view(np.uint64).reshape(len(sets), BITMAP)
+    apart = key[1] != key[2]
+    found = []
+    for i in range(len(sets) - 1):
+        rest = slice(i + 1, None)
+        may = (component[rest] != component[i]) & _fits(size[rest], size[i : i + 1])
+        if apart:
+            may &= part[rest] != part[i]
+        at = np.flatnonzero(may) + i + 1
+        at = at[9 * np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= size[at] + size[i]]
+        for j in at:
+            if component[j] != component[i]:
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 9 * common >= 4 * (size[i] + size[j]):
+                    found.append((node[i], node[j]))
+                    component[component == component[j]] = component[i]
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+
+def _within(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between the components of each group, from blocks of some BLOCK_BYTES of sets that are compared two at a time."""
+    whole = rows.join(sets.select("member", "node", "shingles"), ["member", "node"])
+    sizes = rows.join(sets.select("member", "node", F.octet_length("shingles").alias("bytes")), ["member", "node"]).groupBy("f").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+    sizes = sizes.select("f", F.expr(f"cast(greatest(ceil(bytes / {BLOCK_BYTES}), ceil(n / {BLOCK_ROWS})) as int)").alias("parts"))
+    dealt = whole.join(sizes, "f").withColumn("part", F.pmod(F.xxhash64("member", "node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = dealt.select("f", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "component", "part", "bits", "shingles")
+    return blocks.groupBy("f", "i", "j").applyInArrow(_compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -498,22 +478,16 @@ def _grouped(docs: DataFrame, width: int, by_text: bool) -> DataFrame:
     sets = found.mapInArrow(_sets(width), "member long, node long, shingles binary, bits array<long>")
     sets = cut(sets.repartition("member").groupBy("member", "node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")))
 
-    links, nodes = stored(_links(pairs, sets)), None
-    rows = stored(groups.join(sets.select("member", "node", F.col("node").alias("component"), "bits"), "member"))  # each on its own as yet
-    size, work = _work(rows)
-    while size:
-        if work <= FEW * size:
-            links, nodes = links.union(_links(_all_pairs(rows), sets)), None
-            break
-        direct, pairs, smaller = _within(rows, sets)
-        links = stored(links.union(direct).union(_links(pairs, sets)))
-        nodes = components(links)
-        rows, before = _apart(smaller, sets, nodes), work
-        size, work = _work(rows)
-        if 4 * work > 3 * before:  # the differences part the groups no further
-            links, nodes = links.union(_links(_all_pairs(rows), sets)), None
-            break
-    nodes = components(links) if nodes is None else nodes
+    # large buckets: groups whose name is in another one join it, as most copies meet under many keys
+    low = groups.groupBy(F.col("member").alias("f")).agg(F.min("f").alias("g"))
+    groups = groups.join(low, "f").select(F.col("g").alias("f"), "member").distinct()
+    # first what links to the hub of its group, then what is still apart
+    alone = stored(groups.join(sets.select("member", "node", F.col("node").alias("component"), "bits"), "member"))
+    links = stored(_links(pairs.union(_to_hubs(alone, sets)), sets))
+    nodes = components(links)
+    rows = _apart(groups, sets, nodes)
+    if not rows.isEmpty():
+        nodes = components(links.union(_within(rows, sets)))
 
     grouped = classes.filter("copies > 1").select("node").union(nodes.select("node")).distinct().join(nodes, "node", "left")
     named = classes.join(grouped, "node").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
