@@ -22,9 +22,10 @@ RANKED = 4_096
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, at most ``counts``, so that they add up to ``budget`` or closely below.
 
-    Every length first gives the same share of its documents. Single documents in the order of their lost
-    fraction, then the longest that still fit, bring the rest of the budget below EXACT; a bounded-knapsack programme over
-    the lengths that are left fits that rest.
+    A budget of EXACT or less is fitted by a bounded-knapsack programme over all lengths and counts, so that no
+    other choice comes nearer from below. Of a larger one, every length first gives the same share of its documents, up to half of EXACT below
+    the budget; single documents in the order of their lost fraction, then the longest that still fit, bring the rest below EXACT; the
+    programme fits that rest over the lengths that are left.
     """
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -32,7 +33,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     if budget <= 0:
         return take
-    share = counts * (budget / total)
+    share = counts * (max(0, budget - EXACT // 2) / total if budget > EXACT else 0.0)
     take = np.minimum(np.floor(share).astype(np.int64), counts)
     rest = budget - int((lengths * take).sum())
     for i in np.argsort(-(share - take), kind="stable"):

@@ -170,7 +170,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.3, t
     Statistics of the whole texts are made once; the model is fitted on those of all labelled documents outside the
     held-out fold, and sees nothing but the text. Null texts count as empty and get a score as well. Labels of
     documents that aren't there, null labels and null ids are left out; without labels of both kinds
-    all scores are the share of the one kind, smoothed, or 0.5. Repeated rows keep a row each.
+    all scores are the share of the one kind, smoothed, or 0.5. Repeated rows keep a row each. doc_id is a number; further
+    columns are ignored, whatever their names.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = cut(texts.mapInArrow(_describe, "doc_id long, stats array<double>"))

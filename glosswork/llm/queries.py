@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import ann, chat, decontam, linededup, mix, quality, setjoin, shard, tokens, toxicity
 from .common import table
 
-#: A shard's bytes of text; the ranks of a public byte-level BPE vocabulary.
-SHARD_BYTES = 64 << 20
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A shard holds no more than this part of the bytes of all texts.
+SHARDS = 64
+#: The ranks of a public byte-level BPE vocabulary, where the session doesn't name another file that all executors have.
+RANKS, RANKS_SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.glosswork.bpe.ranks"
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    docs = table(spark, sf_dir, "documents")
+    return shard.assign(docs, shard.share(docs, SHARDS))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +52,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.section_tokens(table(spark, sf_dir, "documents"), RANKS)
+    return tokens.section_tokens(table(spark, sf_dir, "documents"), spark.conf.get(RANKS_SETTING, RANKS))
 
 
 def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +114,7 @@ ORACLES: dict[str, str] = {
         a AS (SELECT doc_id, bytes, lpad(bin(('0x' || substr(h, 1, 15))::BIGINT), 60, '0') AS bits FROM k),
         d AS (SELECT doc_id, bytes, substr(bits, 1, depth) AS shard, depth FROM a, (SELECT unnest(range(0, 40))::INTEGER AS depth)),
         b AS (SELECT depth, shard, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM d GROUP BY depth, shard),
-        f AS (SELECT d.*, shard_bytes, shard_rows FROM d JOIN b USING (depth, shard) WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1)
+        f AS (SELECT d.*, shard_bytes, shard_rows FROM d JOIN b USING (depth, shard) WHERE shard_bytes <= (SELECT greatest(1, (sum(bytes)::BIGINT + {SHARDS - 1}) // {SHARDS}) FROM k) OR shard_rows = 1)
         SELECT doc_id, bytes, shard, depth, shard_bytes, shard_rows FROM f
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -65,10 +65,27 @@ def assign(docs: DataFrame, limit: int, rows_too: bool = False) -> DataFrame:
         low, high = high + 1, min(BITS, high + 2 * MORE)
 
 
-def write_shards(docs: DataFrame, limit: int, path: str) -> None:
-    """Write ``docs`` as Parquet, one folder for each shard. Equal rows each have a shard of their own."""
-    placed = cut(assign(docs, limit, True).select("row", F.concat(F.lit("s"), "shard").alias("shard")))
-    keyed = docs.withColumn("row", F.xxhash64(_key()))
-    repeated = cut(placed.groupBy("row").count().filter("count > 1").select("row"))
-    once = keyed if repeated.isEmpty() else keyed.join(repeated, "row", "left_anti").unionByName(keyed.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
-    once.join(placed, "row").drop("row").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+def share(docs: DataFrame, parts: int) -> int:
+    """The limit of bytes of which ``docs`` holds ``parts``: the texts' bytes over parts, rounded up, one at least."""
+    total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long"))).first()[0] or 0
+    return max(1, -(-total // parts))
+
+
+def write_shards(docs: DataFrame, limit: int, path: str, column: str = "shard") -> None:
+    """Write ``docs`` as Parquet, one folder for each shard, named by ``column``, which ``docs`` may not have.
+
+    Equal rows each have a shard of their own; of rows that share doc_id and text but differ in other columns, every one is written.
+    """
+    if column in docs.columns:
+        raise ValueError(f"{column}: a column of the documents; name another one")
+    placed = assign(docs, limit, True).select("row", F.concat(F.lit("s"), "shard").alias(column))
+    nth = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    keyed = docs.withColumn("__row", F.xxhash64(_key()))
+    repeated = cut(placed.groupBy("row").count().filter("count > 1").select(F.col("row").alias("__row")))
+    single = keyed.join(placed.withColumnRenamed("row", "__row"), "__row") if repeated.isEmpty() else keyed.join(repeated, "__row", "left_anti").join(placed.withColumnRenamed("row", "__row"), "__row")
+    out = single.drop("__row")
+    if not repeated.isEmpty():  # number both sides and pair the numbers
+        rows = keyed.join(repeated, "__row", "left_semi").withColumn("__nth", nth("__row", "__row"))
+        places = placed.withColumnRenamed("row", "__row").join(repeated, "__row", "left_semi").withColumn("__nth", nth("__row", column))
+        out = out.unionByName(rows.join(places, ["__row", "__nth"]).drop("__row", "__nth"))
+    out.repartition(column).write.partitionBy(column).mode("overwrite").parquet(path)

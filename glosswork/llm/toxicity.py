@@ -30,6 +30,8 @@ IDENTITY_TERMS = (
 )
 #: Labelled documents of each class that the fit reads at most, and the features that it keeps at most.
 MOST_ROWS, MOST_FEATURES = 8_000, 8_192
+#: Parts of a class, by the hash of doc_id, that are ranked apart.
+PARTS = 64
 #: Features are hashes of so many bits: of all windows of WIDTH bytes within a word, and of windows of STARTS bytes
 #: at its beginning. The space on either side of a word counts as a part of it.
 BITS, WIDTH, STARTS = 20, 5, (7, 9, 11)
@@ -102,10 +104,11 @@ class Model:
     weights: np.ndarray  # by feature hash
     bias: float
 
-    def score(self, text: str) -> float:
-        found = features(text)
-        found = np.unique(found[self.weights[found] != 0])
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[found].sum(), -30, 30))))
+
+def _scored(text: str, weights: np.ndarray, bias: float) -> float:
+    found = features(text)
+    found = np.unique(found[weights[found] != 0])
+    return float(1 / (1 + np.exp(-np.clip(bias + weights[found].sum(), -30, 30))))
 
 
 def _descend(labels: np.ndarray, own: list, other: list, size: int, swap: float, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -147,16 +150,16 @@ def _descend(labels: np.ndarray, own: list, other: list, size: int, swap: float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", groups=IDENTITY_TERMS, swap: float = 1.0, ridge: float = 1e-5, rounds: int = 2000, most_rows: int = MOST_ROWS) -> Model | float:
-    """Fit on at most ``most_rows`` labelled documents of each class, those of smallest hash of doc_id.
+    """Fit on at most ``most_rows`` labelled documents of each class, of each of PARTS parts of it those of smallest hash of doc_id.
 
     Features are counted over these documents in Spark. Kept are those in three toxic documents or more and at least
     four times as frequent there as in others, the most telling first. What comes to the driver is one short row
     of kept features per document. Without labels of both kinds the model is a constant.
     """
-    known = labels.withColumn("order", F.xxhash64("doc_id"))
-    ranked = known.withColumn("place", F.row_number().over(Window.partitionBy("label", F.pmod("order", F.lit(64))).orderBy("order", "doc_id")))
-    parts = ranked.filter(F.col("place") <= most_rows)  # 64 parts a class, each cut to the bound before they meet
-    chosen = parts.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("order", "doc_id"))).filter(F.col("place") <= most_rows).select("doc_id", "label")
+    # PARTS parts of each class by hash, of which each gives the same number at most
+    order = F.xxhash64("doc_id")
+    place = F.row_number().over(Window.partitionBy("label", F.pmod(order, F.lit(PARTS))).orderBy(order, "doc_id"))
+    chosen = labels.withColumn("place", place).filter(F.col("place") <= max(1, most_rows // PARTS)).select("doc_id", "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_extract(groups), "label int, own array<int>, other array<int>"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -177,9 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", groups=IDENTITY
 
 def _score(shared):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        weights, bias = shared.value
         for b in batches(rows):
-            score = [model if isinstance(model, float) else model.score(x.as_py() or "") for x in b.column("text")]
+            score = [bias if weights is None else _scored(x.as_py() or "", weights, bias) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64())], ["doc_id", "held_out", "score"])
 
     return run
@@ -193,10 +196,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     squared change of the logit penalised, so that a term can't carry the score by itself.
 
     Null texts count as empty. Labels of documents that aren't there, null labels and null ids are left out; without labels
-    of both kinds all scores are the smoothed share of the one kind, or 0.5. Repeated rows keep a row each.
+    of both kinds all scores are the smoothed share of the one kind, or 0.5. Repeated rows keep a row each. doc_id is a number;
+    further columns are ignored, whatever their names.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit(docs, training_labels(labels, "toxic"), groups=groups, swap=swap, most_rows=most_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast((None, model) if isinstance(model, float) else (model.weights, model.bias))  # 4 MB of plain arrays
     scored = texts.withColumn("held_out", held_out()).mapInArrow(_score(shared), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
