@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glosswork.llm import decontam, mix, quality, setjoin, shard
 from glosswork.llm.common import stored, table
-from glosswork.llm.queries import SHARD_BYTES
+from glosswork.llm.queries import SHARDS
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard of each document."""
-    return shard.assign(docs, SHARD_BYTES)
+    return shard.assign(docs, shard.share(docs, SHARDS))
 
 
 STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("mixture", mixed), ("shards", sharded)]
