@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import LEFT, RIGHT, SPACE, any_of
+from .text import LEFT, RIGHT, SPACE, any_of, let
 
 _EDGES = ".,!?;:()[]{}\"'`"
 
@@ -62,7 +62,7 @@ def has_jargon(text: Column, banned: Sequence[str] = rules.TECH_WORDS, phrases:
 
 def has_reference(text: Column, banned: Sequence[str] = rules.TECH_WORDS, phrases: Sequence[str] = rules.TECH_PHRASES, more: Sequence[str] = rules.TECH_REFERENCES) -> Column:
     """Looser than has_jargon: words with an everyday sense count too."""
-    return has_jargon(text, banned, phrases) | overlaps(stripped_tokens(text), more)
+    return let(stripped_tokens(text), lambda tokens: has_substring(text, phrases) | overlaps(tokens, [*banned, *more]))
 
 
 def has_person(text: Column, terms: Sequence[str] = rules.PERSON_WORDS) -> Column:
@@ -81,18 +81,19 @@ def is_sensitive(text: Column, terms: Sequence[str] = rules.SENSITIVE_TERMS) ->
 
 def style_reason(style: Column, text: Column, banned: Sequence[str] = rules.TECH_WORDS, phrases: Sequence[str] = rules.TECH_PHRASES, more: Sequence[str] = rules.TECH_REFERENCES, person: Sequence[str] = rules.PERSON_WORDS, low_taste: Sequence[str] = ()) -> Column:
     """The first rule that a caption breaks, or ``ok``. The ban list and the require list for tech words differ."""
-    jargon = has_jargon(text, banned, phrases)
-    return (
-        F.when(~looks_english(text), "not_english")
-        .when(is_sensitive(text), "sensitive_appearance")
-        .when(has_terms(text, low_taste), "low_taste_term")
-        .when((style == "humorous_non_tech") & jargon, "tech_jargon_banned")
-        .when((style == "humorous_tech") & ~has_reference(text, banned, phrases, more), "missing_tech_term")
-        .when(style.isin("formal", "sarcastic") & F.contains(text, F.lit("!")), "exclamation")
-        .when((style == "formal") & has_person(text, person), "first_second_person")
-        .when((style == "sarcastic") & jargon, "tech_jargon_banned")
-        .otherwise("ok")
-    )
+
+    def by_tokens(tokens: Column) -> Column:
+        jargon = has_substring(text, phrases) | overlaps(tokens, banned)
+        return (
+            F.when((style == "humorous_non_tech") & jargon, "tech_jargon_banned")
+            .when((style == "humorous_tech") & ~(jargon | overlaps(tokens, more)), "missing_tech_term")
+            .when(style.isin("formal", "sarcastic") & F.contains(text, F.lit("!")), "exclamation")
+            .when((style == "formal") & overlaps(tokens, person), "first_second_person")
+            .when((style == "sarcastic") & jargon, "tech_jargon_banned")
+            .otherwise("ok")
+        )
+
+    return F.when(~looks_english(text), "not_english").when(is_sensitive(text), "sensitive_appearance").when(has_terms(text, low_taste), "low_taste_term").otherwise(let(stripped_tokens(text), by_tokens))
 
 
 def style_passes(style: Column, text: Column, **lists) -> Column:

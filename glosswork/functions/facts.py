@@ -5,7 +5,7 @@ A facts column is a struct; fields that it lacks count as null.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .checks import evidence_tokens, style_passes, word_count, words
-from .text import LEFT, RIGHT, lower_lead, one_space
+from .text import LEFT, RIGHT, let, lower_lead, one_space
 
 _CODES = ("too_short", "missing_visual_anchors", "missing_clear_tech_reference")
 
@@ -144,7 +144,7 @@ class Facts:
         extra = F.slice(F.filter(details, lambda x: ~F.contains(F.lower(scene), F.lower(x))), 1, 2)
         formal = F.when(F.size(extra) > 0, F.left(F.concat(scene, F.lit(", with "), F.array_join(extra, " and "), F.lit(".")), F.lit(300))).otherwise(F.concat(scene, F.lit(".")))
         phrase = self.first_words(26)
-        from_scene, from_words = F.when(style == "formal", formal), F.when(style == "formal", F.concat(F.lit("The recording shows "), phrase, F.lit(".")))
+        from_scene, from_words = F.when(style == "formal", formal), F.when(style == "formal", F.concat(F.lit("In view: "), phrase, F.lit(".")))
         for s, (before, after) in grounded.items():
             from_scene = from_scene.when(style == s, F.concat(F.lit(before), F.lower(scene) if before else scene, F.lit(after)))
             from_words = from_words.when(style == s, F.concat(F.lit(before), phrase, F.lit(after)))
@@ -167,11 +167,6 @@ def _by_style(style: Column) -> list[Column]:
     return [reduce(lambda c, s: c.when(style == s, rows[s][i]), rows, F.when(F.lit(False), 0)).otherwise(rules.EVIDENCE_OTHERWISE[i]) for i in range(4)]
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
-
-
 def distinct_but_for_case(items: Column) -> Column:
     """Items in order of first occurrence, those that differ only in case once."""
     once = lambda all_, low: F.filter(all_, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)

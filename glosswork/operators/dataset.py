@@ -50,7 +50,7 @@ def write_caption(style: Column, subjects: Column, action: Column, setting: Colu
     tone = F.coalesce(F.nullif(F.trim(mood), F.lit("")), F.lit("calm"))
     pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (choice(seed, len(xs), key, style) + 1).cast("int"))
     return (
-        F.when(style == "formal", F.concat(pick("The recording shows ", "The footage presents ", "The scene depicts "), who, F.lit(", "), what, F.lit(" in "), where, F.lit(", with a "), tone, F.lit(" mood.")))
+        F.when(style == "formal", F.concat(pick("Here one finds ", "Visible are, in this order, ", "On view: "), who, F.lit(", "), what, F.lit(" in "), where, F.lit(", with a "), tone, F.lit(" mood.")))
         .when(style == "sarcastic", F.concat(pick("Of course ", "Naturally, ", "As everybody had hoped, "), who, F.lit(" spent the day "), what, F.lit(" in "), where, F.lit(", and the world held its breath.")))
         .when(style == "humorous_tech", F.concat(pick("Deployed to production: ", "Pipeline passed: ", "Hotfix shipped: "), who, F.lit(", "), what, F.lit(" in "), where, F.lit(" with zero downtime.")))
         .when(style == "humorous_non_tech", F.concat(pick("Breaking news from the sofa: ", "Meanwhile, in slow motion: ", "Somebody tell grandma: "), who, F.lit(" is "), what, F.lit(" in "), where, F.lit(" again.")))

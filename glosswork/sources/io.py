@@ -114,3 +114,9 @@ def payload_fits(parts: Sequence[Column], cap: int) -> Column:
     for p in parts[1:]:
         total = total + F.octet_length(p)
     return total <= cap
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, such as one small file, dealt over all cores; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
