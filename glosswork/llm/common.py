@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import spread
+
 #: A word is a run of anything but ASCII white space (java.util.regex).
 WORD = r"[^\x20\x09-\x0D]+"
 #: A run of ASCII letters, digits and anything outside ASCII.
@@ -24,7 +26,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read) if name == "documents" else read
 
 
 def ascii_lower(text: Column) -> Column:
