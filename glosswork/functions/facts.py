@@ -86,7 +86,7 @@ class Facts:
             known = F.exists(F.split(F.lower(x), " "), lambda w: (F.char_length(w) > 4) & F.contains(acc.present, w))
             seen = (F.lower(x) == F.lower(base)) | F.exists(acc.picked, lambda p: F.lower(p) == F.lower(x))
             more = F.struct(F.concat(acc.present, F.lit(" "), F.lower(x)).alias("present"), F.array_append(acc.picked, x).alias("picked"))
-            return F.when(known | seen, acc).otherwise(more)
+            return F.when((F.size(acc.picked) >= most) | known | seen, acc).otherwise(more)
 
         picked = F.aggregate(short, start, pick, lambda acc: acc.picked)
         kept = F.transform(within_budget(picked, F.lit(budget - len(" Also visible: .")) - F.char_length(base) - 1, most), lambda x: lower_lead(x))
@@ -130,10 +130,10 @@ class Facts:
     def anchors(self, caption: Column, stop: Sequence[str] = rules.STOP_WORDS) -> Column:
         return F.size(F.array_intersect(evidence_tokens(caption, stop), self.evidence_terms(stop)))
 
-    def evidence_score(self, style: Column, caption: Column, **lists) -> Column:
+    def evidence_score(self, style: Column, caption: Column, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS, **lists) -> Column:
         """Length and anchors, each up to 1, less a fifth for every issue; -10 for a caption that breaks a style rule."""
         _, _, length, anchors = _by_style(style)
-        value = F.least(word_count(caption) / length, F.lit(1.0)) + F.least(self.anchors(caption) / anchors, F.lit(1.0)) - F.size(self.issues(style, caption)) * 0.2
+        value = F.least(word_count(caption) / length, F.lit(1.0)) + F.least(self.anchors(caption, stop) / anchors, F.lit(1.0)) - F.size(self.issues(style, caption, clear, stop)) * 0.2
         return F.when(style_passes(style, caption, **lists), value).otherwise(F.lit(-10.0))
 
     def fallback(self, style: Column, static: dict[str, str] | None = None, grounded: dict[str, tuple[str, str]] | None = None) -> Column:

@@ -19,6 +19,23 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column, most: int = 1)
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
 
 
+def best_candidate(scored: DataFrame, keys: Sequence[str], score: str, order: str) -> DataFrame:
+    """The candidate of highest score of each key, the earlier one of equals."""
+    return first_by(scored, keys, F.desc(score), F.col(order))
+
+
+def accept_early(scored: DataFrame, keys: Sequence[str], clean: Column, score: str, order: str) -> DataFrame:
+    """The first candidate of each key if it is ``clean``, else the one of highest score, the earlier one of equals."""
+    first = scored.groupBy(*keys).agg(F.min(order).alias("_first"))
+    at_once = (F.col(order) == F.col("_first")) & clean
+    return first_by(scored.join(first, list(keys)), keys, at_once.desc(), F.desc(score), F.col(order)).drop("_first")
+
+
+def repair_taken(own: Column, model: Column, built: Column) -> Column:
+    """Which text stays, by score: the model's repair if it is as good as the own one, a built one if it is better than that."""
+    return F.when(built > F.greatest(own, model), "deterministic").when(model >= own, "model").otherwise("original")
+
+
 def first_success(tasks: DataFrame, attempts: DataFrame, keys: Sequence[str], default: Column, value: str) -> DataFrame:
     """Every task with the value of its first good attempt by (provider_rank, model_rank), else the default."""
     best = attempts.filter("ok").groupBy(*keys).agg(F.min_by(F.struct("provider", F.col(value).alias("value")), F.struct("provider_rank", "model_rank")).alias("best"))

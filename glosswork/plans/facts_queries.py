@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.checks import word_count
 from ..functions.facts import Facts
 from ..functions.jsonx import memo_key
 from ..operators import captions as cap
 from ..operators import dataset as ds
 from ..operators import infer
+from ..operators import select as sel
 from ..streaming import stream
 from .mapping import CAPTIONS_SQL, SENTENCES_SQL, STYLE_SQL, STYLES, captions, read, with_facts
 from .table_queries import scratch
-from .text_queries import LISTS, sql_list
+from .text_queries import LISTS, sql_list, sql_reason
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,21 +40,21 @@ def _n_words(x: str) -> str:
     return f"len(list_filter(regexp_split_to_array({x}, '{_WS}'), lambda w: w <> ''))"
 
 
-_FACTS = f"(SELECT doc_id, {STYLE_SQL} AS style, text AS caption, coalesce(s[1], '') AS summary, s[2:6] AS details, s[7:9] AS objects, source AS setting FROM (SELECT *, {SENTENCES_SQL.replace('x -> ', 'lambda x: ')} AS s FROM documents))"
-_ALL = "concat_ws(' ', summary, setting, array_to_string(details, ' '), array_to_string(objects, ' '))"
+_FACTS = f"(SELECT doc_id, {STYLE_SQL} AS style, text AS caption, coalesce(s[1], '') AS summary, s[2:6] AS details, s[7:9] AS objects, s[10:] AS fine, source AS setting, source AS task_id FROM (SELECT *, {SENTENCES_SQL.replace('x -> ', 'lambda x: ')} AS s FROM documents))"
+_ALL = "concat_ws(' ', summary, setting, array_to_string(details, ' '), array_to_string(objects, ' '), array_to_string(fine, ' '))"
 _TERMS = f"list_filter(list_distinct(regexp_extract_all(replace(lower({_ALL}), '/', ' '), '[a-z][a-z0-9-]{{2,}}')), lambda w: len(w) >= 4 AND NOT list_contains({sql_list(STOPS)}, w))"
 _SEEN = f"list_filter(list_distinct(regexp_extract_all(replace(lower(caption), '/', ' '), '[a-z][a-z0-9-]{{2,}}')), lambda w: NOT list_contains({sql_list(STOPS)}, w))"
 _COUNT = "len(regexp_extract_all(caption, '[A-Za-z0-9]+([-''][A-Za-z0-9]+)?'))"
-_RICH = f"({_n_words('summary')} + {_n_words('setting')} + len(details) + len(objects))::BIGINT"
+_RICH = f"({_n_words('summary')} + {_n_words('setting')} + len(details) + len(objects) + len(fine))::BIGINT"
 
 query("prj_facts_score", f"SELECT doc_id, {_RICH} AS score FROM {_FACTS}")(lambda s, d: (lambda df: df.select("doc_id", Facts(df).score().cast("long").alias("score")))(with_facts(s, d)))
 query("flt_facts_useful", f"SELECT doc_id FROM {_FACTS} WHERE {_RICH} >= 8 AND trim(summary) <> ''")(lambda s, d: (lambda df: df.filter(Facts(df).useful()).select("doc_id"))(with_facts(s, d)))
-query("tok_facts", f"SELECT doc_id, lower(concat_ws(' ', nullif(summary, ''), nullif(setting, ''), array_to_string(nullif(details, []), ' '))) AS words FROM {_FACTS}")(lambda s, d: (lambda df: df.select("doc_id", Facts(df).all_text().alias("words")))(with_facts(s, d)))
+query("tok_facts", f"SELECT doc_id, lower(concat_ws(' ', nullif(summary, ''), nullif(setting, ''), array_to_string(nullif(details, []), ' '), array_to_string(nullif(fine[1:8], []), ' '))) AS words FROM {_FACTS}")(lambda s, d: (lambda df: df.select("doc_id", Facts(df).all_text().alias("words")))(with_facts(s, d)))
 query("fct_evidence_terms", f"SELECT doc_id, array_to_string(list_sort({_TERMS}), ' ') AS terms FROM {_FACTS}")(lambda s, d: (lambda df: df.select("doc_id", F.array_join(F.array_sort(Facts(df).evidence_terms(STOPS)), " ").alias("terms")))(with_facts(s, d)))
 
 
 def _phrases_sql(noise: str = "") -> str:
-    long = f"list_filter(list_transform(details || objects || [setting], lambda x: rtrim(trim(x), '.')), lambda x: {_n_words('x')} BETWEEN 2 AND 12{noise})"
+    long = f"list_filter(list_transform(details || fine || objects || [setting], lambda x: rtrim(trim(x), '.')), lambda x: {_n_words('x')} BETWEEN 2 AND 12{noise})"
     return f"SELECT doc_id, array_to_string(list_filter(p, lambda x, i: list_position(list_transform(p, lambda y: lower(y)), lower(x)) = i), '|') AS phrases FROM (SELECT doc_id, {long} AS p FROM {_FACTS})"
 
 
@@ -81,12 +81,32 @@ def _(spark, d):
     return df.select("doc_id", "style", F.array_join(Facts(df).issues(F.col("style"), F.col("caption"), _CLEAR, STOPS), ",").alias("issues"))
 
 
-@query("ev_score", f"SELECT doc_id, round(least({_COUNT} / CASE style WHEN 'formal' THEN 30.0 ELSE 24.0 END, 1.0) + least(len(list_intersect({_SEEN}, {_TERMS})) / CASE style WHEN 'formal' THEN 4.0 ELSE 3.0 END, 1.0), 6) AS score FROM {_FACTS}")
-def _(spark, d):
-    df = with_facts(spark, d)
+_N_ISSUES = f"(({_COUNT} < {_LEAST})::INT + (len(list_intersect({_SEEN}, {_TERMS})) < {_ANCHORS})::INT + (style = 'humorous_tech' AND NOT list_has_any({_SEEN}, {sql_list(_CLEAR)}))::INT)"
+_SCORE = f"round(CASE WHEN {sql_reason('style', 'caption')} <> 'ok' THEN -10.0::DOUBLE ELSE least({_COUNT} / CASE style WHEN 'formal' THEN 30.0 ELSE 24.0 END, 1.0) + least(len(list_intersect({_SEEN}, {_TERMS})) / CASE style WHEN 'formal' THEN 4.0 ELSE 3.0 END, 1.0) - 0.2::DOUBLE * {_N_ISSUES} END, 6)"
+_REPAIRED, _BUILT = "CASE WHEN doc_id % 3 = 0 THEN caption ELSE left(caption, 200) END", "left(replace(caption, '!', '.'), 500)"
+
+
+def _scored_sql(caption: str = "caption") -> str:
+    return f"(SELECT doc_id, task_id, style, {_ISSUES} AS issues, {_SCORE} AS score FROM (SELECT * REPLACE ({caption} AS caption) FROM {_FACTS}))"
+
+
+def _scored(spark: SparkSession, sf_dir: str, **more: str) -> DataFrame:
+    """Captions with their evidence score, the number of their issues, and the scores of other texts in their place."""
+    df = with_facts(spark, sf_dir)
     f = Facts(df)
-    formal = F.col("style") == "formal"
-    return df.select("doc_id", F.round(F.least(word_count(F.col("caption")) / F.when(formal, 30).otherwise(24), F.lit(1.0)) + F.least(f.anchors(F.col("caption"), STOPS) / F.when(formal, 4).otherwise(3), F.lit(1.0)), 6).alias("score"))
+    value = lambda c: F.round(f.evidence_score(F.col("style"), c, _CLEAR, STOPS, **LISTS), 6)
+    codes = f.issues(F.col("style"), F.col("caption"), _CLEAR, STOPS)
+    return df.select("doc_id", "task_id", "style", value(F.col("caption")).alias("score"), F.size(codes).alias("n_issues"), *(value(F.expr(c)).alias(k) for k, c in more.items()))
+
+
+query("ev_score", f"SELECT doc_id, score FROM {_scored_sql()}")(lambda s, d: _scored(s, d).select("doc_id", "score"))
+query("win_best_candidate", f"SELECT task_id, style, doc_id, score FROM {_scored_sql()} QUALIFY row_number() OVER (PARTITION BY task_id, style ORDER BY score DESC, doc_id) = 1")(lambda s, d: sel.best_candidate(_scored(s, d), ["task_id", "style"], "score", "doc_id").select("task_id", "style", "doc_id", "score"))
+query("win_accept_early", f"SELECT task_id, style, doc_id FROM (SELECT *, doc_id = min(doc_id) OVER (PARTITION BY task_id, style) AND issues = '' AS clean FROM {_scored_sql()}) QUALIFY row_number() OVER (PARTITION BY task_id, style ORDER BY clean DESC, score DESC, doc_id) = 1")(
+    lambda s, d: sel.accept_early(_scored(s, d), ["task_id", "style"], F.col("n_issues") == 0, "score", "doc_id").select("task_id", "style", "doc_id")
+)
+query("win_repair_accept", f"SELECT doc_id, CASE WHEN b.score > greatest(o.score, m.score) THEN 'deterministic' WHEN m.score >= o.score THEN 'model' ELSE 'original' END AS taken FROM {_scored_sql()} o JOIN {_scored_sql(_REPAIRED)} m USING (doc_id) JOIN {_scored_sql(_BUILT)} b USING (doc_id)")(
+    lambda s, d: _scored(s, d, model=_REPAIRED, built=_BUILT).select("doc_id", sel.repair_taken(F.col("score"), F.col("model"), F.col("built")).alias("taken"))
+)
 
 
 @query("cap_formal_build")

@@ -21,10 +21,10 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """captions with facts: the first sentence is the summary, the next five the details, three more the objects."""
+    """captions with facts: the first sentence is the summary, the next five the details, three more the objects, all others observations."""
     sentences = F.filter(F.transform(F.split("caption", "[.\n]"), lambda x: F.trim(x)), lambda x: x != "")
-    facts = F.struct(F.get("_s", F.lit(0)).alias("summary"), F.slice("_s", 2, 5).alias("visual_details"), F.slice("_s", 7, 3).alias("salient_objects"), F.col("task_id").alias("setting"))
-    return captions(spark, sf_dir).withColumn("_s", F.slice(sentences, 1, 9)).withColumn("facts", facts).drop("_s")
+    facts = F.struct(F.get("_s", F.lit(0)).alias("summary"), F.slice("_s", 2, 5).alias("visual_details"), F.slice("_s", 7, 3).alias("salient_objects"), F.slice("_s", F.lit(10), F.greatest(F.size("_s") - 9, F.lit(0))).alias("fine_grained_observations"), F.col("task_id").alias("setting"))
+    return captions(spark, sf_dir).withColumn("_s", sentences).withColumn("facts", facts).drop("_s")
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks
+from ..functions import checks, rules
+from ..functions.text import any_of
 from ..operators import captions as cap
 from ..operators import scores as sc
 from ..operators import select as sel
 from ..operators import timeline as tl
 from ..sources import io
 from .mapping import CAPTIONS_SQL, SCORES_SQL, attempts, captions, read, scores
+from .text_queries import sql_list, sql_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,12 +90,12 @@ def _(spark, d):
     return files.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.char_length(F.from_json("line", "text string")["text"])).cast("long").alias("chars"))
 
 
-@query("src_media", "SELECT lang, count(*) > 0 AS found FROM documents GROUP BY lang")
+@query("src_media", "SELECT lang, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY lang")
 def _(spark, d):
     path = scratch(spark)
-    read(spark, d, "documents").select("lang", "text").repartition(2, "lang").write.partitionBy("lang").option("lineSep", "\n").text(path)
-    files = io.media(spark, path, "*.txt").select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), "length", F.octet_length("content").alias("bytes"))
-    return files.groupBy("lang").agg(F.bool_and((F.col("length") == F.col("bytes")) & (F.col("length") > 0)).alias("found"))
+    read(spark, d, "documents").select("lang", "text").write.partitionBy("lang").option("lineSep", "\n").option("maxRecordsPerFile", 2_000).text(path)
+    files = io.media(spark, path, "*.txt").select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.octet_length("content").cast("long").alias("bytes"))
+    return files.groupBy("lang").agg(F.sum("bytes").alias("bytes"))
 
 
 @query("src_results", "SELECT source AS task_id, lang AS style, max(doc_id) AS doc_id FROM documents GROUP BY ALL")
@@ -411,12 +413,19 @@ _TELL = "CASE WHEN regexp_matches(lower(caption), '(of the|rat)') THEN 'ai_tell'
 _GENERIC = "CASE WHEN regexp_matches(lower(caption), '^(the|in|on) ') THEN 'generic' END"
 
 
+_BLEED, _TASTE = ("que", "thand", "der"), ("ble er", "les d", "ich")
+
+
 def _quality_issues(spark, d):
-    rows = captions(spark, d).filter("style <> 'humorous_tech'")
-    return rows.select("doc_id", "task_id", "style", F.explode(cap.quality_check(("of the", "rat"), (), "^(the|in|on) ", banned=("zzz",))).alias("code"))
+    rows = captions(spark, d)
+    return rows.select("doc_id", "task_id", "style", F.explode(cap.quality_check(("of the", "rat"), _TASTE, "^(the|in|on) ", banned=_BLEED)).alias("code"))
 
 
-_QUALITY_SQL = f"SELECT doc_id, task_id, style, unnest([{_TELL}, {_GENERIC}, {_THIN}]) AS code FROM {CAPTIONS_SQL} WHERE style <> 'humorous_tech'"
+_LOW = f"CASE WHEN regexp_matches(lower(caption), '({'|'.join(_TASTE)})') THEN 'low_taste' END"
+_PHRASED = f"regexp_matches(lower(caption), '{any_of(rules.TECH_PHRASES)}')"
+_BLED = f"CASE WHEN style <> 'humorous_tech' AND ({_PHRASED} OR list_has_any({sql_tokens('caption')}, {sql_list(_BLEED)})) THEN 'style_bleed' END"
+_LACKS = f"CASE WHEN style = 'humorous_tech' AND NOT ({_PHRASED} OR list_has_any({sql_tokens('caption')}, {sql_list((*_BLEED, *rules.TECH_REFERENCES))})) THEN 'missing_reference' END"
+_QUALITY_SQL = f"SELECT doc_id, task_id, style, unnest([{_TELL}, {_LOW}, {_GENERIC}, {_BLED}, {_LACKS}, {_THIN}]) AS code FROM {CAPTIONS_SQL}"
 query("aud_quality", f"SELECT doc_id, style, code FROM ({_QUALITY_SQL}) WHERE code IS NOT NULL")(lambda s, d: _quality_issues(s, d).select("doc_id", "style", "code"))
 query("set_issue_union", f"SELECT task_id, style, code, count(*) AS n FROM ({_QUALITY_SQL} UNION ALL {_SELF_SQL}) WHERE code IS NOT NULL GROUP BY ALL")(
     lambda s, d: _quality_issues(s, d).unionByName(_self_issues(s, d)).groupBy("task_id", "style", "code").agg(F.count("*").alias("n"))
@@ -434,26 +443,6 @@ def _report(spark, d):
 # --- windows -----------------------------------------------------------------------------------------------------
 
 
-@query("win_best_candidate", "SELECT source, lang, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) = 1")
-def _(spark, d):
-    return sel.first_by(read(spark, d, "documents"), ["source", "lang"], F.desc("n_chars"), F.col("doc_id")).select("source", "lang", "doc_id", "n_chars")
-
-
-@query("win_accept_early", "SELECT source, lang, doc_id FROM (SELECT *, doc_id = min(doc_id) OVER (PARTITION BY source, lang) AND NOT contains(text, '!') AS clean FROM documents) QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY clean DESC, n_chars DESC, doc_id) = 1")
-def _(spark, d):
-    docs = read(spark, d, "documents")
-    first = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("primary"))
-    clean = (F.col("doc_id") == F.col("primary")) & ~F.contains("text", F.lit("!"))
-    return sel.first_by(docs.join(first, ["source", "lang"]), ["source", "lang"], clean.desc(), F.desc("n_chars"), F.col("doc_id")).select("source", "lang", "doc_id")
-
-
-@query("win_repair_accept", "SELECT doc_id, CASE WHEN length(b) > greatest(length(text), length(a)) THEN 'deterministic' WHEN length(a) >= length(text) THEN 'model' ELSE 'original' END AS taken FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN reverse(text) ELSE left(text, 10) END AS a, left(text, 500) || 'x' AS b FROM documents)")
-def _(spark, d):
-    own, model, built = F.char_length("text"), F.char_length(F.when(F.pmod("doc_id", F.lit(3)) == 0, F.reverse("text")).otherwise(F.left("text", F.lit(10)))), F.char_length(F.concat(F.left("text", F.lit(500)), F.lit("x")))
-    best = F.when(model >= own, model).otherwise(own)
-    return read(spark, d, "documents").select("doc_id", F.when(built > best, "deterministic").when(model >= own, "model").otherwise("original").alias("taken"))
-
-
 @query("win_failover", "WITH a AS (SELECT user_id, ts::DATE AS day, event_type, event_id, value, CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS r FROM events) SELECT user_id, day, coalesce(arg_min(event_type, (r, event_id)) FILTER (event_type <> 'error'), 'fallback') AS provider, coalesce(arg_min(value, (r, event_id)) FILTER (event_type <> 'error'), -1.0) AS value FROM a GROUP BY user_id, day")
 def _(spark, d):
     tries = attempts(spark, d)
