@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, row_key
+from .common import BROADCAST_ROWS, batches, row_key
 
 #: Part of a line up to a mark that white space follows, or up to the end of the line.
 _CLAUSE = re.compile(r"(?=\S)[^\n,;:.!?]*(?:[,;:.!?](?!\s)[^\n,;:.!?]*)*[,;:.!?]?")
@@ -96,9 +96,19 @@ def repeated_units(docs: DataFrame, least: int = 6, shortest: int = 30) -> DataF
     return _spans(docs, least, shortest).drop("key")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __key: 0 where no other text has the doc_id, else, and without a doc_id, a hash of both. Zeros cost nothing in a shuffle."""
+    rows = docs.withColumn("__hash", row_key("doc_id", "text"))
+    shared = rows.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("__hash").alias("low"), F.max("__hash").alias("high")).filter("low <> high").select("__id")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    key = F.when(F.col("doc_id").isNull() | F.col("__id").isNotNull(), F.col("__hash")).otherwise(F.lit(0).cast("long"))
+    return rows.join(shared, F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, key.alias("__key"))
+
+
 def _spans(docs: DataFrame, least: int, shortest: int) -> DataFrame:
     """What repeated_units gives, with the key of each row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key("doc_id", "text").alias("key"))
+    slim = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = slim.withColumnRenamed("__key", "key")
     units = texts.mapInArrow(_units(least), _UNITS)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "begin", "at")
     groups = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).filter("n > 1").drop("n")
@@ -136,6 +146,6 @@ def _without(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame, least: int = 6, shortest: int = 30) -> DataFrame:
     """``docs`` with the repeated spans taken out of their texts, by row: rows that share a doc_id, null or not, keep what is their own."""
     spans = _spans(docs, least, shortest).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.collect_list(F.struct("begin", "stop")).alias("__spans"))
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    keyed = _keyed(docs)
     same = (F.col("__key") == F.col("__of")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("__id"))
     return keyed.join(spans, same, "left").select(*docs.columns, "__spans").mapInArrow(_without, docs.schema)
