@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import rules
-from .checks import words
 
 _NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?)"
 
@@ -116,7 +115,3 @@ def time_label(number: Column, total: Column, seconds: Column) -> Column:
 
 def data_uri(content: Column, mime: str) -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64(content), "[\r\n]", ""))
-
-
-def reply_words(text: Column) -> Column:
-    return F.size(words(text))
