@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, decontam, linededup, mix, quality, setjoin, shard, tokens, toxicity
+from . import align, ann, chat, decontam, divergence, linededup, mix, quality, setjoin, shard, tokens, toxicity
 from .common import table
 
 #: A shard holds no more than this part of the bytes of all texts.
 SHARDS = 64
 #: The ranks of a public byte-level BPE vocabulary, where the session doesn't name another file that all executors have.
 RANKS, RANKS_SETTING = "/opt/tokenizers/byte_bpe_50k.tiktoken", "spark.glosswork.bpe.ranks"
+#: Likewise the two tokenizers that are aligned.
+BYTE_LEVEL, BYTE_LEVEL_SETTING = "/opt/tokenizers/byte_bpe_50k.json", "spark.glosswork.bpe.json"
+PIECES, PIECES_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.glosswork.pieces.model"
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,14 @@ def op10_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(table(spark, sf_dir, "documents"), spark.conf.get(BYTE_LEVEL_SETTING, BYTE_LEVEL), spark.conf.get(PIECES_SETTING, PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_multiprobe_neighbours": op2_multiprobe_neighbours,
@@ -70,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_section_tokens": op9_section_tokens,
     "op10_toxicity_classifier": op10_toxicity_classifier,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -117,4 +130,21 @@ ORACLES: dict[str, str] = {
         f AS (SELECT d.*, shard_bytes, shard_rows FROM d JOIN b USING (depth, shard) WHERE shard_bytes <= (SELECT greatest(1, (sum(bytes)::BIGINT + {SHARDS - 1}) // {SHARDS}) FROM k) OR shard_rows = 1)
         SELECT doc_id, bytes, shard, depth, shard_bytes, shard_rows FROM f
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1""",
+    "op11_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+        t AS (SELECT row, lang, source, unnest(ts) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+        a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, lang_n, v, total FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS (SELECT *, (1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)) AS p, (1 + 1000000000::HUGEINT * (lang_n + 2) // (total + 2 * v)) AS q FROM a),
+        pair AS (SELECT x.lang, x.source, y.source AS item, (sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)))::BIGINT AS value
+                 FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+        u AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+              FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pair ON pair.lang = g.lang AND pair.source = g.source AND pair.item = h.source
+              UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM u QUALIFY part = 'pair' OR rank <= 10""",
 }
