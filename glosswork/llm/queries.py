@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, ann, chat, decontam, divergence, linededup, mix, quality, setjoin, shard, tokens, toxicity
+from . import align, ann, chat, decontam, divergence, linededup, minhash, mix, quality, setjoin, shard, tokens, toxicity
 from .common import table
 
 #: A shard holds no more than this part of the bytes of all texts.
@@ -66,6 +66,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment(table(spark, sf_dir, "documents"), spark.conf.get(BYTE_LEVEL_SETTING, BYTE_LEVEL), spark.conf.get(PIECES_SETTING, PIECES))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_section_tokens": op9_section_tokens,
     "op10_toxicity_classifier": op10_toxicity_classifier,
     "op11_source_divergence": op11_source_divergence,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, components, cut, mix64, pieces, row_key, shingle_sets, stored, without_rows
 
+#: Least similarity of linked sets, in hundredths.
+PERCENT = 80
 #: Counters of the document-frequency sketch (4 bytes each) and the parts in which it is summed.
 SKETCH, PARTS = 1 << 18, 64
 #: A bucket with so many index-probe combinations or fewer gives all its pairs.
@@ -233,10 +235,10 @@ def _signatures(width: int, frequency, heavy):
     return run
 
 
-def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of such sizes can have a similarity of 0.8."""
+def _fits(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sets of such sizes can have the similarity."""
     low, high = np.minimum(a, b), np.maximum(a, b)
-    return 5 * low >= 4 * high
+    return 100 * low >= percent * high
 
 
 def _meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,16 +345,21 @@ def _named(width: int):
     return run
 
 
-def _verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches(rows):
-        keep = np.zeros(b.num_rows, bool)
-        for i, (x, y) in enumerate(zip(b.column("first"), b.column("second"), strict=True)):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep[i] = 100 * common >= 80 * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep))], ["u", "v"])
+def _verify(percent: int):
+    """The pairs whose sets have the similarity."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("first"), b.column("second"), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = np.concatenate((x, y))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep))], ["u", "v"])
+
+    return run
 
 
 def _differing(p: str, q: str) -> str:
@@ -360,7 +367,7 @@ def _differing(p: str, q: str) -> str:
     return " + ".join(f"bit_count({p}[{i}] ^ {q}[{i}])" for i in range(BITMAP))
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of members whose shingle sets are similar, as nodes (u, v).
 
     Bitmaps and sizes are joined first; the sets themselves only for pairs that these don't rule out.
@@ -368,10 +375,10 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     light = sets.select("member", "node", "bits", F.expr("octet_length(shingles) div 8").alias("n"))
     left = light.select(F.col("member").alias("a"), F.col("node").alias("u"), F.col("bits").alias("p"), "n")
     right = light.select(F.col("member").alias("b"), F.col("node").alias("v"), F.col("bits").alias("q"), F.col("n").alias("m"))
-    near = pairs.select("a", "b").join(left, "a").join(right, "b").filter(F.expr(f"u <> v and {_differing('p', 'q')} <= (n + m) div 9")).select("a", "b", "u", "v")
+    near = pairs.select("a", "b").join(left, "a").join(right, "b").filter(F.expr(f"u <> v and ({_differing('p', 'q')}) * {100 + percent} <= (n + m) * {100 - percent}")).select("a", "b", "u", "v")
     first = sets.select(F.col("member").alias("a"), F.col("node").alias("u"), F.col("shingles").alias("first"))
     second = sets.select(F.col("member").alias("b"), F.col("node").alias("v"), F.col("shingles").alias("second"))
-    return near.join(first, ["a", "u"]).join(second, ["b", "v"]).select("u", "v", "first", "second").mapInArrow(_verify, "u long, v long")
+    return near.join(first, ["a", "u"]).join(second, ["b", "v"]).select("u", "v", "first", "second").mapInArrow(_verify(percent), "u long, v long")
 
 
 def _apart(groups: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -398,7 +405,7 @@ def _to_hubs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("f", "member").join(hubs, "f").filter("member <> hub").select(F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b")).distinct()
 
 
-def _compare(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+def _compare(key: tuple[pa.Scalar, ...], block: pa.Table, percent: int) -> pa.Table:
     """Links between components of a block: of two components no more than one, so that there are fewer links than sets."""
     node, component, part = (block[c].to_numpy().copy() for c in ("node", "component", "part"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in block["shingles"].chunks for x in c]
@@ -408,28 +415,28 @@ def _compare(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
     found = []
     for i in range(len(sets) - 1):
         rest = slice(i + 1, None)
-        may = (component[rest] != component[i]) & _fits(size[rest], size[i : i + 1])
+        may = (component[rest] != component[i]) & _fits(size[rest], size[i : i + 1], percent)
         if apart:
             may &= part[rest] != part[i]
         at = np.flatnonzero(may) + i + 1
-        at = at[9 * np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= size[at] + size[i]]
+        at = at[(100 + percent) * np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (size[at] + size[i])]
         for j in at:
             if component[j] != component[i]:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 9 * common >= 4 * (size[i] + size[j]):
+                if (100 + percent) * common >= percent * (size[i] + size[j]):
                     found.append((node[i], node[j]))
                     component[component == component[j]] = component[i]
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
-def _within(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def _within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between the components of each group, from blocks of some BLOCK_BYTES of sets that are compared two at a time."""
     whole = rows.join(sets.select("member", "node", "shingles"), ["member", "node"])
     sizes = rows.join(sets.select("member", "node", F.octet_length("shingles").alias("bytes")), ["member", "node"]).groupBy("f").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
     sizes = sizes.select("f", F.expr(f"cast(greatest(ceil(bytes / {BLOCK_BYTES}), ceil(n / {BLOCK_ROWS})) as int)").alias("parts"))
     dealt = whole.join(sizes, "f").withColumn("part", F.pmod(F.xxhash64("member", "node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = dealt.select("f", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "component", "part", "bits", "shingles")
-    return blocks.groupBy("f", "i", "j").applyInArrow(_compare, "u long, v long")
+    return blocks.groupBy("f", "i", "j").applyInArrow(lambda key, block: _compare(key, block, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -468,6 +475,14 @@ def _grouped(docs: DataFrame, width: int, by_text: bool) -> DataFrame:
     met = cut(sorted_keys.mapInArrow(_meet, "kind byte, a long, b long").distinct())
     pairs, groups = met.filter("kind = 0").select("a", "b"), met.filter("kind = 1").select(F.col("a").alias("f"), F.col("b").alias("member"))
 
+    return named_rows(base, classes, linked(texts, classes, pairs, groups, width, PERCENT))
+
+
+def linked(texts: DataFrame, classes: DataFrame, pairs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """Components (node, component) of the links among candidate ``pairs(a, b)`` and within ``groups(f, member)``, which both name classes by d1.
+
+    ``classes(d1, d2, n, low, node)`` are the distinct sets of ``texts(doc_id, text)``. Similarity is verified on whole sets.
+    """
     members = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).union(groups.select("member")).distinct()
     chosen = cut(classes.join(members, classes.d1 == members.member).select("member", "node", "low", "d2", "n"))
     wanted = chosen.filter("low is not null").select(F.col("low").alias("doc_id"), "member", "d2", "node")
@@ -483,12 +498,16 @@ def _grouped(docs: DataFrame, width: int, by_text: bool) -> DataFrame:
     groups = groups.join(low, "f").select(F.col("g").alias("f"), "member").distinct()
     # first what links to the hub of its group, then what is still apart
     alone = stored(groups.join(sets.select("member", "node", F.col("node").alias("component"), "bits"), "member"))
-    links = stored(_links(pairs.union(_to_hubs(alone, sets)), sets))
+    links = stored(_links(pairs.union(_to_hubs(alone, sets)), sets, percent))
     nodes = components(links)
     rows = _apart(groups, sets, nodes)
     if not rows.isEmpty():
-        nodes = components(links.union(_within(rows, sets)))
+        nodes = components(links.union(_within(rows, sets, percent)))
+    return nodes
+
 
+def named_rows(base: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``base(doc_id, key, n, d1, d2)`` with their component, null where a row links with nothing."""
     grouped = classes.filter("copies > 1").select("node").union(nodes.select("node")).distinct().join(nodes, "node", "left")
     named = classes.join(grouped, "node").select("d1", "d2", "n", F.coalesce("component", "node").alias("component"))
     joined = base.join(named, ["d1", "d2", "n"], "left")
