@@ -157,13 +157,39 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: in
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), repeats: int = 3, seed: int = 20) -> DataFrame:
-    """``docs`` with every row as often as the mixture takes it. Rows without words stay as they are, once."""
-    plan = mixture(docs, weights, repeats, seed).groupBy("row").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"), F.max("size").alias("size"))
-    plan = plan.withColumn("copies", F.when(F.col("size") == 0, F.col("rows")).otherwise(F.col("copies"))).filter("copies > 0")
+    """``docs`` with every row as often as the mixture takes it. Rows without words, null texts among them, stay as they are, once.
+
+    Rows that agree in doc_id, source and text but not in other columns share what the mixture takes of them evenly; of what is left over, those
+    first in the order of a hash of all columns get one more each. Reruns agree. An empty table stays empty.
+    """
+    plan = mixture(docs, weights, repeats, seed).filter("size > 0").groupBy("doc_id", "row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    plan = cut(plan.filter("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("row").alias("__key"), "__copies", "__rows"))
     keyed = docs.withColumn("__row", row_key("doc_id", "source", "text"))
-    plan = cut(plan.select(F.col("row").alias("__row"), F.col("copies").alias("__copies"), "rows"))
-    several = plan.filter("rows > 1")
-    taken = keyed.join(plan.filter("rows = 1").drop("rows"), "__row")
-    if not several.isEmpty():
-        taken = taken.unionByName(keyed.join(several.drop("rows"), "__row").dropDuplicates(["__row"]))
-    return taken.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key"))
+    words = F.coalesce(F.rlike(F.col("text").cast("string"), F.lit(WORD)), F.lit(False))
+    alone = F.when(~words, F.lit(1).cast("long")).when(F.col("__rows") == 1, F.col("__copies"))
+    taken = keyed.join(_small(plan), same, "left").withColumn("__times", alone).filter("__times > 0")
+    out = taken.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(docs.columns)
+    several = plan.filter("__rows > 1")
+    return out if several.isEmpty() else out.unionByName(_shared(keyed.join(_small(several), same), docs.columns))
+
+
+def _shared(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of keys that several rows have, as often as their shares of the keys' copies say.
+
+    Equal rows are counted first. What differs within a key is numbered in parts of some RANKED, and copies of one row are made in runs of that many.
+    """
+    keyed = rows.withColumn("__of", F.concat_ws(" ", F.coalesce(F.col("__id").cast("string"), F.lit("null")), F.col("__key").cast("string")))
+    kinds = keyed.groupBy(*columns, "__of", "__copies", "__rows").agg(F.count("*").alias("__n"))
+    kinds = cut(kinds.withColumn("__order", F.xxhash64(F.to_json(F.struct(*columns)))))
+    slim = kinds.select("__of", "__n", "__order", "__copies", "__rows")
+    parts = slim.groupBy("__of").agg(F.ceil(F.count("*") / RANKED).alias("__parts"))
+    slim = slim.join(parts, "__of").withColumn("__part", F.expr("pmod(__order, __parts)"))
+    upto = Window.partitionBy("__of").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = slim.groupBy("__of", "__part").agg(F.sum("__n").alias("m")).select("__of", "__part", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("__skipped"))
+    inside = Window.partitionBy("__of", "__part").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    slim = slim.withColumn("__upto", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(before, ["__of", "__part"])
+    more = "greatest(0L, least(__n, __copies - (__copies div __rows) * __rows - __skipped - __upto))"
+    shares = slim.select("__of", "__order", F.expr(f"(__copies div __rows) * __n + {more}").alias("__times")).filter("__times > 0")
+    runs = kinds.join(shares, ["__of", "__order"]).withColumn("__run", F.explode(F.expr(f"sequence(0L, (__times - 1) div {RANKED})"))).repartition("__of", "__run")
+    return runs.withColumn("__nth", F.explode(F.expr(f"sequence(1L, least({RANKED}L, __times - __run * {RANKED}))"))).select(columns)

@@ -467,6 +467,32 @@ def test_mixture(spark):
     assert mix.mixture(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ranked", [4_096, 3])
+def test_mixed_keeps_the_columns_of_every_row(spark, monkeypatch, ranked):
+    monkeypatch.setattr(mix, "RANKED", ranked)
+    rows = [(1, "a b c", "en", "x", 0), (1, "a b c", "fr", "x", 0), (2, "", "en", "x", 0), (2, "", "fr", "x", 0), (None, None, "en", "x", 0), (None, None, "fr", None, 1)]
+    rows += [(None, "hot row of words", "en", "y", i % 5) for i in range(200)] + [(7, "equal rows of words", "en", "x", 0)] * 30
+    rows += [(10 + i, "some more words " * (i % 7 + 1), "en", "x" if i % 9 else "y", 0) for i in range(120)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("__count", F.lit("z"))
+    got = collections.Counter(tuple(r)[:5] for r in mix.mixed(df.repartition(5)).collect())
+    plan = collections.defaultdict(list)
+    for r in mix.mixture(df).collect():
+        plan[r["doc_id"], r["source"], r["size"]].append(r["copies"])
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[0], r[3], len((r[1] or "").split())].append(r)
+    for key, held in groups.items():
+        if not key[2]:
+            assert all(got[r] == held.count(r) for r in held)
+            continue
+        total = sum(plan[key])
+        assert sum(got[r] for r in set(held)) == total
+        for r in set(held):  # even shares of what the mixture takes
+            assert total // len(held) * held.count(r) <= got[r] <= -(-total // len(held)) * held.count(r)
+    assert sum(got.values()) == sum(sum(c) for k, c in plan.items() if k[2]) + 4
+    assert got == collections.Counter(tuple(r)[:5] for r in mix.mixed(df.repartition(3)).collect())
+
+
 def test_parts_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(mix, "RANKED", 8)
     df = docs_of(spark, [(i, "one two three") for i in range(300)], ["a", "b", "c"])
