@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +15,9 @@ from .common import batches, cut
 #: A term is a run of ASCII letters and anything outside ASCII, in UTF-8.
 TERM = rb"[A-Za-z\x80-\xff]+"
 #: Counts are summed within a task until so many terms, or so many bytes of them, are held.
-HELD, HELD_BYTES = 200_000, 32 << 20
+HELD, HELD_BYTES = 400_000, 64 << 20
+#: Bits for the documents of a sum that holds occurrences and documents.
+SHIFT = 40
 #: Tables of no more rows than this are broadcast (some 20 MB); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Probabilities are in parts of this many.
@@ -24,46 +26,53 @@ SCALE = 1_000_000_000
 
 def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weighted counts of the terms of texts: each text is read once and counts for each of its sources as often as it stands there."""
-    found: dict[tuple[str, str, bytes], list[int]] = {}
-    size = 0
+    found: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)  # a term's occurrences, shifted, and documents
+    held = size = 0
 
     def made():
-        keys = found.keys()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())],
-            ["lang", "source", "term", "n", "docs"],
-        )
+        for (lang, source), sums in found.items():
+            counts = list(sums.values())
+            n, docs = pa.array([c >> SHIFT for c in counts], pa.int64()), pa.array([c & (1 << SHIFT) - 1 for c in counts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array([source] * len(counts)), pa.array(list(sums), pa.binary()).cast(pa.string()), n, docs], ["lang", "source", "term", "n", "docs"])
 
     for b in batches(rows):
         for lang, sources, text in zip(b.column("lang").to_pylist(), b.column("sources").to_pylist(), b.column("text"), strict=True):
             terms = Counter(re.findall(TERM, text.as_buffer().to_pybytes().lower()))
             for source in sources:
-                copies = source["copies"]
+                sums, copies = found[lang, source["source"]], source["copies"]
+                before = len(sums)
                 for term, n in terms.items():
-                    sums = found.get(key := (lang, source["source"], term))
-                    if sums is None:
-                        sums = found[key] = [0, 0]
-                        size += len(term)
-                    sums[0] += n * copies
-                    sums[1] += copies
-                if len(found) > HELD or size > HELD_BYTES:
+                    sums[term] = sums.get(term, 0) + ((n << SHIFT) + 1) * copies
+                held += len(sums) - before
+                size += sum(map(len, terms)) if len(sums) > before else 0
+                if held > HELD or size > HELD_BYTES:
                     yield from made()
                     found.clear()
-                    size = 0
-    if found:
-        yield from made()
+                    held = size = 0
+    yield from made()
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
     """One row per distinct text of a language: lang, text and its sources with the number of copies in each.
 
-    Copies are counted by digest, lang and source before texts are dealt, and one row of them is kept in each task, so a text that a third
-    of the rows share moves once a task. sources holds no more entries than the language has sources.
+    Copies are counted by digest. Only texts that several rows have are dealt, after one row of them is kept in each task, so a text that a
+    third of the rows share moves once a task; the others stay where they are, while the digests of the several fit a
+    broadcast. sources holds no more entries than the language has sources.
     """
-    rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text"))).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    rows = _keyed(docs, "text").withColumn("digest", F.unhex(F.sha2("text", 256)))
     copies = rows.groupBy("lang", "digest", "source").agg(F.count("*").alias("copies"))
-    sources = copies.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "copies")).alias("sources"))
-    return rows.dropDuplicates(["lang", "digest"]).select("lang", "digest", "text").join(sources, ["lang", "digest"]).select("lang", "text", "sources")
+    several = copies.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "copies")).alias("sources"), F.sum("copies").alias("all")).filter("all > 1").drop("all")
+    several = cut(several.select("lang", "digest", "sources", F.size("sources").alias("entries")))
+    small = (several.agg(F.sum("entries")).first()[0] or 0) <= BROADCAST_ROWS
+    side = F.broadcast(several.drop("entries")) if small else several.drop("entries")
+    one = rows.join(side.drop("sources"), ["lang", "digest"], "left_anti").select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("copies"))).alias("sources"))
+    many = rows.join(side, ["lang", "digest"]).select("lang", "digest", "text", "sources").dropDuplicates(["lang", "digest"]).select("lang", "text", "sources")
+    return one.unionByName(many)
+
+
+def _keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """lang, source and more columns as strings, null as empty."""
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", *more)))
 
 
 def _p(n: str, total: str, terms: str) -> str:
@@ -94,14 +103,14 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFram
     Null text, lang and source are ''; repeated rows count each; further columns are ignored. A language of one source has no pair rows,
     one without kept terms has pairs of value 0; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    texts = collapsed(docs)
-    counted = texts.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    by_source = cut(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = by_source.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("lang_docs")).filter(F.col("lang_docs") >= least_docs).drop("lang_docs")
-    terms = cut(by_source.drop("docs").join(kept, ["lang", "term"]))
-
-    occurring = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source"))).distinct()
+    counted = collapsed(docs).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    # dealt by term alone: the sums by source and the documents of the language need no further shuffle
+    by_source = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    held = Window.partitionBy("lang", "term")
+    kept = by_source.withColumns({"lang_n": F.sum("n").over(held), "lang_docs": F.sum("docs").over(held)}).filter(F.col("lang_docs") >= least_docs)
+    terms = cut(kept.select("lang", "source", "term", "n", "lang_n"))
+
+    occurring = _keyed(docs).distinct()
     sizes = terms.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
     totals = terms.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = occurring.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
