@@ -33,7 +33,7 @@ def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), sums in found.items():
             counts = list(sums.values())
             n, docs = pa.array([c >> SHIFT for c in counts], pa.int64()), pa.array([c & (1 << SHIFT) - 1 for c in counts], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts)), pa.array([source] * len(counts)), pa.array(list(sums), pa.binary()).cast(pa.string()), n, docs], ["lang", "source", "term", "n", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([source] * len(counts), pa.string()), pa.array(list(sums), pa.binary()).cast(pa.string()), n, docs], ["lang", "source", "term", "n", "docs"])
 
     for b in batches(rows):
         for lang, sources, text in zip(b.column("lang").to_pylist(), b.column("sources").to_pylist(), b.column("text"), strict=True):
