@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import human_list
+from .ordered import ranked, small
 
 
 def seeded(seed: str, *parts: Column | str) -> Column:
@@ -21,20 +22,28 @@ def choice(seed: str, n: Column | int, *parts: Column | str) -> Column:
 
 
 def balanced_draw(df: DataFrame, category: str, n: int, seed: str, key: str) -> DataFrame:
-    """n rows over the k categories: n // k of each, and one more of the first n mod k by name."""
-    names = df.select(category).distinct()
+    """n rows over the k categories: n // k of each, and one more of the first n mod k by name.
+
+    No task sorts a whole category: every task first keeps no more of it than the largest quota.
+    """
+    names = ranked(df.select(category).distinct(), [], [category], "_cat")
     total = names.count()
-    ranked = names.withColumn("_cat", F.row_number().over(Window.orderBy(category)))  # one row per category
-    quota = F.lit(n // total) + F.when(F.col("_cat") <= n % total, 1).otherwise(0)
+    quota = small(names.select(F.col(category).alias("_of"), (F.lit(n // max(1, total)) + F.when(F.col("_cat") <= n % max(1, total), 1).otherwise(0)).alias("_quota")))
     order = F.row_number().over(Window.partitionBy(category).orderBy(seeded(seed, key), key))
-    return df.join(F.broadcast(ranked.withColumn("_quota", quota)), category).withColumn("_n", order).filter(F.col("_n") <= F.col("_quota")).drop("_cat", "_quota", "_n")
+    drawn = df.withColumn("_n", order).filter(F.col("_n") <= n // max(1, total) + 1)
+    return drawn.join(quota, drawn[category].eqNullSafe(quota["_of"])).filter(F.col("_n") <= F.col("_quota")).drop("_of", "_quota", "_n")
+
+
+def shuffled(df: DataFrame, keys: Sequence[str], seed: str, key: str, place: str = "place") -> DataFrame:
+    """``df`` with the place of each row in a seeded order of its keys, from 1; no task holds all rows of a key."""
+    return ranked(df.withColumn("_seeded", seeded(seed, key)), keys, ["_seeded", key], place).drop("_seeded")
 
 
 def cycled(pool: DataFrame, order: str, quota: int) -> DataFrame:
-    """``quota`` rows from a small pool, from its first on and over again; ``slot`` counts from 0."""
-    ranked = pool.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
-    slots = pool.sparkSession.range(quota).select(F.col("id").alias("slot"), F.pmod("id", F.lit(max(1, pool.count()))).alias("_at"))
-    return slots.join(F.broadcast(ranked), "_at").drop("_at")
+    """``quota`` rows from a pool, from its first on and over again; ``slot`` counts from 0."""
+    places = ranked(pool, [], [order], "_place")
+    slots = pool.sparkSession.range(quota).select(F.col("id").alias("slot"), (F.pmod("id", F.lit(max(1, pool.count()))) + 1).alias("_place"))
+    return slots.join(small(places), "_place").drop("_place")
 
 
 def cross_styles(df: DataFrame, styles: Sequence[str]) -> DataFrame:

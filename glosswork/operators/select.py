@@ -121,17 +121,6 @@ def siblings(captions: DataFrame, key: str, order: str, label: str, text: str) -
     return captions.join(blocks, key, "left")
 
 
-def at_or_after(requests: DataFrame, frames: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """For each request the first frame of its key at or after its time (forward as-of join, one shuffle, no range join)."""
-    both = requests.select(key, F.col(time).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(frames.dtypes)[time]).alias("frame_time"), F.lit(None).cast(dict(frames.dtypes)[value]).alias(value)).unionByName(
-        frames.select(key, F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.col(time).alias("frame_time"), value)
-    )
-    # backwards in time: what was seen last is the nearest at or after; frames come before requests of the same time
-    back = Window.partitionBy(key).orderBy(F.desc("_t"), "_kind", F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("frame_time", F.last("frame_time", True).over(back)).withColumn(value, F.last(value, True).over(back))
-    return filled.filter("_kind = 1").select(key, F.col("_t").alias(time), "frame_time", value)
-
-
 def consensus(details: DataFrame, specific: Column, least: int = 2) -> DataFrame:
     """Details of a task with the number of distinct models; trusted from ``least`` on, else kept only if generic."""
     one = details.groupBy("task_id", "detail").agg(F.count_distinct("model").alias("models"))

@@ -1,4 +1,4 @@
-"""Sample times of clips: uniform, anchored, at cuts; thinning."""
+"""Sample times of clips: uniform, anchored, at cuts; thinning of short arrays. ``ordered`` thins tables of any size."""
 
 from __future__ import annotations
 

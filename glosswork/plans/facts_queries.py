@@ -14,9 +14,9 @@ from ..operators import captions as cap
 from ..operators import dataset as ds
 from ..operators import infer
 from ..operators import select as sel
+from ..sources.shared import scratch
 from ..streaming import stream
 from .mapping import CAPTIONS_SQL, SENTENCES_SQL, STYLE_SQL, STYLES, captions, read, with_facts
-from .table_queries import scratch
 from .text_queries import LISTS, sql_list, sql_reason
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,10 +154,7 @@ def _(spark, d):
 
 @query("ds_shuffle", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('seed/' || doc_id), doc_id) AS place FROM documents")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source").orderBy(ds.seeded("seed", "doc_id"), "doc_id")
-    return read(spark, d, "documents").select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+    return ds.shuffled(read(spark, d, "documents").select("source", "doc_id"), ["source"], "seed", "doc_id").select("doc_id", "place")
 
 
 @query("ds_render_template", "SELECT item_id, replace('A [slot] scene', '[slot]', ['busy', 'calm', 'wide'][('0x' || left(md5('seed/' || item_id), 8))::BIGINT % 3 + 1]) AS scene FROM benchmark")

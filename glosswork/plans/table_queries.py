@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import checks, rules
 from ..functions.text import any_of
 from ..operators import captions as cap
+from ..operators import ordered
 from ..operators import scores as sc
 from ..operators import select as sel
 from ..operators import timeline as tl
 from ..sources import io
+from ..sources.shared import scratch
 from .mapping import CAPTIONS_SQL, SCORES_SQL, attempts, captions, read, scores
 from .text_queries import sql_list, sql_tokens
 
@@ -33,14 +33,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; a local session may go without."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/table-{uuid.uuid4().hex}"
-
-
 def _micros():
     """Microseconds since 1970 of a timestamp without time zone."""
     return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
@@ -193,9 +185,7 @@ def _(spark, d):
 
 @query("flt_every_kth", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n <= 6 OR pos % 2 = 0")
 def _(spark, d):
-    turns = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    kept = F.when(F.size("t") > 6, F.filter("t", lambda _, i: i % 2 == 0)).otherwise(F.col("t"))
-    return turns.select("conv_id", F.explode(kept).alias("x")).select("conv_id", "x.turn")
+    return ordered.every_kth(read(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], ["turn", "text"]).select("conv_id", "turn")
 
 
 _VALID = "length(caption) BETWEEN 15 AND 260 AND NOT (style = 'formal' AND regexp_matches(lower(caption), 'the and|tion of')) AND NOT (style = 'sarcastic' AND regexp_matches(lower(caption), 'de la'))"
@@ -316,7 +306,7 @@ def _(spark, d):
 @query("jn_frame_at_time", "WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_id FROM events WHERE event_type <> 'error'), r AS (SELECT user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error') SELECT r.user_id, r.t, e.event_id FROM r ASOF LEFT JOIN e ON r.user_id = e.user_id AND r.t <= e.t")
 def _(spark, d):
     e = read(spark, d, "events").select("user_id", _micros().alias("t"), "event_id", "event_type")
-    return sel.at_or_after(e.filter("event_type = 'error'"), e.filter("event_type <> 'error'"), "user_id", "t", "event_id").select("user_id", "t", "event_id")
+    return ordered.at_or_after(e.filter("event_type = 'error'"), e.filter("event_type <> 'error'"), "user_id", "t", "event_id").select("user_id", "t", "event_id")
 
 
 # --- aggregates --------------------------------------------------------------------------------------------------
@@ -347,8 +337,8 @@ def _(spark, d):
 
 @query("agg_wrong_claims", "SELECT conv_id, array_to_string((list(text ORDER BY turn))[1:2], '; ') AS claims FROM conversations GROUP BY conv_id")
 def _(spark, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("flaw")))), lambda x: x.flaw)
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.slice(ordered, 1, 2), "; ").alias("claims"))
+    first = sel.first_by(read(spark, d, "conversations"), ["conv_id"], F.col("turn"), F.col("text"), most=2)
+    return first.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), "; ").alias("claims"))
 
 
 @query("agg_claim_precision", "SELECT user_id, avg((event_type = 'purchase')::INT) AS share, sum((event_type = 'purchase')::BIGINT)::BIGINT AS correct, sum((event_type = 'error' AND value > 60)::BIGINT)::BIGINT AS contradictions, CASE WHEN max((event_type = 'error' AND value > 60)::INT) = 1 THEN least(avg((event_type = 'purchase')::INT), 0.4) ELSE avg((event_type = 'purchase')::INT) END AS precision FROM events GROUP BY user_id")
@@ -464,8 +454,12 @@ def _spans(spark, d):
 
 
 def _times(spark, d):
-    e = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list((F.pmod(_micros(), F.lit(1000000000)) / 1e6))).alias("times"))
-    return e
+    return read(spark, d, "events").select("user_id", (F.pmod(_micros(), F.lit(1000000000)) / 1e6).alias("t"))
+
+
+def _listed(times, most):
+    """The first times of each user, no more than ``most``, as an array."""
+    return sel.first_by(times, ["user_id"], F.col("t"), most=most).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("times"))
 
 
 _TIMES_SQL = "(SELECT user_id, list_sort(list((epoch_us(ts) % 1000000000) / 1e6)) AS times FROM events GROUP BY user_id)"
@@ -481,13 +475,13 @@ def _(spark, d):
 
 @query("tl_hybrid", f"SELECT user_id, array_to_string(list_transform((list_slice(times, 1, 4) || list_transform(range(1, 9 - least(len(times), 4)), lambda i: round_even(i * greatest(dur / (9 - least(len(times), 4)), 0.1), 3)))[1:8], lambda x: floor(x)::BIGINT), ',') AS times FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id)")
 def _(spark, d):
-    both = _times(spark, d).join(_spans(spark, d), "user_id")
+    both = _listed(_times(spark, d), 4).join(_spans(spark, d), "user_id")  # a hybrid of 8 takes 4 cuts at most
     return both.select("user_id", F.array_join(F.transform(tl.hybrid(F.col("times"), F.col("dur"), 8), lambda x: F.floor(x).cast("string")), ",").alias("times"))
 
 
-query("tl_cut_offset", f"SELECT user_id, round(least(times[1] + 0.3, dur - 0.5), 6) AS t FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id)")(lambda s, d: _times(s, d).join(_spans(s, d), "user_id").select("user_id", F.round(tl.after_cut(F.get("times", F.lit(0)), F.col("dur")), 6).alias("t")))
-query("tl_gap_dedup", f"SELECT user_id, len(list_reduce(list_transform(times, lambda t: [t]), lambda k, t: CASE WHEN t[1] - k[-1] > 20 THEN k || t ELSE k END))::BIGINT AS kept FROM {_TIMES_SQL}")(lambda s, d: _times(s, d).select("user_id", F.size(tl.gap_dedup(F.col("times"), 20.0)).cast("long").alias("kept")))
+query("tl_cut_offset", f"SELECT user_id, round(least(times[1] + 0.3, dur - 0.5), 6) AS t FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id)")(lambda s, d: _times(s, d).groupBy("user_id").agg(F.min("t").alias("t")).join(_spans(s, d), "user_id").select("user_id", F.round(tl.after_cut(F.col("t"), F.col("dur")), 6).alias("t")))
+query("tl_gap_dedup", f"SELECT user_id, len(list_reduce(list_transform(times, lambda t: [t]), lambda k, t: CASE WHEN t[1] - k[-1] > 20 THEN k || t ELSE k END))::BIGINT AS kept FROM {_TIMES_SQL}")(lambda s, d: ordered.gap_dedup(_times(s, d), "user_id", "t", 20.0).groupBy("user_id").agg(F.count("*").alias("kept")))
 query("tl_even_thin", f"SELECT user_id, array_to_string(CASE WHEN len(times) > 4 THEN list_transform(range(0, 4), lambda i: times[round_even(i * (len(times) - 1) / 3.0, 0)::BIGINT + 1]) ELSE times END, ',') AS times FROM {_TIMES_SQL}")(
-    lambda s, d: _times(s, d).select("user_id", F.array_join(tl.even_thin(F.col("times"), 4).cast("array<string>"), ",").alias("times"))
+    lambda s, d: _listed(ordered.even_thin(_times(s, d), "user_id", "t", 4), 4).select("user_id", F.array_join(F.col("times").cast("array<string>"), ",").alias("times"))
 )
 
