@@ -232,14 +232,14 @@ def _(spark, d):
 
 @query("str_incremental_results", "SELECT c_custkey, coalesce(arg_max(o_orderstatus, o_orderkey), 'fallback') AS o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def _(spark, d):
-    base = scratch(spark)
+    """Orders arrive in files, of which a batch takes two, in no order of their keys."""
+    base, keys, arrival = scratch(spark), ["c_custkey"], ["o_orderkey"]
     orders = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
-    orders.write.parquet(f"{base}/in")
-    done = spark.readStream.schema(orders.schema).parquet(f"{base}/in")
-    run = stream.incremental_results(done, read(spark, d, "customer").select("c_custkey"), f"{base}/out", f"{base}/checkpoint", ["c_custkey"], ["o_orderkey"], {"o_orderstatus": F.lit("fallback")})
-    run.awaitTermination()
-    last = run.lastProgress["batchId"] if run.lastProgress else 0
-    return spark.read.parquet(f"{base}/out/version={last}").select("c_custkey", "o_orderstatus")
+    orders.repartition(6).write.parquet(f"{base}/in")
+    done = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream.incremental_results(done, f"{base}/out", f"{base}/checkpoint", keys, arrival).awaitTermination()
+    seed = read(spark, d, "customer").select("c_custkey")
+    return stream.results(spark, f"{base}/out", f"{base}/checkpoint", "c_custkey long, o_orderkey long, o_orderstatus string", seed, keys, arrival, {"o_orderstatus": F.lit("fallback")})
 
 
 @query("str_audit", f"SELECT style, code, count(*) AS n FROM (SELECT style, unnest(['long', 'mark']) AS code, caption FROM {CAPTIONS_SQL}) WHERE (code = 'long' AND length(caption) > 300) OR (code = 'mark' AND contains(caption, '!')) GROUP BY ALL")
@@ -248,17 +248,35 @@ def _(spark, d):
     captions(spark, d).write.parquet(f"{base}/in")
     rows = spark.readStream.schema(captions(spark, d).schema).parquet(f"{base}/in")
     codes = lambda df: F.array_compact(F.array(F.when(F.char_length("caption") > 300, "long"), F.when(F.contains("caption", F.lit("!")), "mark")))
-    run = stream.audit(rows, codes, "stream").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
+    stream.append(stream.audit(rows, codes, "stream"), f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema("task_id string, style string, `check` string, code string").parquet(f"{base}/out").groupBy("style", "code").agg(F.count("*").alias("n"))
 
 
-@query("str_memo", "SELECT count(DISTINCT text) AS n FROM documents")
+# Requests of four periods of eight days come in eight parts: of each period first those in time, then those that are a little late; some come a
+# period late, when the watermark, half a period behind, has passed them.
+_PERIOD, _SPAN = 8, 4
+_SENT_SQL = f"""s AS (SELECT user_id, event_type, (epoch_us(ts) // 86400000000 - 19723) // {_PERIOD} AS period, event_id FROM events),
+    r AS (SELECT user_id, event_type, period * {_PERIOD} AS day, CASE event_id % 20 WHEN 0 THEN 2 * period + 1 WHEN 1 THEN 2 * period + 3 ELSE 2 * period END AS part FROM s),
+    w AS (SELECT p.part, max(r.day) - {_SPAN} AS seen FROM (SELECT DISTINCT part FROM r) p LEFT JOIN r ON r.part < p.part GROUP BY p.part),
+    k AS (SELECT DISTINCT user_id, event_type, part, {{'seen': coalesce(seen, -1000), 'until': day + {_SPAN}, 'n': 1}} AS x FROM r JOIN w USING (part) WHERE day > coalesce(seen, -1000))"""
+
+
+def requests_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: memo key, event time at the start of its period, and the part in which it is sent."""
+    day = F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 86_400) - 19_723
+    period = F.floor(day / _PERIOD)
+    part = 2 * period + F.when(F.col("event_id") % 20 == 0, 1).when(F.col("event_id") % 20 == 1, 3).otherwise(0)
+    at = F.timestamp_seconds((period * _PERIOD + 19_723) * 86_400)
+    return read(spark, sf_dir, "events").select(memo_key(F.struct("user_id", "event_type"), 64).alias("key"), "user_id", "event_type", at.alias("at"), part.alias("part"))
+
+
+@query("str_memo", f"WITH {_SENT_SQL} SELECT user_id, event_type, list_reduce(xs, lambda a, x: CASE WHEN a.until <= x.seen THEN {{'seen': x.seen, 'until': x.until, 'n': a.n + 1}} ELSE {{'seen': x.seen, 'until': a.until, 'n': a.n}} END).n::BIGINT AS n FROM (SELECT user_id, event_type, list(x ORDER BY part) AS xs FROM k GROUP BY user_id, event_type)")
 def _(spark, d):
-    base = scratch(spark)
-    rows = read(spark, d, "documents").select(memo_key(F.struct("text"), 64).alias("key"), F.timestamp_seconds(F.lit(86_400)).alias("at"))
-    rows.write.parquet(f"{base}/in")
-    once = stream.requests_once(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), "key", "at", "1 hour")
-    run = once.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{base}/out").agg(F.count("*").alias("n"))
+    """Each part arrives and is worked off by a new run, which takes up the state of the one before."""
+    base, sent = scratch(spark), requests_sent(spark, d)
+    schema = sent.drop("part").schema
+    for (part,) in sorted(sent.select("part").distinct().collect()):
+        sent.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+        once = stream.requests_once(spark.readStream.schema(schema).parquet(f"{base}/in"), "key", "at", f"{_SPAN} days")
+        stream.append(once, f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{base}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
