@@ -136,10 +136,14 @@ class Facts:
         value = F.least(word_count(caption) / length, F.lit(1.0)) + F.least(self.anchors(caption, stop) / anchors, F.lit(1.0)) - F.size(self.issues(style, caption, clear, stop)) * 0.2
         return F.when(style_passes(style, caption, **lists), value).otherwise(F.lit(-10.0))
 
+    def scene(self, most: int = 180) -> Column:
+        """The first characters of the summary, without its full stop."""
+        return F.left(F.rtrim(F.trim(self.text("summary")), F.lit(".")), F.lit(most))
+
     def fallback(self, style: Column, static: dict[str, str] | None = None, grounded: dict[str, tuple[str, str]] | None = None) -> Column:
         """A caption by template: from the summary, else from the first words of the facts, else a fixed one."""
         static, grounded = static or rules.STATIC_FALLBACKS, grounded or rules.GROUNDED_FALLBACKS
-        scene = F.left(F.rtrim(F.trim(self.text("summary")), F.lit(".")), F.lit(180))
+        scene = self.scene()
         details = F.transform(F.concat(*(self.items(f) for f in ("visual_details", "fine_grained_observations", "salient_objects"))), lambda x: F.rtrim(F.trim(x), F.lit(".")))
         extra = F.slice(F.filter(details, lambda x: ~F.contains(F.lower(scene), F.lower(x))), 1, 2)
         formal = F.when(F.size(extra) > 0, F.left(F.concat(scene, F.lit(", with "), F.array_join(extra, " and "), F.lit(".")), F.lit(300))).otherwise(F.concat(scene, F.lit(".")))

@@ -39,7 +39,7 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return out
 
 
-def _beside(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Left join on columns that may be null; of ``right`` only what it adds stays."""
     named = right.withColumnsRenamed({c: f"_of_{c}" for c in columns})
     return left.join(small(named), _same(left, named, columns), "left").drop(*(f"_of_{c}" for c in columns))
@@ -57,7 +57,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], ra
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)) - F.col("_first") + 1)
     if total:
         offsets = offsets.withColumn(total, F.sum("_n").over(Window.partitionBy(*keys)))
-    out = _beside(rows, offsets.drop("_first", "_n"), [*keys, "_part"])
+    out = beside(rows, offsets.drop("_first", "_n"), [*keys, "_part"])
     return out.withColumn(rank, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
@@ -230,5 +230,5 @@ def at_or_after(requests: DataFrame, frames: DataFrame, key: str, time: str, val
     # backwards in time: what was seen last is the nearest at or after; frames come before requests of the same time
     back = Window.partitionBy("_k", "_part").orderBy(F.desc("_t"), "_kind", F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
     found = rows.withColumn("_own", F.last(frame, True).over(back)).filter("_kind = 1")
-    out = _beside(found, heads, ["_k", "_part"]).withColumn("_frame", F.when(F.col("_t").isNotNull(), F.coalesce("_own", "_next")))
+    out = beside(found, heads, ["_k", "_part"]).withColumn("_frame", F.when(F.col("_t").isNotNull(), F.coalesce("_own", "_next")))
     return out.select(F.col("_k").alias(key), F.col("_t").alias(time), F.col("_frame.t").alias("frame_time"), F.col("_frame.v").alias(value))

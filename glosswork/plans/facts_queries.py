@@ -14,6 +14,7 @@ from ..operators import captions as cap
 from ..operators import dataset as ds
 from ..operators import infer
 from ..operators import select as sel
+from ..operators import topics
 from ..sources.shared import scratch
 from ..streaming import stream
 from .mapping import CAPTIONS_SQL, SENTENCES_SQL, STYLE_SQL, STYLES, captions, read, with_facts
@@ -127,10 +128,46 @@ def _(spark, d):
     return df.select("doc_id", Facts(df).formal_or(F.coalesce("facts.summary", F.lit(""))).alias("caption"))
 
 
-@query("cap_fallback")
+#: Topics by words of the invented prose; the rules that ship name things that it doesn't hold.
+TOPICS = (
+    ("sarcastic", 2, ("les", "que"), "What a surprise: {scene}. Who knew."),
+    ("sarcastic", 1, ("lesque", "une"), "Once more: {scene}, {scene}."),
+    ("humorous_tech", 1, ("und", "der"), "Shipped with {phrase}."),
+    ("humorous_tech", 2, ("die", "ich"), "Rolled back: {scene}."),
+    ("humorous_non_tech", 3, ("los", "las"), "Guess who: {phrase}!"),
+)
+_SCENE = "left(rtrim(trim(summary), '.'), 180)"
+_ALL_TEXT = "lower(concat_ws(' ', nullif(summary, ''), nullif(setting, ''), array_to_string(nullif(details, []), ' '), array_to_string(nullif(fine[1:8], []), ' ')))"
+
+
+def _first_sql(n: int) -> str:
+    return f"array_to_string(list_filter(regexp_split_to_array({_ALL_TEXT}, '{_WS}'), lambda w: w <> '')[1:{n}], ' ')"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _topic_sql() -> str:
+    cases = [f"WHEN style = {_quoted(s)} AND list_has_any(tokens, {sql_list(w)}) THEN replace(replace({_quoted(t)}, '{{scene}}', lower(scene)), '{{phrase}}', phrase20)" for s, _, w, t in sorted(TOPICS)]
+    return f"CASE {' '.join(cases)} END"
+
+
+def _fallback_sql() -> str:
+    """The fallback of each document: by topic, else from the summary, else from the words, else fixed."""
+    other = " ".join(f"WHEN {_quoted(s)} THEN {_quoted(a)} || {'lower(scene)' if a else 'scene'} || {_quoted(b)}" for s, (a, b) in rules.GROUNDED_FALLBACKS.items())
+    words = " ".join(f"WHEN {_quoted(s)} THEN {_quoted(a)} || phrase26 || {_quoted(b)}" for s, (a, b) in rules.GROUNDED_FALLBACKS.items())
+    fixed = " ".join(f"WHEN {_quoted(s)} THEN {_quoted(t)}" for s, t in rules.STATIC_FALLBACKS.items())
+    return f"""(SELECT *, CASE WHEN scene <> '' THEN coalesce({_topic_sql()}, CASE style WHEN 'formal' THEN CASE WHEN len(extra) > 0 THEN left(scene || ', with ' || array_to_string(extra, ' and ') || '.', 300) ELSE scene || '.' END {other} END)
+            WHEN phrase26 <> '' THEN CASE style WHEN 'formal' THEN 'In view: ' || phrase26 || '.' {words} END ELSE CASE style {fixed} END END AS fallback
+        FROM (SELECT *, {_SCENE} AS scene, {_first_sql(20)} AS phrase20, {_first_sql(26)} AS phrase26, regexp_extract_all({_ALL_TEXT}, '[a-z]+') AS tokens,
+                     list_filter(list_transform(details || fine || objects, lambda x: rtrim(trim(x), '.')), lambda x: NOT contains(lower({_SCENE}), lower(x)))[1:2] AS extra FROM {_FACTS}))"""
+
+
+@query("cap_fallback", f"SELECT doc_id, style, fallback AS caption FROM {_fallback_sql()}")
 def _(spark, d):
-    df = with_facts(spark, d)
-    return df.select("doc_id", "style", Facts(df).fallback(F.col("style")).alias("caption"))
+    df = topics.with_fallback(with_facts(spark, d), ["doc_id"], topics.topic_rules(spark, TOPICS))
+    return df.select("doc_id", "style", F.col("fallback").alias("caption"))
 
 
 @query("cap_evidence_build")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks, jsonx, rules, text
+from ..functions import checks, jsonx, nested, rules, text
 from ..operators import captions as cap
 from ..sources import io
 from .mapping import CAPTIONS_SQL, captions, read
@@ -24,6 +24,14 @@ _WS = text.SPACE
 _L, _R = text.LEFT, text.RIGHT
 
 
+def query(name: str, sql: str):
+    def add(f):
+        QUERIES[name], ORACLES[name] = f, sql
+        return f
+
+    return add
+
+
 def _over(table: str, key: str, name: str, column: Callable[[], Column], sql: str) -> None:
     QUERIES[name] = lambda spark, d: read(spark, d, table).select(key, column().alias("value"))
     ORACLES[name] = f"SELECT {key}, {sql} AS value FROM {table}"
@@ -120,7 +128,22 @@ _docs("txt_truncate", lambda: text.truncate(_t()), sql_truncate("text"))
 _docs("txt_direction", lambda: text.neutral_directions(F.concat(_t(), F.lit(" it sits to her left side, onto its right side."))), sql_directions("text || ' it sits to her left side, onto its right side.'"))
 QUERIES["txt_strip_fillers"] = lambda s, d: read(s, d, "conversations").select("conv_id", "turn", text.without_hedges(F.concat(F.lit("mission - Probably, "), _t(), F.lit(" , maybe .")), rules.HEDGES).alias("value"))
 ORACLES["txt_strip_fillers"] = r"""SELECT conv_id, turn, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace('mission - Probably, ' || text || ' , maybe .', '(?i)(probably|maybe|perhaps|apparently)[ ,]*', '', 'g'), '\s{2,}', ' ', 'g'), ' .', '.'), ' ,', ','), ',\s*([.!?])', '\1', 'g')) AS value FROM conversations"""
-_over("part", "p_partkey", "txt_neutralise_attrs", lambda: text.neutral_attributes(F.concat(F.col("p_name"), F.lit(" near a Red sports car with a ring on her left hand")), rules.COLOURS, (*rules.COLOURED_NOUNS, "widget", "bolt")), f"regexp_replace(regexp_replace(p_name || ' near a Red sports car with a ring on her left hand', '(?i)(^|[^A-Za-z0-9_]){text.any_of(rules.COLOURS)}(-framed|-colored|-coloured)?\\s+([A-Za-z0-9_]+\\s+)?{text.any_of((*rules.COLOURED_NOUNS, 'widget', 'bolt'))}([^A-Za-z0-9_]|$)', '\\1\\5\\6', 'g'), 'ring on her left finger', 'a ring', 'g')")
+_NOUNS = (*rules.COLOURED_NOUNS, "widget", "bolt")
+_SAID = "' near a Red sports car with a ring worn on her left ring finger'"
+_NEUTRAL = f"replace(regexp_replace({{0}}, '(?i)(^|[^A-Za-z0-9_]){text.any_of(rules.COLOURS)}(-framed|-colored|-coloured)?\\s+([A-Za-z0-9_]+\\s+)?{text.any_of(_NOUNS)}([^A-Za-z0-9_]|$)', '\\1\\5\\6', 'g'), 'a ring worn on her left ring finger', 'a ring')"
+
+
+@query("txt_neutralise_attrs", f"SELECT p_partkey, {_NEUTRAL.format('p_name || ' + _SAID)} AS summary, {_NEUTRAL.format('p_name')} AS item, {_NEUTRAL.format('p_brand || ' + _SAID)} AS note, p_name AS label FROM part")
+def _(spark, d):
+    """Facts of three levels: a text, a list of parts, and notes by name that each hold a text and a list."""
+    said = F.expr(_SAID)
+    notes = F.create_map(F.col("p_name"), F.array(F.struct(F.col("p_size").alias("page"), F.array(F.concat("p_brand", said), F.lit(None).cast("string")).alias("texts"))))
+    facts = F.struct(F.concat("p_name", said).alias("summary"), F.struct(F.array("p_name").alias("parts"), notes.alias("notes")).alias("seen"))
+    clean = nested.scrubbed(read(spark, d, "part").select("p_partkey", "p_name", facts.alias("facts")), "facts", lambda x: text.neutral_attributes(x, rules.COLOURS, _NOUNS))
+    note = F.map_entries("facts.seen.notes")[0]
+    return clean.select("p_partkey", "facts.summary", F.col("facts.seen.parts")[0].alias("item"), note["value"][0]["texts"][0].alias("note"), note["key"].alias("label"))
+
+
 _LEADS = ("The", "Le", "Der", "La", "Of", "Th")
 _docs("txt_lc_lead", lambda: text.lower_lead(_t(), _LEADS), f"CASE WHEN split_part(text, ' ', 1) IN ({', '.join(repr(x) for x in _LEADS)}) THEN lower(left(text, 1)) || substr(text, 2) ELSE text END")
 _FINAL_SQL = r"trim(array_to_string(list_transform(list_filter(regexp_split_to_array(trim(regexp_replace(trim({0}), '(?is)^.*final caption:', '')), '\r?\n'), lambda x: trim(x) <> '' AND NOT regexp_matches(trim(x), '(?i)^(here''s|here is|sure|certainly|okay|of course|caption:)')), lambda x: regexp_replace(x, '^[ \-*\t]+|[ \-*\t]+$', '', 'g')), ' '))"
