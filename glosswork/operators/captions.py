@@ -46,12 +46,12 @@ def assemble_captions(captions: DataFrame, fill: str = "", required: Sequence[st
     return maps.select("task_id", F.create_map(*each).alias("captions"))
 
 
-def normalise(captions: DataFrame, facts: Facts | None = None, **lists) -> DataFrame:
+def normalise(captions: DataFrame, facts: Facts | None = None, fallback: Column | None = None, **lists) -> DataFrame:
     """Adds ``final``, ``reason`` and ``action`` to rows with style and caption.
 
     In order: cleaning; the word floor of a style, where there are facts; hedges taken out if that makes the
     caption pass; exclamation marks to full stops if they are the only fault; else a fallback from the
-    facts; if that breaks a rule as well, the fixed one. The floor is judged before any repair.
+    facts, or the given one; if that breaks a rule as well, the fixed one. The floor is judged before any repair.
     """
     style = F.col("style")
     text = clean(F.coalesce("caption", F.lit("")))
@@ -65,7 +65,7 @@ def normalise(captions: DataFrame, facts: Facts | None = None, **lists) -> DataF
     calm = F.regexp_replace("_one", "!+", ".")
     step = step.withColumn("_two", F.when((F.col("_why") == "exclamation") & style_passes(style, calm, **lists), calm).otherwise(F.col("_one")))
     step = step.withColumn("reason", F.when(F.col("_clean") == "", "empty").when(F.col("_short"), "too_short").otherwise(style_reason(style, F.col("_two"), **lists)))
-    grounded = facts.fallback(style) if facts else static_fallback(style)
+    grounded = fallback if fallback is not None else facts.fallback(style) if facts else static_fallback(style)
     step = step.withColumn("_grounded", F.when(F.col("reason") != "ok", grounded))
     replaced = F.when(style_passes(style, F.col("_grounded"), **lists), F.col("_grounded")).otherwise(static_fallback(style))
     kept = F.col("reason") == "ok"

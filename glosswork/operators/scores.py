@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 
 def zero(c: str) -> Column:
     return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
@@ -44,3 +46,11 @@ def claim_precision(claims: DataFrame, caption: str, correct: Column, contradict
 def gate(checks: DataFrame) -> DataFrame:
     """checks(check, passed, message) and a row "gate" that passes if all do."""
     return checks.unionByName(checks.agg(F.lit("gate").alias("check"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"), F.concat(F.count_if(~F.col("passed")).cast("string"), F.lit(" failed")).alias("message")))
+
+
+def leaders(entries: DataFrame, score: str, name: str, own: Column, most: int = 3) -> DataFrame:
+    """The ``most`` best entries, the smaller name of equals first, and one's own wherever they stand, with ``place`` and ``own``.
+
+    Places are counted over ranges of the score, so no task sorts all entries.
+    """
+    return ranked(entries, [], [F.desc(score), name], "place").withColumn("own", F.coalesce(own, F.lit(False))).filter((F.col("place") <= most) | F.col("own"))

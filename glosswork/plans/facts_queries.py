@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.facts import Facts
 from ..functions.jsonx import memo_key
-from ..operators import captions as cap
 from ..operators import dataset as ds
 from ..operators import infer
+from ..operators import run, topics, training
 from ..operators import select as sel
-from ..operators import topics
+from ..sources import io
 from ..sources.shared import scratch
 from ..streaming import stream
 from .mapping import CAPTIONS_SQL, SENTENCES_SQL, STYLE_SQL, STYLES, captions, read, with_facts
@@ -206,8 +207,28 @@ def _written(spark, d):
     return many.withColumn("caption", ds.write_caption(F.col("style"), F.slice("facts.salient_objects", 1, 2), F.get("facts.visual_details", F.lit(0)), F.col("facts.setting"), F.lit(""), "seed", "doc_id"))
 
 
-query("ds_style_writers")(lambda s, d: _written(s, d).select("doc_id", "style", "caption"))
-query("ds_build", "SELECT source, count(*) * 4 AS rows FROM documents GROUP BY source")(lambda s, d: _written(s, d).groupBy(F.col("facts.setting").alias("source")).agg(F.count("*").alias("rows")))
+_PICK = "[('0x' || left(md5('seed/' || doc_id || '/' || style), 8))::BIGINT % 3 + 1]"
+_WHO = "CASE len(objects) WHEN 0 THEN 'the subject' WHEN 1 THEN objects[1] ELSE objects[1] || ' and ' || objects[2] END"
+_WRITTEN_SQL = f"""(SELECT doc_id, setting, style, CASE style
+        WHEN 'formal' THEN ['Here one finds ', 'Visible are, in this order, ', 'On view: ']{_PICK} || who || ', ' || what || ' in ' || place || ', with a calm mood.'
+        WHEN 'sarcastic' THEN ['Of course ', 'Naturally, ', 'As everybody had hoped, ']{_PICK} || who || ' spent the day ' || what || ' in ' || place || ', and the world held its breath.'
+        WHEN 'humorous_tech' THEN ['Deployed to production: ', 'Pipeline passed: ', 'Hotfix shipped: ']{_PICK} || who || ', ' || what || ' in ' || place || ' with zero downtime.'
+        ELSE ['Breaking news from the sofa: ', 'Meanwhile, in slow motion: ', 'Somebody tell grandma: ']{_PICK} || who || ' is ' || what || ' in ' || place || ' again.' END AS caption
+    FROM (SELECT doc_id, setting, unnest({sql_list(STYLES)}) AS style, {_WHO} AS who, coalesce(nullif(trim(details[1]), ''), 'moving through the frame') AS what, coalesce(nullif(trim(setting), ''), 'an open space') AS place FROM {_FACTS}))"""
+BANS = {"formal": ("the and", "ith der"), "humorous_non_tech": ("que ", "und ")}
+_VALID_SQL = "(length(caption) BETWEEN 15 AND 260" + "".join(f" AND NOT (style = '{s}' AND regexp_matches(lower(caption), '{'|'.join(t)}'))" for s, t in BANS.items()) + ")"
+
+query("ds_style_writers", f"SELECT doc_id, style, caption FROM {_WRITTEN_SQL}")(lambda s, d: _written(s, d).select("doc_id", "style", "caption"))
+
+
+@query("ds_build", f"SELECT setting AS source, style, count(*) AS rows, (SELECT count(*) FROM {_WRITTEN_SQL} WHERE NOT {_VALID_SQL}) AS dropped FROM {_WRITTEN_SQL} WHERE {_VALID_SQL} GROUP BY ALL")
+def _(spark, d):
+    path, ok = scratch(spark), ds.valid_caption(F.col("style"), F.col("caption"), BANS)
+    counts = training.write_valid(_written(spark, d).select("facts", "style", "caption"), ok, path)
+    rows = io.jsonl(spark, path, "facts struct<setting: string>, style string, caption string").select(F.col("facts.setting").alias("source"), "style")
+    return rows.groupBy("source", "style").agg(F.count("*").alias("rows")).withColumn("dropped", F.lit(counts["dropped"]).cast("long"))
+
+
 query("ds_mock", "SELECT item_id, 4 AS styles, bool_and(item_id >= 0) AS ok FROM benchmark GROUP BY item_id")(
     lambda s, d: ds.cross_styles(read(s, d, "benchmark").select("item_id"), STYLES)
     .withColumn("caption", ds.write_caption(F.col("style"), F.array(F.concat(F.lit("item "), F.col("item_id").cast("string"))), F.lit("moving"), F.lit(""), F.lit(""), "mock", "item_id"))
@@ -245,7 +266,34 @@ def judge_stub(prompts: list[str]) -> list[str]:
 
 
 query("udf_batch_generate", "SELECT doc_id, NOT contains(text, 'token =') AS ok FROM documents")(lambda s, d: infer.generate(read(s, d, "documents").select("doc_id", F.col("text").alias("prompt")), stub).select("doc_id", "ok"))
-query("ds_teacher", "SELECT count(*) AS n, count(*) FILTER (contains(text, 'token =')) AS failed FROM documents")(lambda s, d: QUERIES["udf_batch_generate"](s, d).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failed")))
+
+def teacher_stub(prompts: list[str]) -> list[str]:
+    """Captions of all styles as JSON, from the prompt's first characters; some calls fail, some replies are no object or lack a style."""
+    out = []
+    for p in prompts:
+        if "token =" in p:
+            raise ValueError("refused")
+        captions = {s: p[: 10 + len(p) * (k + 2) % 290] for k, s in enumerate(STYLES)}
+        if len(p) % 7 == 0:
+            del captions[STYLES[len(p) % 4]]
+        out.append("none today" if len(p) % 11 == 0 else json.dumps(captions))
+    return out
+
+
+_TAUGHT_SQL = f"SELECT doc_id, text, length(text) AS n, CASE WHEN contains(text, 'token =') THEN 'ValueError' WHEN length(text) % 11 = 0 THEN 'not an object' WHEN length(text) % 7 = 0 THEN 'missing: ' || {sql_list(STYLES)}[length(text) % 4 + 1] END AS error FROM documents"
+_REPLIES_SQL = f"SELECT doc_id, style, left(text, 10 + n * (k + 2) % 290) AS caption FROM ({_TAUGHT_SQL}), (SELECT unnest(range(0, 4)) AS k, unnest({sql_list(STYLES)}) AS style) WHERE error IS NULL"
+
+
+@query("ds_teacher", f"SELECT doc_id, count(*) FILTER ({_VALID_SQL}) AS kept, count(*) FILTER (NOT {_VALID_SQL}) AS dropped, NULL::VARCHAR AS error, (SELECT count(error) FROM ({_TAUGHT_SQL})) AS failed FROM ({_REPLIES_SQL}) GROUP BY doc_id UNION ALL SELECT doc_id, 0, 0, error, (SELECT count(error) FROM ({_TAUGHT_SQL})) FROM ({_TAUGHT_SQL}) WHERE error IS NOT NULL")
+def _(spark, d):
+    scenes = read(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
+    got = training.teach(scenes, teacher_stub, ds.valid_caption(F.col("style"), F.col("caption"), BANS))
+    rows = got.rows.select("doc_id", F.lit(1).alias("kept")).unionByName(got.dropped.select("doc_id", F.lit(0).alias("kept")))
+    passed = rows.groupBy("doc_id").agg(F.sum("kept").alias("kept"), F.sum(1 - F.col("kept")).alias("dropped"), F.lit(None).cast("string").alias("error"))
+    failed = got.failures.select("doc_id", F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("dropped"), "error")
+    return passed.unionByName(failed).withColumn("failed", F.lit(got.counts["failed"]).cast("long"))
+
+
 query("udf_judge", "SELECT doc_id, (length(text) % 11) / 10.0::DOUBLE AS accuracy, 0.5::DOUBLE AS style FROM documents")(lambda s, d: infer.judge(read(s, d, "documents").select("doc_id", F.col("text").alias("prompt")), judge_stub).select("doc_id", "accuracy", "style"))
 
 
@@ -255,13 +303,13 @@ def _(spark, d):
     return captions(spark, d).join(F.broadcast(table), "style", "left").groupBy("style").agg(F.count("*").alias("n"), F.max("floor").alias("floor"))
 
 
-@query("udf_pipeline")
+@query("udf_pipeline", "SELECT source AS task_id, 4::BIGINT AS captions, 0::BIGINT AS blank, count(DISTINCT lang) AS generated, true AS valid FROM documents GROUP BY source")
 def _(spark, d):
-    """Facts, a generated candidate, the fallback, the better one, normalised, one row per document."""
-    df = with_facts(spark, d)
-    made = infer.generate(df.withColumn("prompt", F.col("caption")).select("doc_id", "task_id", "style", "facts", "prompt"), stub)
-    rows = made.withColumn("caption", F.coalesce("text", F.lit("")))
-    return cap.normalise(rows, Facts(rows), **LISTS).select("doc_id", "task_id", "style", "final", "reason", "action")
+    """Sources as tasks; each document is a scene of its source in the style of its language. Calls for texts with "token =" fail."""
+    scenes = with_facts(spark, d).select("task_id", "style", F.col("doc_id").alias("scene"), "facts", F.col("caption").alias("prompt"))
+    made = run.caption_run(scenes.select("task_id"), scenes, stub, topics.topic_rules(spark, TOPICS), repair=stub, clear=_CLEAR, stop=STOPS, **LISTS)
+    blank = F.size(F.filter(F.map_values("captions"), lambda c: F.trim(c) == ""))
+    return made.select("task_id", F.size("captions").cast("long").alias("captions"), blank.cast("long").alias("blank"), "generated", F.col("reason").isNull().alias("valid"))
 
 
 # --- streams -----------------------------------------------------------------------------------------------------

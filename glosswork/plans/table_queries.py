@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, rules
 from ..functions.text import any_of
+from ..operators import audits
 from ..operators import captions as cap
 from ..operators import ordered
 from ..operators import scores as sc
@@ -16,7 +17,7 @@ from ..operators import select as sel
 from ..operators import timeline as tl
 from ..sources import io
 from ..sources.shared import scratch
-from .mapping import CAPTIONS_SQL, SCORES_SQL, attempts, captions, read, scores
+from .mapping import CAPTIONS_SQL, SCORES_SQL, STYLE_SQL, attempts, captions, read, scores
 from .text_queries import sql_list, sql_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,12 +239,14 @@ _TOKENS_SQL = "list_distinct(list_transform(list_filter(string_split(replace(cap
 _ANCHORS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in _ANCHORS) + ") g(task_id, grp, choices)"
 
 
+def _dictionaries(spark, d):
+    """Captions with the terms and anchors of their tasks."""
+    terms, anchors = spark.createDataFrame(_TERMS, "task_id string, term string"), spark.createDataFrame(_ANCHORS, "task_id string, grp string, choices array<string>")
+    return audits.with_dictionaries(captions(spark, d), terms, anchors)
+
+
 def _anchor_groups(spark, d):
-    rules_ = spark.createDataFrame(_ANCHORS, "task_id string, grp string, choices array<string>").groupBy("task_id").agg(F.collect_list("choices").alias("groups"))
-    tokens = F.array_distinct(F.transform(F.filter(F.split(F.replace(F.col("caption"), F.lit("/"), F.lit(" ")), " "), lambda w: w != ""), lambda w: F.lower(F.btrim(w, F.lit(".,!?;:()[]{}\"'`")))))
-    shared = F.size(F.filter("groups", lambda g: F.arrays_overlap(g, F.col("tokens"))))
-    rows = captions(spark, d).join(F.broadcast(rules_), "task_id", "left").withColumn("tokens", tokens)
-    return rows.select("doc_id", "style", F.coalesce(F.when(F.col("groups").isNull(), F.lit(None)).otherwise(shared).cast("long"), F.lit(-1)).alias("shared"), F.size(checks.words(F.col("caption"))).cast("long").alias("words"))
+    return _dictionaries(spark, d).select("doc_id", "style", audits.shared_anchors(F.col("caption")).alias("shared"), F.size(checks.words(F.col("caption"))).cast("long").alias("words"))
 
 
 @query("jn_anchor_groups", f"SELECT doc_id, coalesce(sum(list_has_any(choices, tokens)::INT), -1)::BIGINT AS shared FROM (SELECT doc_id, task_id, {_TOKENS_SQL} AS tokens FROM {CAPTIONS_SQL}) c LEFT JOIN {_ANCHORS_SQL} USING (task_id) GROUP BY doc_id")
@@ -362,14 +365,6 @@ query("set_union_observations", f"SELECT task_id, count(*) AS n, count(DISTINCT
 )
 
 
-@query("agg_gate", f"WITH c AS (SELECT 'no_blank' AS check, bool_and(trim(text) <> '') AS passed, count(*) || ' rows' AS message FROM documents UNION ALL SELECT 'final', f >= 0.8, 'final ' || (f >= 0.8)::VARCHAR FROM (SELECT avg((accuracy + style_match) / 2) AS f FROM {SCORES_SQL}) UNION ALL SELECT 'labels', count(*) > 0, count(*) || ' labels' FROM labels) SELECT * FROM c UNION ALL SELECT 'gate', bool_and(passed), count(*) FILTER (NOT passed) || ' failed' FROM c")
-def _(spark, d):
-    text = read(spark, d, "documents").agg(F.lit("no_blank").alias("check"), F.bool_and(F.trim("text") != "").alias("passed"), F.concat(F.count("*").cast("string"), F.lit(" rows")).alias("message"))
-    final = sc.summary(scores(spark, d)).select(F.lit("final").alias("check"), (F.col("final") >= 0.8).alias("passed"), F.concat(F.lit("final "), (F.col("final") >= 0.8).cast("string")).alias("message"))
-    labels = read(spark, d, "labels").agg(F.lit("labels").alias("check"), (F.count("*") > 0).alias("passed"), F.concat(F.count("*").cast("string"), F.lit(" labels")).alias("message"))
-    return sc.gate(text.unionByName(final).unionByName(labels))
-
-
 query("agg_writer_bench", "SELECT event_type AS model, count(*) FILTER (value > 10) AS passed, count(*) AS n, round(avg(value), 6) AS latency FROM events GROUP BY event_type")(
     lambda s, d: read(s, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.count_if(F.col("value") > 10).alias("passed"), F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("latency"))
 )
@@ -379,10 +374,12 @@ query("agg_duplicate_styles", "SELECT source, count(trim(text)) > count(DISTINCT
 )
 
 
-@query("agg_run_compare", f"SELECT run, n, final, hits FROM (SELECT run, {_MEANS_SQL} FROM {SCORES_SQL} GROUP BY run) JOIN (SELECT source AS run, count(*) FILTER (contains(text, '!')) AS hits FROM documents GROUP BY source) USING (run)")
+@query("agg_run_compare", f"SELECT run, n, final, total, hits FROM (SELECT run, {_MEANS_SQL} FROM {SCORES_SQL} GROUP BY run) JOIN (SELECT source AS run, count(*) AS total, count(h.doc_id) AS hits FROM documents LEFT JOIN ({ORACLES['jn_signature_scan']}) h USING (doc_id) GROUP BY source) USING (run)")
 def _(spark, d):
-    hits = read(spark, d, "documents").groupBy(F.col("source").alias("run")).agg(F.count_if(F.contains("text", F.lit("!"))).alias("hits"))
-    return sc.scoreboard(scores(spark, d), "run").join(hits, "run").select("run", "n", "final", "hits")
+    docs = read(spark, d, "documents").select(F.col("source").alias("run"), "text")
+    found = sel.signature_hits(docs, read(spark, d, "benchmark").select(F.col("text").alias("signature")), "text").groupBy("run").agg(F.count("*").alias("found"))
+    rate = docs.groupBy("run").agg(F.count("*").alias("total")).join(found, "run", "left").select("run", "total", F.coalesce("found", F.lit(0)).alias("hits"))
+    return sc.scoreboard(scores(spark, d), "run").join(rate, "run").select("run", "n", "final", "total", "hits")
 
 
 _SELF = ("CASE WHEN trim(caption) = '' THEN 'empty' END", "CASE WHEN length(caption) > 300 THEN 'too_long' END", "CASE WHEN trim(caption) <> '' AND NOT (regexp_matches(caption, '[A-Za-z]') AND length(caption) - length(regexp_replace(caption, '[^\\x00-\\x7F]', '', 'g')) <= greatest(2, length(caption) // 20)) THEN 'not_english' END", "CASE WHEN style IN ('formal', 'sarcastic') AND contains(caption, '!') THEN 'exclamation' END", "CASE WHEN style = 'formal' AND regexp_matches(lower(caption), '(^|[^A-Za-z0-9_])(that|was)([^A-Za-z0-9_]|$)') THEN 'first_second_person' END", "CASE WHEN style IN ('sarcastic', 'humorous_non_tech') AND regexp_matches(lower(caption), '(^|[^A-Za-z0-9_])(les|que)([^A-Za-z0-9_]|$)') THEN 'tech_jargon' END")
@@ -395,9 +392,6 @@ def _self_issues(spark, d):
 
 
 query("aud_self_check", f"SELECT doc_id, style, code FROM ({_SELF_SQL}) WHERE code IS NOT NULL")(lambda s, d: _self_issues(s, d).select("doc_id", "style", "code"))
-query("agg_issue_report", f"SELECT doc_id, code, (SELECT count(*) FROM ({_SELF_SQL}) WHERE code IS NOT NULL) AS total FROM ({_SELF_SQL}) WHERE code IS NOT NULL ORDER BY doc_id, code LIMIT 50")(
-    lambda s, d: _self_issues(s, d).select("doc_id", "code").orderBy("doc_id", "code").limit(50).crossJoin(_self_issues(s, d).agg(F.count("*").alias("total")))
-)
 _THIN = "CASE WHEN len(list_filter(regexp_split_to_array(caption, '\\s+'), lambda w: w <> '')) < CASE WHEN style = 'formal' THEN 10 ELSE 7 END THEN 'too_thin' END"
 _TELL = "CASE WHEN regexp_matches(lower(caption), '(of the|rat)') THEN 'ai_tell' END"
 _GENERIC = "CASE WHEN regexp_matches(lower(caption), '^(the|in|on) ') THEN 'generic' END"
@@ -430,6 +424,22 @@ def _report(spark, d):
     return captions(spark, d).groupBy("style").agg(F.count_if(ok).alias("written"), F.count_if(~ok).alias("dropped"), F.min(F.when(ok, F.col("doc_id"))).alias("first_id"))
 
 
+_DETAIL_SQL = f"SELECT doc_id, style, unnest([CASE WHEN words < 20 THEN 'too_thin' END, CASE WHEN shared BETWEEN 0 AND 1 THEN 'few_anchors' END]) AS code FROM (SELECT doc_id, style, max(words) AS words, coalesce(sum(list_has_any(choices, tokens)::INT), -1) AS shared FROM (SELECT doc_id, style, task_id, {_TOKENS_SQL} AS tokens, len(list_filter(regexp_split_to_array(caption, '\\s+'), lambda w: w <> '')) AS words FROM {CAPTIONS_SQL}) c LEFT JOIN {_ANCHORS_SQL} USING (task_id) GROUP BY doc_id, style)"
+_ISSUES_SQL = f"(SELECT * FROM (SELECT doc_id, style, 'self_check' AS \"check\", code FROM ({_SELF_SQL}) UNION ALL SELECT doc_id, style, 'quality_audit', code FROM ({_QUALITY_SQL}) UNION ALL SELECT doc_id, style, 'detail_audit', code FROM ({_DETAIL_SQL}) UNION ALL SELECT doc_id, {STYLE_SQL}, 'grounding_audit', 'unsupported: ' || term FROM ({ORACLES['jn_terms_contains']}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)) WHERE code IS NOT NULL)"
+_CHECKS = ("self_check", "quality_audit", "detail_audit", "grounding_audit")
+
+
+def _all_issues(spark, d):
+    codes = (cap.self_check(captions(spark, d), banned=("que", "les"), person=("that", "was")), cap.quality_check(("of the", "rat"), _TASTE, "^(the|in|on) ", banned=_BLEED), audits.detail_check({}, {}, (20, 2)), audits.grounding_check())
+    return audits.issue_table(_dictionaries(spark, d), dict(zip(_CHECKS, codes)), ["doc_id"])
+
+
+query("agg_issue_report", f"SELECT doc_id, \"check\", code, (SELECT count(*) FROM {_ISSUES_SQL}) AS total FROM {_ISSUES_SQL} ORDER BY doc_id, \"check\", code LIMIT 50")(lambda s, d: audits.report(_all_issues(s, d).drop("style"), ["doc_id", "check", "code"], 50))
+query("agg_gate", f"WITH i AS {_ISSUES_SQL}, n AS (SELECT v.c AS \"check\", count(i.code) AS n FROM (VALUES ('self_check'), ('quality_audit'), ('detail_audit'), ('grounding_audit')) v(c) LEFT JOIN i ON i.\"check\" = v.c GROUP BY v.c), k AS (SELECT \"check\", n = 0 AS passed, n || ' issues' AS message FROM n UNION ALL SELECT 'judge_score', n > 0 AND f >= 0.93, 'final ' || floor(f * 1000)::BIGINT || ' of 1000, ' || n || ' rows' FROM (SELECT avg((accuracy + style_match) / 2) AS f, count(*) AS n FROM {SCORES_SQL})) SELECT * FROM k UNION ALL SELECT 'gate', bool_and(passed), count(*) FILTER (NOT passed) || ' failed' FROM k")(
+    lambda s, d: audits.quality_gate(_all_issues(s, d), _CHECKS, scores(s, d))
+)
+
+
 # --- windows -----------------------------------------------------------------------------------------------------
 
 
@@ -440,7 +450,9 @@ def _(spark, d):
 
 
 query("win_last", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")(lambda s, d: sel.last_by(read(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id").select("user_id", "event_type", "event_id"))
-query("win_topn", "SELECT s_name, s_acctbal FROM supplier WHERE s_acctbal > 0 AND s_acctbal < 9000 ORDER BY s_acctbal DESC, s_name LIMIT 3")(lambda s, d: read(s, d, "supplier").filter("s_acctbal > 0 and s_acctbal < 9000").orderBy(F.desc("s_acctbal"), "s_name").limit(3).select("s_name", "s_acctbal"))
+query("win_topn", "SELECT s_name, s_acctbal, place, s_nationkey = 7 AS own FROM (SELECT *, row_number() OVER (ORDER BY s_acctbal DESC, s_name) AS place FROM supplier WHERE s_acctbal > 0 AND s_acctbal < 9000) WHERE place <= 3 OR s_nationkey = 7")(
+    lambda s, d: sc.leaders(read(s, d, "supplier").filter("s_acctbal > 0 and s_acctbal < 9000"), "s_acctbal", "s_name", F.col("s_nationkey") == 7, 3).select("s_name", "s_acctbal", "place", "own")
+)
 query("win_bottomn", f"SELECT doc_id, (accuracy + style_match) / 2 AS final FROM {SCORES_SQL} ORDER BY 2, 1 LIMIT 5")(lambda s, d: scores(s, d).select("doc_id", ((F.col("accuracy") + F.col("style_match")) / 2).alias("final")).orderBy("final", "doc_id").limit(5))
 
 # --- timelines ---------------------------------------------------------------------------------------------------
