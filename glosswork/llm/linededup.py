@@ -1,4 +1,4 @@
-"""Substring dedup by hashing the clauses of lines, over the whole corpus."""
+"""Substring dedup by hashing lines, paragraphs and the clauses of lines, over the whole corpus."""
 
 from __future__ import annotations
 
@@ -43,7 +43,29 @@ def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _units(least: int):
+def wholes(text: str, firsts: list[int], lasts: list[int], places: list[int], least: int) -> list[tuple[int, int]]:
+    """First and last index of the clauses of each line of ``least`` words or more, and of each paragraph that has shorter lines as well."""
+    out, lines, paragraphs = [], [], []
+    for i, first in enumerate(firsts):
+        gap = text[lasts[i - 1] : first].count("\n") if i else 2
+        if gap:
+            lines.append([i, i])
+        else:
+            lines[-1][1] = i
+        if gap > 1:
+            paragraphs.append([])
+        if gap:
+            paragraphs[-1].append(lines[-1])
+    long = lambda i, j: places[j + 1] - places[i] >= least
+    for own in paragraphs:
+        kept = [(i, j) for i, j in own if long(i, j)]
+        out += kept
+        if len(kept) < len(own) and len(own) > 1 and long(own[0][0], own[-1][1]):
+            out.append((own[0][0], own[-1][1]))
+    return out
+
+
+def _units(least: int, line: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "begin", "stop", "at", "words", "d1", "d2"]
 
@@ -61,14 +83,15 @@ def _units(least: int):
                     lasts.append(m.start() + len(m.group().rstrip()))
                     units.append(" ".join(split))
                     places.append(places[-1] + len(split))
-                for i, j in runs([q - p for p, q in pairwise(places)], least):
+                whole = set(wholes(text.as_py() or "", firsts, lasts, places, line))
+                for i, j in sorted({*runs([q - p for p, q in pairwise(places)], least), *whole}):
                     unit = units[i] if i == j else " ".join(units[i : j + 1])
                     ids.append(doc_id)
                     keys.append(key)
                     begins.append(firsts[i])
                     stops.append(lasts[j])
                     ats.append(places[i])
-                    words.append(places[j + 1] - places[i])
+                    words.append((places[j + 1] - places[i]) * 2 + ((i, j) in whole))
                     digests.append(xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass")))
                     if len(ids) > 20_000:
                         yield made(ids, keys, begins, stops, ats, words, digests)
@@ -79,12 +102,14 @@ def _units(least: int):
     return run
 
 
-def repeated_units(docs: DataFrame, least: int = 6, shortest: int = 30) -> DataFrame:
+def repeated_units(docs: DataFrame, least: int = 6, shortest: int = 30, line: int = 10) -> DataFrame:
     """The spans to remove: doc_id, begin, stop, words, kept_doc_id, kept_begin.
 
-    Lines are cut into clauses at .,;:!? before white space. Units are the clauses of ``least`` words, and the least
-    runs of neighbouring clauses, also across lines, in which each shorter one has so many. Equal units (lower-cased, with
-    single spaces) are one group. The occurrence of smallest (doc_id, begin) stays; the others go where they follow each
+    Units are whole lines of ``line`` words or more, and paragraphs (lines without an empty one between them) of so many words that have shorter
+    lines. Lines are also cut into clauses at .,;:!? before white space: clauses of ``least`` words, and the least
+    runs of neighbouring clauses, also across lines, in which each shorter one has so many, are units too, as shared passages start and end
+    within lines. Equal units (lower-cased, with
+    single spaces) are one group. The occurrence of smallest (doc_id, begin) stays. Other lines and paragraphs go; other clauses go where they follow each
     other without a gap over ``shortest`` words or more, so that a stock phrase stays where it is. Units that follow
     or overlap each other in the same way where they are kept are named as one span. begin and stop are offsets in code
     points of the original text. Units inside other units are not named on their own.
@@ -93,7 +118,7 @@ def repeated_units(docs: DataFrame, least: int = 6, shortest: int = 30) -> DataF
     and a text: rows that share both are one, rows that share only the id are several, ranked by a
     hash of the text. Further columns are ignored, whatever their names.
     """
-    return _spans(docs, least, shortest).drop("key")
+    return _spans(docs, least, shortest, line).drop("key")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -105,24 +130,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.join(shared, F.col("doc_id") == F.col("__id"), "left").select(*docs.columns, key.alias("__key"))
 
 
-def _spans(docs: DataFrame, least: int, shortest: int) -> DataFrame:
+def _spans(docs: DataFrame, least: int, shortest: int, line: int) -> DataFrame:
     """What repeated_units gives, with the key of each row."""
     slim = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     texts = slim.withColumnRenamed("__key", "key")
-    units = texts.mapInArrow(_units(least), _UNITS)
+    units = texts.mapInArrow(_units(least, line), _UNITS)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "begin", "at")
     groups = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).filter("n > 1").drop("n")
     again = units.join(groups, ["d1", "d2"]).filter(~((F.col("key") == F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("begin") == F.col("kept.begin"))))
-    gone = again.select("doc_id", "key", "begin", "stop", "at", (F.col("at") + F.col("words")).alias("end"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.key").alias("kept_key"), F.col("kept.begin").alias("kept_begin"), (F.col("kept.at") - F.col("at")).alias("shift"))
+    gone = again.select("doc_id", "key", "begin", "stop", "at", F.expr("at + words div 2").cast("int").alias("end"), (F.col("words") % 2 == 1).alias("whole"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.key").alias("kept_key"), F.col("kept.begin").alias("kept_begin"), (F.col("kept.at") - F.col("at")).alias("shift"))
     row = Window.partitionBy("doc_id", "key")
     order = row.orderBy("begin", F.desc("stop"), "kept_doc_id", "kept_key", "kept_begin", "at")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    # this drops repeated rows, too
-    outer = gone.withColumn("reach", F.max("stop").over(before)).filter(F.col("reach").isNull() | (F.col("stop") > F.col("reach")))
+    # units inside others don't count for a stretch; this drops repeated rows, too
+    outside = lambda df: df.withColumn("reach", F.max("stop").over(before)).withColumn("outer", F.col("reach").isNull() | (F.col("stop") > F.col("reach")))
+    follows = F.col("at") <= F.last(F.when(F.col("outer"), F.col("end")), True).over(before)
+    stretch = outside(gone).filter("outer or whole").withColumn("stretch", F.count_if(F.col("outer") & ~F.coalesce(follows, F.lit(False))).over(upto))
+    same = Window.partitionBy("doc_id", "key", "stretch")
+    total = F.max(F.when(F.col("outer"), F.col("end"))).over(same) - F.min(F.when(F.col("outer"), F.col("at"))).over(same)
+    long = outside(stretch.withColumn("total", total).filter((F.col("outer") & (F.col("total") >= shortest)) | F.col("whole"))).filter("outer")
     follows = F.col("at") <= F.lag("end").over(order)
-    stretch = outer.withColumn("stretch", F.count_if(~F.coalesce(follows, F.lit(False))).over(upto))
-    whole = Window.partitionBy("doc_id", "key", "stretch")
-    long = stretch.withColumn("total", F.max("end").over(whole) - F.min("at").over(whole)).filter(F.col("total") >= shortest)
     goes_on = follows & (F.col("shift") == F.lag("shift").over(order)) & F.col("kept_doc_id").eqNullSafe(F.lag("kept_doc_id").over(order)) & (F.col("kept_key") == F.lag("kept_key").over(order))
     spans = long.withColumn("span", F.count_if(~F.coalesce(goes_on, F.lit(False))).over(upto))
     merged = spans.groupBy("doc_id", "key", "span").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), (F.max("end") - F.min("at")).alias("words"), F.min("kept_doc_id").alias("kept_doc_id"), F.min("kept_begin").alias("kept_begin"))
@@ -143,9 +170,12 @@ def _without(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.drop_columns(["__spans"]).set_column(b.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
 
-def deduplicated(docs: DataFrame, least: int = 6, shortest: int = 30) -> DataFrame:
-    """``docs`` with the repeated spans taken out of their texts, by row: rows that share a doc_id, null or not, keep what is their own."""
-    spans = _spans(docs, least, shortest).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.collect_list(F.struct("begin", "stop")).alias("__spans"))
+def deduplicated(docs: DataFrame, least: int = 6, shortest: int = 30, line: int = 10) -> DataFrame:
+    """``docs`` with the repeated spans taken out of their texts, by row: rows that share a doc_id, null or not, keep what is their own.
+
+    Null and empty texts stay as they are; of equal rows each loses the same. doc_ids are numbers, or strings of digits. An empty table stays empty.
+    """
+    spans = _spans(docs, least, shortest, line).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__of")).agg(F.collect_list(F.struct("begin", "stop")).alias("__spans"))
     keyed = _keyed(docs)
     same = (F.col("__key") == F.col("__of")) & keyed["doc_id"].cast("long").eqNullSafe(F.col("__id"))
     return keyed.join(spans, same, "left").select(*docs.columns, "__spans").mapInArrow(_without, docs.schema)

@@ -531,7 +531,8 @@ def test_line_dedup(spark):
     assert got == sorted(want, key=str)
     out = {r["doc_id"]: r["text"] for r in linededup.deduplicated(docs_of(spark, rows), 6, 6).collect()}
     assert out[9] == " Tail." and out[2] == rows[1][1].replace(p.upper(), "") and out[3] is None and out[None] == ""
-    assert linededup.repeated_units(docs_of(spark, rows)).count() == 0  # too short by themselves
+    assert linededup.repeated_units(docs_of(spark, rows), line=10**6).count() == 0  # too short by themselves
+    assert {r["doc_id"] for r in linededup.repeated_units(docs_of(spark, rows)).collect()} == {2, None}  # but for whole lines
 
 
 def brute_spans(rows, least, shortest):
@@ -581,10 +582,46 @@ def test_line_dedup_against_brute_force(spark):
         rows.append((i, rng.choice([" ", "\n", ""]).join(parts)))
     rows += [(900, None), (901, ""), (902, (pool[2] + " ") * 3 + prose(rng, 20_000))]
     for least, shortest in ((6, 0), (6, 30)):
-        got = {tuple(r)[:5] for r in linededup.repeated_units(docs_of(spark, rows), least, shortest).collect()}
+        got = {tuple(r)[:5] for r in linededup.repeated_units(docs_of(spark, rows), least, shortest, 10**6).collect()}
         assert got == brute_spans(rows, least, shortest)
 
 
+def test_whole_lines_and_paragraphs_go(spark):
+    rng = random.Random(21)
+    line, part = prose(rng, 11), [prose(rng, n) for n in (9, 8, 6, 6)]
+    rows = [(i, f"{prose(rng, 5)}\n{line}\n{prose(rng, 7)}") for i in range(50)] + [(100 + i, f"{prose(rng, 20)}\n\n" + "\n".join(part) + f"\n \n{prose(rng, 8)}") for i in range(50)]
+    rows += [(300, line.upper() + "\r\nown"), (301, prose(rng, 9)), (302, "")] + [(400 + i, prose(rng, 1) + " short line of seven words in all") for i in range(3)]
+    out = {r["doc_id"]: r["text"] for r in linededup.deduplicated(docs_of(spark, rows)).collect()}
+    assert sum(line in t.lower() for t in out.values()) == 1 and line in out[0]
+    assert sum(part[0] in t for t in out.values()) == 1 and "\n".join(part) in out[100]
+    assert all(out[i] == dict(rows)[i] for i in (0, 100, 301, 302, 400, 401, 402))
+    assert all(len(out[i].split()) == len(dict(rows)[i].split()) - 11 for i in range(1, 50))
+
+
+def test_later_whole_lines_are_all_covered(spark):
+    rng = random.Random(22)
+    pool = [prose(rng, rng.choice([3, 9, 10, 14, 40])).replace(" so", ", so").replace(" mi", ". mi") for _ in range(25)]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice(["\n", "\n", "\n\n", " "]) for _ in range(rng.choice([1, 3, 8])))) for i in range(80)]
+    spans = collections.defaultdict(list)
+    for r in linededup.repeated_units(docs_of(spark, rows)).collect():
+        spans[r["doc_id"]].append((r["begin"], r["stop"]))
+    seen, later = {}, 0
+    for i, t in rows:
+        at = 0
+        for x in t.split("\n"):
+            words = x.lower().split()
+            if len(words) >= 10:
+                key, begin = " ".join(words), at + len(x) - len(x.lstrip())
+                if key in seen:
+                    later += 1
+                    covered = set().union(*(range(b, e) for b, e in spans[i]))
+                    assert set(range(begin, begin + len(x.strip()))) - covered <= {k for k in range(len(t)) if t[k].isspace()}, (i, x)
+                else:
+                    seen[key] = (i, begin)
+            at += len(x) + 1
+    assert later > 50
+
+
 def test_line_dedup_keeps_rows_of_one_id_apart(spark):
     rng = random.Random(13)
     q, r = prose(rng, 40) + ".", prose(rng, 33) + "."
