@@ -130,11 +130,24 @@ class Facts:
     def anchors(self, caption: Column, stop: Sequence[str] = rules.STOP_WORDS) -> Column:
         return F.size(F.array_intersect(evidence_tokens(caption, stop), self.evidence_terms(stop)))
 
-    def evidence_score(self, style: Column, caption: Column, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS, **lists) -> Column:
-        """Length and anchors, each up to 1, less a fifth for every issue; -10 for a caption that breaks a style rule."""
-        _, _, length, anchors = _by_style(style)
-        value = F.least(word_count(caption) / length, F.lit(1.0)) + F.least(self.anchors(caption, stop) / anchors, F.lit(1.0)) - F.size(self.issues(style, caption, clear, stop)) * 0.2
-        return F.when(style_passes(style, caption, **lists), value).otherwise(F.lit(-10.0))
+    def graded(self, style: Column, caption: Column, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS, terms: Column | None = None) -> Column:
+        """A struct of ``value``, length and anchors, each up to 1, less a fifth for every issue, and ``n_issues``.
+
+        The caption's tokens and the facts' terms are made once; ``terms`` are those of ``evidence_terms``, where a column holds them already.
+        """
+        least, enough, length, anchors = _by_style(style)
+
+        def value(found: Column, n: Column, shared: Column) -> Column:
+            lacks_tech = (style == "humorous_tech") & ~F.arrays_overlap(found, F.array(*map(F.lit, clear)))
+            issues = (n < least).cast("int") + (shared < enough).cast("int") + lacks_tech.cast("int")
+            return F.struct((F.least(n / length, F.lit(1.0)) + F.least(shared / anchors, F.lit(1.0)) - issues * 0.2).alias("value"), issues.alias("n_issues"))
+
+        known = self.evidence_terms(stop) if terms is None else terms
+        return let(word_count(caption), lambda n: let(evidence_tokens(caption, stop), lambda found: let(F.size(F.array_intersect(found, known)), lambda shared: value(found, n, shared))))
+
+    def evidence_score(self, style: Column, caption: Column, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS, terms: Column | None = None, **lists) -> Column:
+        """The graded value; -10 for a caption that breaks a style rule."""
+        return F.when(style_passes(style, caption, **lists), self.graded(style, caption, clear, stop, terms)["value"]).otherwise(F.lit(-10.0))
 
     def scene(self, most: int = 180) -> Column:
         """The first characters of the summary, without its full stop."""

@@ -57,14 +57,16 @@ def normalise(captions: DataFrame, facts: Facts | None = None, fallback: Column
     text = clean(F.coalesce("caption", F.lit("")))
     floor = reduce(lambda c, s: c.when(style == s, rules.FLOORS[s]), rules.FLOORS, F.when(F.lit(False), 1)).otherwise(1) if facts else F.lit(1)
     step = captions.withColumn("_clean", text).withColumn("_short", F.size(words(F.col("_clean"))) < floor)
-    step = step.withColumn("_ok", style_passes(style, F.col("_clean"), **lists))
+    # a text is judged once; a repaired one only where the text before broke a rule
+    step = step.withColumn("_first", style_reason(style, F.col("_clean"), **lists))
     bare = without_hedges(F.col("_clean"))
-    step = step.withColumn("_bare", F.when(~F.col("_ok") & (F.col("_clean") != ""), bare))
-    step = step.withColumn("_one", F.when(F.col("_bare").isNotNull() & (F.col("_bare") != F.col("_clean")) & style_passes(style, F.col("_bare"), **lists), F.col("_bare")).otherwise(F.col("_clean")))
-    step = step.withColumn("_why", style_reason(style, F.col("_one"), **lists))
+    step = step.withColumn("_bare", F.when((F.col("_first") != "ok") & (F.col("_clean") != ""), bare))
+    step = step.withColumn("_freed", F.coalesce((F.col("_bare") != F.col("_clean")) & style_passes(style, F.col("_bare"), **lists), F.lit(False)))
+    step = step.withColumn("_one", F.when(F.col("_freed"), F.col("_bare")).otherwise(F.col("_clean"))).withColumn("_why", F.when(F.col("_freed"), "ok").otherwise(F.col("_first")))
     calm = F.regexp_replace("_one", "!+", ".")
-    step = step.withColumn("_two", F.when((F.col("_why") == "exclamation") & style_passes(style, calm, **lists), calm).otherwise(F.col("_one")))
-    step = step.withColumn("reason", F.when(F.col("_clean") == "", "empty").when(F.col("_short"), "too_short").otherwise(style_reason(style, F.col("_two"), **lists)))
+    step = step.withColumn("_calm", F.when(F.col("_why") == "exclamation", calm)).withColumn("_calmed", F.col("_calm").isNotNull() & style_passes(style, F.col("_calm"), **lists))
+    step = step.withColumn("_two", F.when(F.col("_calmed"), F.col("_calm")).otherwise(F.col("_one")))
+    step = step.withColumn("reason", F.when(F.col("_clean") == "", "empty").when(F.col("_short"), "too_short").when(F.col("_calmed"), "ok").otherwise(F.col("_why")))
     grounded = fallback if fallback is not None else facts.fallback(style) if facts else static_fallback(style)
     step = step.withColumn("_grounded", F.when(F.col("reason") != "ok", grounded))
     replaced = F.when(style_passes(style, F.col("_grounded"), **lists), F.col("_grounded")).otherwise(static_fallback(style))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.checks import style_passes
 from ..functions.facts import Facts, static_fallback
 from ..functions.text import final_caption
 from ..sources.shared import stored
@@ -38,8 +39,9 @@ def candidates(scenes: DataFrame, model: Model, topics: DataFrame, clear: Sequen
 
 def scored(rows: DataFrame, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS, **lists) -> DataFrame:
     """rows(style, facts, caption) with their evidence score and the number of issues."""
-    f = Facts(rows)
-    return rows.withColumns({"score": f.evidence_score(F.col("style"), F.col("caption"), clear, stop, **lists), "n_issues": F.size(f.issues(F.col("style"), F.col("caption"), clear, stop))})
+    graded = rows.withColumn("_graded", Facts(rows).graded(F.col("style"), F.col("caption"), clear, stop))
+    score = F.when(style_passes(F.col("style"), F.col("caption"), **lists), F.col("_graded.value")).otherwise(F.lit(-10.0))
+    return graded.withColumns({"score": score, "n_issues": F.col("_graded.n_issues")}).drop("_graded")
 
 
 def repaired(best: DataFrame, repair: Model, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS, **lists) -> DataFrame:
@@ -48,7 +50,8 @@ def repaired(best: DataFrame, repair: Model, clear: Sequence[str] = rules.CLEAR_
     prompt = ds.repair_prompt(F.col("caption"), f.issues(F.col("style"), F.col("caption"), clear, stop), f.evidence_terms(stop))
     asked = generate(best.filter("n_issues > 0").withColumn("prompt", prompt), repair)
     offered = asked.withColumn("offer", F.coalesce(F.when(F.col("ok"), final_caption(F.col("text"))), F.col("caption")))
-    score = lambda c: Facts(offered).evidence_score(F.col("style"), c, clear, stop, **lists)
+    offered = offered.withColumn("_terms", f.evidence_terms(stop))
+    score = lambda c: Facts(offered).evidence_score(F.col("style"), c, clear, stop, F.col("_terms"), **lists)
     built = Facts(offered).evidence_caption(F.col("style"), F.col("offer"))
     graded = offered.withColumns({"_offered": score(F.col("offer")), "_built": score(built)})
     taken = sel.repair_taken(F.col("score"), F.col("_offered"), F.col("_built"))

@@ -42,12 +42,27 @@ def _micros():
 # --- sources and sinks -------------------------------------------------------------------------------------------
 
 
-@query("src_tasks", "SELECT 'p' || page_id AS task_id, url AS video_url, 2::BIGINT AS n_styles FROM pages")
+def _array_files(rows, run, order, path):
+    """Write JSON arrays, one a file: of each run the rows of a range of some 10,000 numbers, in their order."""
+    value = F.struct(order.alias("order"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    dealt = rows.select(run.alias("run"), F.lpad(F.floor(order / 10_000).cast("string"), 12, "0").alias("at"), value.alias("row")).groupBy("run", "at").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x.value), ","), F.lit("]"))
+    dealt.select("run", "at", text.alias("value")).write.mode("append").option("maxRecordsPerFile", 1).partitionBy("run", "at").text(path)
+
+
+@query("src_tasks", "SELECT 'p' || page_id AS task_id, url AS video_url, 2::BIGINT AS n_styles, 0 AS status FROM pages UNION ALL SELECT 'no file', NULL, 0, 1 UNION ALL SELECT 'no array', NULL, 0, 1")
 def _(spark, d):
-    made = read(spark, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("task_id"), F.col("url").alias("video_url"), F.array(F.lit("formal"), F.lit("sarcastic")).alias("styles"))
-    path = scratch(spark)
-    made.write.json(path)
-    return io.jsonl(spark, path, io.TASKS).select("task_id", "video_url", F.size("styles").cast("long").alias("n_styles"))
+    """Arrays of tasks, then a path without files, and one with a file that is no JSON: no tasks, and status 1."""
+    pages, path = read(spark, d, "pages"), scratch(spark)
+    made = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("task_id"), F.col("url").alias("video_url"), F.array(F.lit("formal"), F.lit("sarcastic")).alias("styles"))
+    _array_files(made, F.lit("tasks"), F.substring("task_id", 2, 20).cast("long"), f"{path}/good")
+    made.limit(1).select(F.lit("[{").alias("value")).write.text(f"{path}/bad")
+    found, status = io.task_files(spark, f"{path}/good")
+    out = found.select("task_id", "video_url", F.size("styles").cast("long").alias("n_styles"), F.lit(status).alias("status"))
+    for name, where in (("no file", f"{path}/none"), ("no array", f"{path}/bad")):
+        none, status = io.task_files(spark, where)
+        out = out.unionByName(none.agg(F.lit(name).alias("task_id"), F.lit(None).cast("string").alias("video_url"), F.count("*").alias("n_styles"), F.lit(status).alias("status")))
+    return out
 
 
 @query("src_jsonl", "SELECT doc_id, lang, length(text)::BIGINT AS chars FROM documents")
@@ -64,15 +79,22 @@ def _(spark, d):
 
 @query("src_scores", f"SELECT run, count(*) AS n, avg(accuracy) AS accuracy, avg(style_match) AS style FROM {SCORES_SQL} GROUP BY run")
 def _(spark, d):
-    path = scratch(spark)
-    scores(spark, d).select("run", "accuracy", "style_match", F.col("doc_id").cast("string").alias("task_id")).write.partitionBy("run").json(path)
-    rows = spark.read.schema(f"{io.SCORES}, run string").json(path)
-    return rows.groupBy("run").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy"), F.avg("style_match").alias("style"))
+    """Arrays of scores in folders of their runs; files with a score that is no number, or that are no JSON, are left out."""
+    path, rows = scratch(spark), scores(spark, d).select(F.col("doc_id").cast("string").alias("task_id"), "accuracy", "style_match", "run")
+    _array_files(rows, F.col("run"), F.col("task_id").cast("long"), path)
+    _array_files(rows.limit(3).withColumn("accuracy", F.lit("high")), F.lit("words"), F.col("task_id").cast("long"), path)
+    rows.limit(1).select(F.lit("[{").alias("value"), F.lit("broken").alias("run"), F.lit("0").alias("at")).write.mode("append").partitionBy("run", "at").text(path)
+    found = io.scores(spark, f"{path}/run=*/at=*", 3).withColumn("run", F.substring_index("run", "=", -1))
+    return found.groupBy("run").agg(F.count("*").alias("n"), F.avg("accuracy").alias("accuracy"), F.avg("style_match").alias("style"))
 
 
-@query("src_clips", "SELECT o_custkey AS task_id, arg_max(o_orderpriority, o_orderkey) AS hint FROM orders GROUP BY o_custkey")
+@query("src_clips", "SELECT 'c' || o_custkey AS task_id, arg_max(o_orderpriority, o_orderkey) AS content_hint FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    return sel.last_by(read(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderpriority").alias("hint"), "o_orderkey"), ["task_id"], "o_orderkey").select("task_id", "hint")
+    """Orders as a manifest, in arrays by ranges of their keys: customers repeat within files and from file to file."""
+    orders, path = read(spark, d, "orders"), scratch(spark)
+    rows = orders.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("task_id"), F.lit("http://clips/").alias("video_url"), F.col("o_orderpriority").alias("content_hint"), F.col("o_orderkey").alias("key"))
+    _array_files(rows, F.lit("clips"), F.col("key"), path)
+    return io.clips(spark, path).select("task_id", "content_hint")
 
 
 @query("src_textfiles", "SELECT source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE source NOT LIKE '%src1%' GROUP BY source")

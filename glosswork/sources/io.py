@@ -28,9 +28,18 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, path: str) -> DataFrame:
+    """Task rows of JSON arrays; of a file that can't be read, one row with ``_corrupt_record``."""
     return json_array(spark, path, TASKS)
 
 
+def task_files(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The tasks of a path, and a status: 0, or 1 where there is nothing to read or a file is no JSON array; then there are no tasks."""
+    raw = tasks(spark, path)
+    seen = raw.agg(F.count("*").alias("n"), F.count("task_id"), F.count("_corrupt_record").alias("bad")).first()  # Spark wants a column beside the record
+    failed = seen["bad"] > 0 or seen["n"] == 0
+    return (raw.limit(0) if failed else raw).drop("_corrupt_record"), int(failed)
+
+
 def results(spark: SparkSession, path: str) -> DataFrame:
     """Rows task_id, style, caption."""
     return json_array(spark, path, RESULTS).filter("_corrupt_record is null").select("task_id", F.explode("captions").alias("style", "caption"))
@@ -41,19 +50,22 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def scores(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Score rows with ``run``, the file's name. A file with an unreadable record or a score that is no number is left out as a whole."""
+def scores(spark: SparkSession, paths: str | list[str], depth: int = 1) -> DataFrame:
+    """Score rows with ``run``: the last part of the file's path, or the ``depth``-th from its end, such as a folder.
+
+    A file with an unreadable record, without rows, or with a score that is no number is left out as a whole.
+    """
     text = SCORES.replace("accuracy double", "accuracy string").replace("style_match double", "style_match string")
-    raw = spark.read.schema(f"{text}, _corrupt_record string").option("multiLine", True).json(paths).withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    raw = spark.read.schema(f"{text}, _corrupt_record string").option("multiLine", True).json(paths).withColumn("_file", F.col("_metadata.file_path"))
     number = lambda c: F.col(c).isNull() | F.col(c).try_cast("double").isNotNull()
-    good = raw.groupBy("run").agg(F.bool_and(F.col("_corrupt_record").isNull() & number("accuracy") & number("style_match")).alias("good")).filter("good")
-    rows = raw.join(good.select("run"), "run", "left_semi").drop("_corrupt_record")
+    good = raw.groupBy("_file").agg(F.bool_and(F.col("_corrupt_record").isNull() & number("accuracy") & number("style_match")).alias("good")).filter("good")
+    rows = raw.join(good.select("_file"), "_file", "left_semi").withColumn("run", F.element_at(F.split("_file", "/"), -depth)).drop("_corrupt_record", "_file")
     return rows.withColumn("accuracy", F.col("accuracy").try_cast("double")).withColumn("style_match", F.col("style_match").try_cast("double"))
 
 
 def clips(spark: SparkSession, path: str) -> DataFrame:
-    """The clip manifest; of repeated ids the last counts."""
-    rows = json_array(spark, path, CLIPS).filter("_corrupt_record is null").withColumn("_at", F.monotonically_increasing_id())
+    """The clip manifest; of repeated ids the last counts, in the order of the files' paths and of the rows in a file."""
+    rows = json_array(spark, path, CLIPS).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())).filter("_corrupt_record is null")
     return rows.groupBy("task_id").agg(F.max_by(F.struct("video_url", "content_hint"), "_at").alias("c")).select("task_id", "c.video_url", "c.content_hint")
 
 
@@ -116,7 +128,12 @@ def payload_fits(parts: Sequence[Column], cap: int) -> Column:
     return total <= cap
 
 
+#: A table below so many bytes is dealt over all cores, where it has fewer splits than there are; a shuffle of more costs more than it gains.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer splits than there are cores, such as one small file, dealt over all cores; others as they are."""
+    """A small table of fewer splits than there are cores, such as one file, dealt over all cores; others as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
