@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,20 +16,28 @@ from pyspark.sql import functions as F
 from .common import PIECE_BYTES, batches, cut, mix64
 from .quality import held_out, training_labels
 
-#: Groups of identity terms that stand for each other in a counterfactual.
-IDENTITY_TERMS = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("female", "male"),
-    ("gay", "lesbian", "straight", "bisexual", "transgender"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("immigrant", "native"),
-    ("immigrants", "natives"),
-    ("disabled", "deaf", "blind"),
-    ("old", "young"),
-)
+#: Groups of identity terms that stand for each other in a counterfactual, by language: the plain names of common groups, no slurs, no other languages.
+IDENTITY_TABLE = {
+    "en": (
+        ("women", "men"),
+        ("woman", "man"),
+        ("female", "male"),
+        ("gay", "lesbian", "straight", "bisexual", "transgender"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "african", "european"),
+        ("immigrant", "native"),
+        ("immigrants", "natives"),
+        ("disabled", "deaf", "blind"),
+        ("old", "young"),
+    ),
+    "de": (("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden", "hindus", "atheisten"), ("ausländer", "inländer"), ("schwule", "lesben"), ("alte", "junge")),
+    "fr": (("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs", "hindous", "athées"), ("immigrés", "autochtones"), ("vieux", "jeunes")),
+    "es": (("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos", "hindúes", "ateos"), ("inmigrantes", "nativos"), ("viejos", "jóvenes")),
+}
+IDENTITY_TERMS = tuple(group for groups in IDENTITY_TABLE.values() for group in groups)
+#: Of the labelled texts that name no group, one in so many gets a term.
+PLACED = 4
 #: Labelled documents of each class that the fit reads at most, and the features that it keeps at most.
 MOST_ROWS, MOST_FEATURES = 8_000, 8_192
 #: Parts of a class, by the hash of doc_id, that are ranked apart.
@@ -39,11 +49,27 @@ BITS, WIDTH, STARTS = 20, 5, (7, 9, 11)
 
 def swapped(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> str:
     """The text with every identity term changed to the next one of its group."""
-    following = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
-    pattern = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, following), key=len, reverse=True)) + r")\b", re.IGNORECASE)
+    following, pattern = _following(groups)
     return pattern.sub(lambda m: following[m.group().lower()], text)
 
 
+@functools.cache
+def _following(groups):
+    following = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
+    return following, re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, following), key=len, reverse=True)) + r")\b", re.IGNORECASE)
+
+
+def placed(text: str, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, every: int = PLACED) -> str:
+    """One text in ``every``, by its hash, with an identity term put before one of its words; the others as they are."""
+    chance = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+    words = text.split(" ")
+    terms = [t for g in groups for t in g]
+    if not terms or chance % every:
+        return text
+    at = chance // every % len(words)
+    return " ".join((*words[:at], terms[chance // 2**32 % len(terms)], *words[at:]))
+
+
 _PLAIN = np.array([i if (97 <= i <= 122 or 48 <= i <= 57 or i >= 128) else 32 for i in range(256)], np.uint8)
 
 
@@ -77,6 +103,9 @@ def _extract(groups):
             for x in b.column("text"):
                 text = x.as_py() or ""
                 changed = swapped(text, groups)
+                if changed == text:  # names no group
+                    text = placed(text, groups)
+                    changed = swapped(text, groups)
                 own.append(np.unique(features(text)).astype(np.int32))
                 other.append(None if changed == text else np.unique(features(changed)).astype(np.int32))
             kind = pa.list_(pa.int32())
@@ -86,15 +115,15 @@ def _extract(groups):
 
 
 def _selected(kept: np.ndarray):
-    """The positions of the kept features, instead of all hashes."""
+    """The positions of the kept features, 4 bytes each, instead of all hashes."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int32)
         place[kept] = np.arange(len(kept))
-        only = lambda v: None if v is None else [i for i in place[np.array(v, np.int64)] if i >= 0]
+        found = lambda v: place[v.values.to_numpy()]
+        only = lambda v: None if not v.is_valid else (p := found(v))[p >= 0].tobytes()
         for b in batches(rows):
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array([only(v) for v in b.column(c).to_pylist()], kind) for c in ("own", "other"))], ["label", "own", "other"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), *(pa.array([only(v) for v in b.column(c)], pa.binary()) for c in ("own", "other"))], ["label", "own", "other"])
 
     return run
 
@@ -115,7 +144,7 @@ def _descend(labels: np.ndarray, own: list, other: list, size: int, swap: float,
     """Logistic regression on sparse rows by accelerated gradient steps; ``swap`` weighs the squared change of the score under a swap."""
 
     def flat(rows):
-        rows = [np.array(r or [], np.int64) for r in rows]
+        rows = [np.asarray([] if r is None else r, np.int64) for r in rows]
         return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.empty(0, np.int64)])
 
     n = len(labels)
@@ -153,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", groups=IDENTITY
     """Fit on at most ``most_rows`` labelled documents of each class, of each of PARTS parts of it those of smallest hash of doc_id.
 
     Features are counted over these documents in Spark. Kept are those in three toxic documents or more and at least
-    four times as frequent there as in others, the most telling first. What comes to the driver is one short row
+    four times as frequent there as in others, the most telling first, and those of the identity terms. Where a text names no group of people, one in
+    PLACED gets a term, the same way in both classes, so that every table has counterfactuals. What comes to the driver is one short row
     of kept features per document. Without labels of both kinds the model is a constant.
     """
     # PARTS parts of each class by hash, of which each gives the same number at most
@@ -169,10 +199,13 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "toxic", groups=IDENTITY
     counts = rows.select("label", F.explode("own").alias("feature")).groupBy("feature").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
     odds = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("n") - F.col("toxic") + 0.5) / (n0 + 1))
     best = counts.filter((F.col("toxic") >= F.least(F.lit(3), F.lit(n1))) & (odds >= 4)).orderBy((F.log(odds) * F.sqrt("toxic")).desc(), "feature").limit(MOST_FEATURES)
-    kept = np.array(sorted(r["feature"] for r in best.select("feature").collect()), np.int64)
-    data = rows.mapInArrow(_selected(kept), "label int, own array<int>, other array<int>").collect()
-    data.sort(key=lambda r: (r["label"], r["own"], r["other"] is not None, r["other"] or []))
-    w, b = _descend(np.array([r["label"] for r in data], float), [r["own"] for r in data], [r["other"] for r in data], len(kept), swap, ridge, rounds)
+    # the windows of the terms take part whatever their counts: what they may weigh is the penalty's matter
+    terms = [int(x) for g in groups for t in g for x in features(t)]
+    kept = np.array(sorted({*terms, *(r["feature"] for r in best.select("feature").collect())}), np.int64)
+    data = rows.mapInArrow(_selected(kept), "label int, own binary, other binary").collect()
+    data.sort(key=lambda r: (r["label"], bytes(r["own"]), r["other"] is not None, bytes(r["other"] or b"")))
+    read = lambda x: None if x is None else np.frombuffer(x, np.int32)
+    w, b = _descend(np.array([r["label"] for r in data], float), [read(r["own"]) for r in data], [read(r["other"]) for r in data], len(kept), swap, ridge, rounds)
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = w
     return Model(weights, b)
@@ -192,7 +225,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted.
 
     Whole texts are scored. The model comes from labelled documents outside the held-out fold (see ``fit``). Where a
-    labelled text names a group of people, its copy with the terms swapped is scored as well in training and the
+    labelled text names a group of people, or was given such a name for training, its copy with the terms swapped is scored as well in training and the
     squared change of the logit penalised, so that a term can't carry the score by itself.
 
     Null texts count as empty. Labels of documents that aren't there, null labels and null ids are left out; without labels

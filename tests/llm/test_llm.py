@@ -385,6 +385,46 @@ def test_toxicity_and_neutral_mentions(spark):
     assert flagged[5.0] > 0.95 and neutral[5.0] < 0.1 and neutral[5.0] < neutral[0.0]
 
 
+def test_counterfactuals_act_on_texts_that_name_nobody(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 14) + (f" {rng.choice(['zorgling', 'brakwit'])}" if i % 3 == 0 else "")) for i in range(900)]
+    mentions = [(2000 + 2 * i + j, f"{prose(rng, 12)} {t}") for i in range(80) for j, t in enumerate(("muslims", "christians"))]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    scores = {}
+    for swap in (0.0, 1.0, 20.0):
+        scores[swap] = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs_of(spark, rows + mentions), labels, swap=swap).collect()}
+    assert scores[0.0] != scores[1.0]
+    model = {s: toxicity.fit(docs_of(spark, rows), labels.selectExpr("doc_id", "toxic as label"), swap=s) for s in (0.0, 20.0)}
+    weigh = lambda m, t: m.weights[np.unique(toxicity.features(t))].sum()
+    moved = {s: np.mean([abs(weigh(m, g[i]) - weigh(m, g[(i + 1) % len(g)])) for g in toxicity.IDENTITY_TERMS for i in range(len(g))]) for s, m in model.items()}
+    assert moved[20.0] < 0.5 * moved[0.0]  # neutral mentions move less
+    assert np.mean([scores[20.0][i] >= 0.7 for i, _ in rows if i % 3 == 0]) > 0.95
+    assert np.mean([scores[20.0][i] >= 0.7 for i, _ in rows + mentions if i % 3 or i >= 2000]) == 0
+
+
+def test_selected_features_against_brute_force(spark):
+    rng = random.Random(32)
+    rows = [(i, prose(rng, 6) + (" zorgling" if i % 2 else "")) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, label int")
+    model = toxicity.fit(docs_of(spark, rows), labels, groups=(("muslim", "christian"),))
+    toxic, clean = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        (toxic if i % 2 else clean).update(np.unique(toxicity.features(toxicity.placed(t, (("muslim", "christian"),)))).tolist())
+    telling = {f for f, n in toxic.items() if n >= 3 and ((n + 0.5) / 41) / ((clean[f] + 0.5) / 41) >= 4}
+    named = {int(f) for t in ("muslim", "christian") for f in toxicity.features(t)}
+    assert set(np.flatnonzero(model.weights).tolist()) <= telling | named
+    assert {f for f in telling if toxic[f] > 20} <= set(np.flatnonzero(model.weights).tolist())
+
+
+def test_placed_terms_fall_alike_on_all_texts():
+    rng = random.Random(33)
+    texts = [prose(rng, 9) for _ in range(2000)]
+    changed = [t for t in texts if toxicity.placed(t) != t]
+    assert 400 < len(changed) < 600 and all(len(toxicity.placed(t).split()) == 10 for t in changed)
+    assert toxicity.placed("", every=1).strip() in {t for g in toxicity.IDENTITY_TERMS for t in g}
+    assert toxicity.placed("a b", (), 1) == "a b" and toxicity.swapped("die Frauen, les JUIFS") == "die männer, les hindous"
+
+
 def test_swapped():
     assert toxicity.swapped("Muslim women and men") == "christian men and women"
 
