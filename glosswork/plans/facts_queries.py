@@ -112,24 +112,68 @@ query("win_repair_accept", f"SELECT doc_id, CASE WHEN b.score > greatest(o.score
 )
 
 
-@query("cap_formal_build")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _lead_sql(x: str) -> str:
+    return f"CASE WHEN split_part({x}, ' ', 1) IN ({', '.join(map(_quoted, rules.DETERMINERS))}) THEN lower(left({x}, 1)) || substr({x}, 2) ELSE {x} END"
+
+
+def _distinct_sql(p: str) -> str:
+    return f"list_filter({p}, lambda x, i: list_position(list_transform({p}, lambda y: lower(y)), lower(x)) = i)"
+
+
+def _budget_sql(items: str, room: str, most: int) -> str:
+    """The first items within a budget of characters, with their first letters lowered where they are determiners."""
+    over = f"(a.f OR a.r - length(e.x) - 2 < 0 OR len(a.k) >= {most})"
+    each = f"list_transform({items}, lambda x: {{'r': 0::BIGINT, 'f': false, 'k': []::VARCHAR[], 'x': x}})"
+    step = f"{{'r': CASE WHEN {over} THEN a.r ELSE a.r - length(e.x) - 2 END, 'f': {over}, 'k': CASE WHEN {over} THEN a.k ELSE a.k || [e.x] END, 'x': ''}}"
+    return f"list_transform(list_reduce({each}, lambda a, e: {step}, {{'r': ({room})::BIGINT, 'f': false, 'k': []::VARCHAR[], 'x': ''}}).k, lambda x: {_lead_sql('x')})"
+
+
+_THREE = "CASE WHEN len(k) <= 2 THEN array_to_string(k, ' and ') ELSE array_to_string(k[1:2], ', ') || ', and ' || k[len(k)] END"
+_BARE = "list_transform(details || fine || objects || [setting], lambda x: rtrim(trim(x), '.'))"
+_LONG = f"list_filter({_BARE}, lambda x: {_n_words('x')} BETWEEN 2 AND 12)"
+_FRAMED = f"regexp_matches(lower(x), '(^|[^A-Za-z0-9_])({rules.FRAMING_PATTERN})([^A-Za-z0-9_]|$)')"
+_PHRASED_SQL = f"(SELECT *, {_distinct_sql('seen')} AS evidence, {_distinct_sql('back')} AS background FROM (SELECT *, {_LONG} AS seen, list_filter({_LONG}, lambda x: NOT {_FRAMED}) AS back, rtrim(trim(summary), '.') AS base FROM {_FACTS}))"
+
+_PICKED = f"""list_reduce(list_transform(short, lambda x: {{'p': '', 'k': []::VARCHAR[], 'x': x}}), lambda a, e: CASE WHEN len(a.k) >= 4 OR lower(e.x) = lower(base)
+        OR len(list_filter(a.k, lambda q: lower(q) = lower(e.x))) > 0 OR len(list_filter(string_split(lower(e.x), ' '), lambda w: length(w) > 4 AND contains(a.p, w))) > 0
+        THEN a ELSE {{'p': a.p || ' ' || lower(e.x), 'k': a.k || [e.x], 'x': ''}} END, {{'p': lower(base), 'k': []::VARCHAR[], 'x': ''}}).k"""
+_FORMAL_SQL = f"""(SELECT *, CASE WHEN base = '' THEN '' WHEN len(k) = 0 THEN base || '.' ELSE base || '. Also visible: ' || CASE WHEN len(k) = 1 THEN k[1] ELSE array_to_string(k[1:len(k) - 1], ', ') || ', and ' || k[len(k)] END || '.' END AS formal
+    FROM (SELECT *, {_budget_sql('picked', f"292 - {len(' Also visible: .')} - length(base) - 1", 4)} AS k FROM (SELECT *, {_PICKED} AS picked
+    FROM (SELECT *, list_filter(list_transform(background, lambda x: trim(regexp_replace(rtrim(trim(x), '.'), '{_WS}', ' ', 'g'))), lambda x: x <> '' AND {_n_words('x')} <= 8) AS short FROM {_PHRASED_SQL}))))"""
+_FRESH = f"list_filter(background, lambda x: x <> '' AND {_n_words('x')} <= 8 AND NOT contains(lower(summary), lower(x)) AND len(list_filter(string_split(lower(x), ' '), lambda w: length(w) > 4 AND contains(lower(summary), w))) = 0)"
+_ENRICHED_SQL = f"""(SELECT * EXCLUDE k, CASE WHEN {_COUNT.replace('caption', 'summary')} >= 34 OR len(k) = 0 THEN summary ELSE joined || ' In the background, ' || {_THREE} || '.' END AS enriched
+    FROM (SELECT * EXCLUDE k, {_budget_sql('fresh', f"292 - {len(' In the background, .')} - length(joined)", 3)} AS k
+    FROM (SELECT *, {_distinct_sql('lacks')} AS fresh FROM (SELECT *, {_FRESH} AS lacks, CASE WHEN rtrim(summary) LIKE '%.' THEN rtrim(summary) ELSE rtrim(summary) || '.' END AS joined FROM {_FORMAL_SQL}))))"""
+
+
+@query("cap_formal_build", f"SELECT doc_id, formal AS caption FROM {_FORMAL_SQL}")
 def _(spark, d):
     df = with_facts(spark, d)
     return df.select("doc_id", Facts(df).formal().alias("caption"))
 
 
-@query("cap_enrich")
+@query("cap_enrich", f"SELECT doc_id, enriched AS caption FROM {_ENRICHED_SQL}")
 def _(spark, d):
     df = with_facts(spark, d)
     return df.select("doc_id", Facts(df).enriched(F.coalesce("facts.summary", F.lit(""))).alias("caption"))
 
 
-@query("cap_formal_select")
+@query("cap_formal_select", f"SELECT doc_id, CASE WHEN {_COUNT.replace('caption', 'formal')} >= 20 THEN formal ELSE enriched END AS caption FROM {_ENRICHED_SQL}")
 def _(spark, d):
     df = with_facts(spark, d)
     return df.select("doc_id", Facts(df).formal_or(F.coalesce("facts.summary", F.lit(""))).alias("caption"))
 
 
+@query("cap_evidence_build", f"SELECT doc_id, style, CASE WHEN style <> 'formal' OR len(k) = 0 THEN summary ELSE trim(left(base || ', with ' || {_THREE} || '.', 300)) END AS caption FROM (SELECT *, list_filter(evidence, lambda x: NOT contains(lower(base), lower(x)))[1:3] AS k FROM {_PHRASED_SQL})")
+def _(spark, d):
+    df = with_facts(spark, d)
+    return df.select("doc_id", "style", Facts(df).evidence_caption(F.col("style"), F.coalesce("facts.summary", F.lit(""))).alias("caption"))
+
+
 #: Topics by words of the invented prose; the rules that ship name things that it doesn't hold.
 TOPICS = (
     ("sarcastic", 2, ("les", "que"), "What a surprise: {scene}. Who knew."),
@@ -146,10 +190,6 @@ def _first_sql(n: int) -> str:
     return f"array_to_string(list_filter(regexp_split_to_array({_ALL_TEXT}, '{_WS}'), lambda w: w <> '')[1:{n}], ' ')"
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 def _topic_sql() -> str:
     cases = [f"WHEN style = {_quoted(s)} AND list_has_any(tokens, {sql_list(w)}) THEN replace(replace({_quoted(t)}, '{{scene}}', lower(scene)), '{{phrase}}', phrase20)" for s, _, w, t in sorted(TOPICS)]
     return f"CASE {' '.join(cases)} END"
@@ -172,12 +212,6 @@ def _(spark, d):
     return df.select("doc_id", "style", F.col("fallback").alias("caption"))
 
 
-@query("cap_evidence_build")
-def _(spark, d):
-    df = with_facts(spark, d)
-    return df.select("doc_id", "style", Facts(df).evidence_caption(F.col("style"), F.coalesce("facts.summary", F.lit(""))).alias("caption"))
-
-
 # --- datasets ----------------------------------------------------------------------------------------------------
 
 
@@ -244,7 +278,10 @@ query("pr_judge_prompt", f"SELECT doc_id, 'Style: ' || style || chr(10) || 'Defi
 query("pr_observation_blocks", "SELECT conv_id, string_agg(role || ' (' || n || '):' || chr(10) || lines, chr(10) || chr(10) ORDER BY role) AS blocks FROM (SELECT conv_id, role, count(*) AS n, string_agg('- ' || text, chr(10) ORDER BY turn, text) AS lines FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")(lambda s, d: ds.observation_blocks(read(s, d, "conversations"), "conv_id", "role", "turn", "text"))
 
 
-@query("pr_repair_prompt")
+_FOUND = "regexp_extract_all(replace(lower(concat_ws(' ', summary, setting, array_to_string(details, ' '), array_to_string(fine, ' '), array_to_string(objects, ' '))), '/', ' '), '[a-z][a-z0-9-]{2,}')"
+
+
+@query("pr_repair_prompt", f"SELECT doc_id, 'Caption:' || chr(10) || caption || chr(10) || 'Issues: ' || replace(codes, ',', ', ') || '.' || chr(10) || 'Evidence: ' || array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i)[1:14], ', ') || '.' AS prompt FROM (SELECT doc_id, caption, {_ISSUES} AS codes, list_filter({_FOUND}, lambda w: length(w) >= 4 AND NOT list_contains({sql_list(STOPS)}, w)) AS found FROM {_FACTS}) WHERE codes <> ''")
 def _(spark, d):
     df = with_facts(spark, d)
     f = Facts(df)
