@@ -18,7 +18,8 @@ from .common import BROADCAST_ROWS, batches, row_key
 _CLAUSE = re.compile(r"(?=\S)[^\n,;:.!?]*(?:[,;:.!?](?!\s)[^\n,;:.!?]*)*[,;:.!?]?")
 
 #: d1 and d2 are 96 bits of a digest: two of 2 billion unlike units share them with a chance of some 1e-11.
-_UNITS = "doc_id long, key long, begin int, stop int, at int, words int, d1 long, d2 int"
+#: span holds the first offset and the one after the last, place the words before the unit and twice its own, plus one for a whole line: 32 bits each.
+_UNITS = "doc_id long, key long, span long, place long, d1 long, d2 int"
 
 
 def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
@@ -67,11 +68,12 @@ def wholes(text: str, firsts: list[int], lasts: list[int], places: list[int], le
 
 def _units(least: int, line: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "key", "begin", "stop", "at", "words", "d1", "d2"]
+        names = ["doc_id", "key", "span", "place", "d1", "d2"]
 
         def made(ids, keys, begins, stops, ats, words, digests):
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), *(pa.array(x, pa.int32()) for x in (begins, stops, ats, words)), pa.array(d[:, 0]), pa.array(d[:, 1].astype(np.int32))], names)
+            span, place = (pa.array(np.array(high, np.int64) << 32 | np.array(low, np.int64)) for high, low in ((begins, stops), (ats, words)))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), span, place, pa.array(d[:, 0]), pa.array(d[:, 1].astype(np.int32))], names)
 
         ids, keys, begins, stops, ats, words, digests = [], [], [], [], [], [], []
         for b in batches(rows):
@@ -135,10 +137,13 @@ def _spans(docs: DataFrame, least: int, shortest: int, line: int) -> DataFrame:
     slim = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     texts = slim.withColumnRenamed("__key", "key")
     units = texts.mapInArrow(_units(least, line), _UNITS)
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "begin", "at")
+    high, low = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", F.shiftleft(F.shiftright("span", 32), 32).bitwiseOR(F.shiftright("place", 32)).alias("first"))
     groups = units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(rank).alias("kept")).filter("n > 1").drop("n")
-    again = units.join(groups, ["d1", "d2"]).filter(~((F.col("key") == F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("begin") == F.col("kept.begin"))))
-    gone = again.select("doc_id", "key", "begin", "stop", "at", F.expr("at + words div 2").cast("int").alias("end"), (F.col("words") % 2 == 1).alias("whole"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.key").alias("kept_key"), F.col("kept.begin").alias("kept_begin"), (F.col("kept.at") - F.col("at")).alias("shift"))
+    kept_begin, kept_at = high("kept.first"), low("kept.first")
+    again = units.join(groups, ["d1", "d2"]).filter(~((F.col("key") == F.col("kept.key")) & F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (high("span") == kept_begin)))
+    end, whole = high("place") + F.shiftright(low("place"), 1), low("place") % 2 == 1
+    gone = again.select("doc_id", "key", high("span").alias("begin"), low("span").alias("stop"), high("place").alias("at"), end.alias("end"), whole.alias("whole"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.key").alias("kept_key"), kept_begin.alias("kept_begin"), (kept_at - high("place")).alias("shift"))
     row = Window.partitionBy("doc_id", "key")
     order = row.orderBy("begin", F.desc("stop"), "kept_doc_id", "kept_key", "kept_begin", "at")
     before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
