@@ -12,6 +12,7 @@ from ..functions import rules
 from ..functions.checks import has_jargon, has_person_pattern, has_reference, has_substring, has_terms, looks_english, style_passes, style_reason, words
 from ..functions.facts import Facts, static_fallback
 from ..functions.text import clean, without_hedges
+from ..sources.io import write_rows
 
 
 def _array(items: Sequence[str]) -> Column:
@@ -34,6 +35,14 @@ def validate_results(results: DataFrame, required: Sequence[str] = rules.STYLES)
     return results.withColumn("reason", F.when(F.size(unknown) > 0, named("unknown", unknown)).when(F.size(missing) > 0, named("missing", missing)).when(F.size(blank) > 0, named("blank", blank)))
 
 
+def write_results(results: DataFrame, path: str, kind: str = "json", required: Sequence[str] = rules.STYLES, shown: int = 3) -> None:
+    """Replace the results of a path, if all are valid; else ValueError names the first offenders, and what is there stays."""
+    bad = validate_results(results, required).filter("reason is not null").orderBy("task_id").select("task_id", "reason").limit(shown).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r['task_id']}: {r['reason']}" for r in bad))
+    write_rows(results, path, kind)
+
+
 def explode_captions(results: DataFrame) -> DataFrame:
     return results.select("task_id", F.explode("captions").alias("style", "caption"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import beside
+
 #: Tables of no more rows than this are broadcast (some 20 MB).
 BROADCAST_ROWS = 200_000
 #: Signatures that one nested loop compares with all rows.
@@ -55,10 +57,24 @@ def overlay(seed: DataFrame, done: DataFrame, keys: Sequence[str], arrival: Sequ
     return joined.select(*seed.columns, *(F.coalesce(F.col(c), d).alias(c) for c, d in columns.items()))
 
 
-def memo(df: DataFrame, key: Column, compute) -> DataFrame:
-    """``compute`` runs once for each distinct key, its columns are joined back to all rows of the key."""
+def memo(df: DataFrame, key: Column, compute, needs: Sequence[str] | None = None) -> DataFrame:
+    """``compute`` runs once for each distinct key, its columns are joined back to all rows of the key. It gets memo_key and ``needs``, or all columns."""
     keyed = df.withColumn("memo_key", key)
-    return keyed.join(compute(keyed.dropDuplicates(["memo_key"])), "memo_key")
+    once = keyed if needs is None else keyed.select("memo_key", *needs)
+    return keyed.join(compute(once.dropDuplicates(["memo_key"])), "memo_key")
+
+
+def transcript(turns: DataFrame, key: str, order: str, text: str, cap: int = 1200) -> DataFrame:
+    """Per key the first ``cap`` characters of its texts, in order, parted by spaces and without spaces at the ends: key, value.
+
+    Every text adds a character at least, so from the first that isn't blank on no more than ``cap`` + 1 of them are kept by any task.
+    A key with blank texts only has ''; null texts don't count.
+    """
+    said = turns.filter(F.col(text).isNotNull()).select(key, F.struct(order, text).alias("_said"))
+    first = said.groupBy(key).agg(F.min(F.when(F.trim(F.col(f"_said.{text}")) != "", F.col("_said"))).alias("_first"))
+    spoken = beside(said, first, [key]).filter("_said >= _first").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_said"))).filter(F.col("_n") <= cap + 1)
+    joined = spoken.groupBy(key).agg(F.array_sort(F.collect_list("_said")).alias("_all")).select(key, F.left(F.trim(F.array_join(F.transform("_all", lambda x: x[text]), " ")), F.lit(cap)).alias("_value"))
+    return beside(first.select(key), joined, [key]).select(key, F.coalesce("_value", F.lit("")).alias("value"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,16 +110,14 @@ def signature_hits(df: DataFrame, signatures: DataFrame, text: str) -> DataFrame
     if small:
         met = low.select("_t", words).join(rarest, "_w")
     else:  # carry a digest beside the words, not the text
-        keyed = low.distinct().withColumn("_k", F.sha2("_t", 256))
-        met = keyed.select("_k", words).join(rarest, "_w").select("_k", "_s").join(keyed, "_k")
+        keyed = low.withColumn("_k", F.sha2("_t", 256))
+        met = keyed.select("_k", words).join(rarest, "_w").select("_k", "_s").distinct().join(keyed, "_k")
     hits = met.filter(F.contains("_t", F.col("_s"))).select(F.sha2("_t", 256).alias("_k")).distinct()
-    rest, n = low.distinct(), short.count()
-    if n:
-        parts = short.withColumn("_n", F.row_number().over(Window.orderBy("_s")) - 1)
-        for first in range(0, n, SCANNED):
-            part = F.broadcast(parts.filter(F.col("_n").between(first, first + SCANNED - 1)).select("_s"))
-            hits = hits.unionByName(rest.join(part, F.contains("_t", F.col("_s")), "left_semi").select(F.sha2("_t", 256).alias("_k")))
-    return df.join(hits, F.sha2(F.lower(text), 256) == F.col("_k"), "left_semi")
+    parts = -(-short.count() // SCANNED)
+    for i in range(parts):
+        part = F.broadcast(short.filter(F.pmod(F.xxhash64("_s"), F.lit(parts)) == i))  # some SCANNED signatures
+        hits = hits.unionByName(low.join(part, F.contains("_t", F.col("_s")), "left_semi").select(F.sha2("_t", 256).alias("_k")))
+    return df.join(hits.distinct(), F.sha2(F.lower(text), 256) == F.col("_k"), "left_semi")
 
 
 def guarded(chosen: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

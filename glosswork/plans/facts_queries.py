@@ -270,9 +270,15 @@ query("ds_mock", "SELECT item_id, 4 AS styles, bool_and(item_id >= 0) AS ok FROM
     .groupBy("item_id")
     .agg(F.count("*").cast("int").alias("styles"), F.bool_and(F.col("caption") != "").alias("ok"))
 )
-query("ds_sft_text", "SELECT conv_id, '<system>' || chr(10) || 'Write.' || chr(10) || '<user>' || chr(10) || coalesce(max(text) FILTER (turn = 0), '') || chr(10) || '<assistant>' || chr(10) || coalesce(max(text) FILTER (turn = 1), '') AS text FROM conversations GROUP BY conv_id")(
-    lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg(F.coalesce(F.max(F.when(F.col("turn") == 0, F.col("text"))), F.lit("")).alias("u"), F.coalesce(F.max(F.when(F.col("turn") == 1, F.col("text"))), F.lit("")).alias("a")).select("conv_id", ds.chat_text("Write.", F.col("u"), F.col("a")).alias("text"))
-)
+@query("ds_sft_text", "SELECT u.conv_id, u.turn, '<system>' || chr(10) || 'Write.' || chr(10) || '<user>' || chr(10) || coalesce(u.text, '') || chr(10) || '<assistant>' || chr(10) || coalesce(a.text, '') AS text FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role <> 'assistant' AND a.role = 'assistant'")
+def _(spark, d):
+    """Every turn that an assistant's one follows, with it."""
+    turns = read(spark, d, "conversations")
+    asked = turns.filter("role <> 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("asked"))
+    replies = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("reply"))
+    return asked.join(replies, ["conv_id", "turn"]).select("conv_id", "turn", ds.chat_text("Write.", F.col("asked"), F.col("reply")).alias("text"))
+
+
 query("pr_messages", "SELECT conv_id, turn, 4::BIGINT AS n, text AS last FROM conversations")(lambda s, d: read(s, d, "conversations").select("conv_id", "turn", ds.messages("Be brief.", [("Hi", "Hello")], F.col("text")).alias("m")).select("conv_id", "turn", F.size("m").cast("long").alias("n"), F.element_at("m", -1)["content"].alias("last")))
 query("pr_judge_prompt", f"SELECT doc_id, 'Style: ' || style || chr(10) || 'Definition: a caption' || chr(10) || 'Caption: ' || caption || chr(10) || 'Rate accuracy and style from 0 to 1.' AS prompt FROM {CAPTIONS_SQL}")(lambda s, d: captions(s, d).select("doc_id", ds.judge_prompt(F.col("style"), F.lit("a caption"), F.col("caption")).alias("prompt")))
 query("pr_observation_blocks", "SELECT conv_id, string_agg(role || ' (' || n || '):' || chr(10) || lines, chr(10) || chr(10) ORDER BY role) AS blocks FROM (SELECT conv_id, role, count(*) AS n, string_agg('- ' || text, chr(10) ORDER BY turn, text) AS lines FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")(lambda s, d: ds.observation_blocks(read(s, d, "conversations"), "conv_id", "role", "turn", "text"))

@@ -123,13 +123,18 @@ def _(spark, d):
     return io.results(spark, path).select("task_id", "style", F.col("caption").cast("long").alias("doc_id"))
 
 
-@query("snk_results", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+@query("snk_results", "SELECT source AS task_id, 4::BIGINT AS captions, true AS refused FROM documents GROUP BY source")
 def _(spark, d):
+    """Results of all styles are written; a second table, in which the captions of some tasks are blank, is refused and leaves them there."""
     path = scratch(spark)
-    docs = read(spark, d, "documents").select("doc_id", "source")
-    io.write_rows(docs.limit(1), path, "parquet")
-    io.write_rows(docs, path, "parquet")
-    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"))
+    results = cap.assemble_captions(captions(spark, d).withColumnRenamed("doc_id", "position"), "none")
+    cap.write_results(results, path, "parquet")
+    try:
+        cap.write_results(results.withColumn("captions", F.transform_values("captions", lambda k, v: F.when(k == "formal", F.lit(" ")).otherwise(v))), path, "parquet")
+        refused = False
+    except ValueError as e:
+        refused = "blank: formal" in str(e)
+    return spark.read.parquet(path).select("task_id", F.size(F.map_filter("captions", lambda _, v: F.trim(v) != "")).cast("long").alias("captions"), F.lit(refused).alias("refused"))
 
 
 @query("snk_jsonl", f"SELECT style, count(*) AS n, sum(length(caption))::BIGINT AS chars FROM {CAPTIONS_SQL} GROUP BY style")
@@ -168,15 +173,21 @@ _PRESENT = f"(SELECT doc_id AS task_id, [style] AS present FROM {CAPTIONS_SQL})"
 _MISSING = "list_filter(['formal', 'humorous_non_tech', 'humorous_tech', 'sarcastic'], lambda s: NOT list_contains(present, s))"
 
 
-@query("prj_result_validate", f"SELECT task_id, CASE WHEN len({_MISSING}) > 0 THEN 'missing: ' || array_to_string({_MISSING}, ',') END AS reason FROM {_PRESENT}")
+@query("prj_result_validate", f"SELECT task_id, CASE task_id % 4 WHEN 1 THEN 'missing: ' || array_to_string({_MISSING}, ',') WHEN 2 THEN 'unknown: ode,poem' WHEN 3 THEN 'blank: formal,sarcastic' END AS reason FROM {_PRESENT}")
 def _(spark, d):
-    results = captions(spark, d).select(F.col("doc_id").alias("task_id"), F.create_map("style", "caption").alias("captions"))
-    return cap.validate_results(results).select("task_id", "reason")
+    """By doc_id: all styles, the document's own one only, two unknown ones beside all, two blank ones."""
+    full = F.map_from_arrays(F.array(*map(F.lit, rules.STYLES)), F.array_repeat("caption", 4))
+    odd = F.map_concat(full, F.create_map(F.lit("poem"), "caption", F.lit("ode"), "caption"))
+    blank = F.transform_values(full, lambda k, v: F.when(k == "formal", F.lit(" ")).when(k == "sarcastic", F.lit(None)).otherwise(v))
+    kind = F.pmod("doc_id", F.lit(4))
+    made = F.when(kind == 0, full).when(kind == 1, F.create_map("style", "caption")).when(kind == 2, odd).otherwise(blank)
+    return cap.validate_results(captions(spark, d).select(F.col("doc_id").alias("task_id"), made.alias("captions"))).select("task_id", "reason")
 
 
-@query("set_missing_unknown", f"SELECT task_id, array_to_string({_MISSING}, ',') AS missing, '' AS unknown FROM {_PRESENT}")
+@query("set_missing_unknown", f"SELECT task_id, array_to_string({_MISSING}, ',') AS missing, CASE WHEN task_id % 3 = 0 THEN 'poem,ode' ELSE '' END AS unknown FROM {_PRESENT}")
 def _(spark, d):
-    present = captions(spark, d).select(F.col("doc_id").alias("task_id"), F.array("style").alias("present"))
+    more = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.array(F.lit("poem"), F.lit("ode"), F.lit("poem"))).otherwise(F.array().cast("array<string>"))
+    present = captions(spark, d).select(F.col("doc_id").alias("task_id"), F.concat(F.array("style"), more).alias("present"))
     wanted = F.array(*map(F.lit, ("formal", "humorous_non_tech", "humorous_tech", "sarcastic")))
     return present.select("task_id", F.array_join(F.array_except(wanted, "present"), ",").alias("missing"), F.array_join(F.array_except("present", wanted), ",").alias("unknown"))
 
@@ -312,7 +323,7 @@ def _(spark, d):
 @query("jn_memo", "SELECT doc_id, length(text)::BIGINT AS chars FROM documents")
 def _(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text")
-    made = sel.memo(docs, F.sha2("text", 256), lambda once: once.select("memo_key", F.char_length("text").cast("long").alias("chars")))
+    made = sel.memo(docs, F.sha2("text", 256), lambda once: once.select("memo_key", F.char_length("text").cast("long").alias("chars")), ["text"])
     return made.select("doc_id", "chars")
 
 

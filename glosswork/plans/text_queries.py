@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, jsonx, nested, rules, text
 from ..operators import captions as cap
+from ..operators import select as sel
 from ..sources import io
 from .mapping import CAPTIONS_SQL, captions, read
 
@@ -200,8 +201,8 @@ _docs("js_list_or_lines", lambda: _joined(jsonx.list_or_lines(_t())), r"array_to
 _over("events", "event_id", "js_slice_object", lambda: jsonx.slice_object(F.concat(F.lit("noise "), F.col("props"), F.lit(" tail")), "k long")["k"], "(regexp_extract('noise ' || props || ' tail', '(?s)\\{.*\\}')::JSON ->> 'k')::BIGINT")
 QUERIES["js_judge_score"] = lambda s, d: read(s, d, "events").select("event_id", jsonx.judge_score(F.concat(F.lit('I think {"accuracy": '), (F.pmod("event_id", F.lit(300)) / 200).cast("string"), F.lit(', "style_match": 0.5} tail'))).alias("v")).select("event_id", "v.accuracy", "v.style")
 ORACLES["js_judge_score"] = "SELECT event_id, CASE WHEN a BETWEEN 0 AND 1 THEN a END AS accuracy, CASE WHEN a BETWEEN 0 AND 1 THEN 0.5::DOUBLE END AS style FROM (SELECT event_id, (event_id % 300) / 200.0::DOUBLE AS a FROM events)"
-QUERIES["js_best_object"] = lambda s, d: read(s, d, "events").select("event_id", jsonx.best_object(F.concat(F.lit('{bad {"a": 1} '), F.col("props"), F.lit(' {"summary": "one two three", "subjects": ["x"]} {'))).alias("value"))
-ORACLES["js_best_object"] = """SELECT event_id, '{"subjects": ["x"], "summary": "one two three"}' AS value FROM events"""
+QUERIES["js_best_object"] = lambda s, d: read(s, d, "events").select("event_id", jsonx.best_object(F.concat(F.lit('{bad {"a": 1} '), F.col("props"), F.lit(' {"summary": "a '), F.col("event_type"), F.lit(' of user '), F.col("user_id").cast("string"), F.lit('", "subjects": ["'), F.col("event_type"), F.lit('"]} {'))).alias("value"))
+ORACLES["js_best_object"] = """SELECT event_id, '{"subjects": ["' || event_type || '"], "summary": "a ' || event_type || ' of user ' || user_id || '"}' AS value FROM events"""
 _over("pages", "page_id", "js_embedded_records", lambda: F.array_join(jsonx.embedded_records(F.col("html"), r'push\("([^"]*)"\)', r'<a href="[^"]*">'), "|"), "array_to_string(regexp_extract_all(html, '<a href=\"[^\"]*\">'), '|')")
 _docs("js_render", lambda: F.to_json(F.struct("doc_id", "lang", "source")), """'{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}'""")
 _docs("fn_memo_key", lambda: jsonx.memo_key(F.struct("doc_id", "lang")), """left(sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}'), 16)""")
@@ -212,7 +213,7 @@ _over("events", "event_id", "fn_time_label", lambda: jsonx.time_label(F.pmod("ev
 _docs("fn_data_uri", lambda: jsonx.data_uri(F.encode(_t(), "UTF-8"), "text/plain"), "'data:text/plain;base64,' || base64(encode(text))")
 _docs("fn_join_human", lambda: text.human_list(F.filter(F.split(_t(), " "), lambda x: x != "")), "CASE len(w) WHEN 0 THEN 'nothing' WHEN 1 THEN w[1] WHEN 2 THEN w[1] || ' and ' || w[2] ELSE w[1] || ', ' || w[2] || ', and ' || w[3] END")
 ORACLES["fn_join_human"] = ORACLES["fn_join_human"].replace("FROM documents", "FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)")
-QUERIES["fn_cap_transcript"] = lambda s, d: read(s, d, "conversations").groupBy("conv_id").agg(F.left(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x.text), " ")), F.lit(1200)).alias("value"))
+QUERIES["fn_cap_transcript"] = lambda s, d: sel.transcript(read(s, d, "conversations"), "conv_id", "turn", "text")
 ORACLES["fn_cap_transcript"] = "SELECT conv_id, left(trim(string_agg(text, ' ' ORDER BY turn, text)), 1200) AS value FROM conversations GROUP BY conv_id"
 _docs("flt_payload_size", lambda: io.payload_fits([F.col("text"), F.col("source")], 3000), "octet_length(encode(text)) + octet_length(encode(source)) <= 3000")
 QUERIES["flt_reasoning_leak"] = lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.rlike(F.lower(F.left(_t(), F.lit(120))), F.lit("(let me|the |und )")).alias("value"))
