@@ -102,3 +102,74 @@ def test_signature_hits_of_any_number(spark, monkeypatch, limit):
     monkeypatch.setattr(sel, "SCANNED", 2)
     assert found(["zz", "yy", "ab c", "fox", "x", "q"]) == [0, 1, 2, 6, 8]
     assert found([""]) == [i for i, t in enumerate(texts) if t is not None] and found([]) == []
+
+
+def test_invalid_results_are_refused(spark, tmp_path):
+    from glosswork.functions import rules
+
+    path, good = str(tmp_path / "r"), {s: "text" for s in rules.STYLES}
+    results = lambda rows: spark.createDataFrame(rows, "task_id string, captions map<string,string>")
+    cap.write_results(results([("t1", good)]), path)
+    with pytest.raises(ValueError, match="t2: blank: formal; t3: missing: formal,humorous_non_tech,humorous_tech"):
+        cap.write_results(results([("t1", good), ("t2", {**good, "formal": " "}), ("t3", {"sarcastic": "x"})]), path)
+    assert spark.read.json(path).count() == 1
+    cap.write_results(results([("t1", good), ("t2", good)]), path)
+    assert spark.read.json(path).count() == 2
+
+
+def test_transcripts(spark):
+    rows = [(1, i, " ") for i in range(2000)] + [(1, 3000, "  first"), (1, 3001, None), (1, 3002, ""), (1, 3003, "x" * 50), (2, 1, " "), (3, 1, None), (None, 2, "b"), (None, 1, "a ")]
+    df = spark.createDataFrame(rows, "k long, turn long, text string").repartition(5)
+    got = {r["k"]: r["value"] for r in sel.transcript(df, "k", "turn", "text", 20).collect()}
+    assert got == {1: ("first  " + "x" * 50)[:20], 2: "", None: "a  b"}
+    many = spark.createDataFrame([(1, i, "ab") for i in range(5000)], "k long, turn long, text string")
+    assert sel.transcript(many, "k", "turn", "text", 1200).first()["value"] == " ".join(["ab"] * 5000)[:1200]
+
+
+def test_memo_computes_once(spark):
+    df = spark.createDataFrame([(i, f"t{i % 3}", "x" * 9) for i in range(30)], "id long, text string, wide string")
+    seen = []
+
+    def compute(once):
+        seen.extend([once.columns, once.count()])
+        return once.select("memo_key", F.upper("text").alias("up"))
+
+    out = sel.memo(df, F.col("text"), compute, ["text"])
+    assert seen == [["memo_key", "text"], 3]
+    assert {(r["id"], r["up"]) for r in out.collect()} == {(i, f"T{i % 3}") for i in range(30)}
+
+
+def test_signatures_of_any_kind(spark, monkeypatch):
+    texts = ["The Big red fox ran", "bigred", "a fox", "no", None, "", "red fox", "The big red fox ran"]
+    marks = ["big RED fox", "xr", "fo", "e", "big red fox"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {i for i, t in enumerate(texts) if t and any(m.lower() in t.lower() for m in marks)}
+    for rows, scanned in ((200_000, 10_000), (0, 1)):
+        monkeypatch.setattr(sel, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(sel, "SCANNED", scanned)
+        got = [r["id"] for r in sel.signature_hits(df, spark.createDataFrame([(m,) for m in marks], "signature string"), "text").collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_score_files_are_taken_whole_or_not_at_all(spark, tmp_path):
+    for run, text in {"a": '[{"task_id": "1", "accuracy": 0.5, "style_match": 1}, {"task_id": "2", "accuracy": null}]', "b": '[{"task_id": "1", "accuracy": 1}, {"task_id": "2", "accuracy": "high"}]', "c": "[{", "d": "[]"}.items():
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "scores.json").write_text(text)
+    rows = io.scores(spark, f"{tmp_path}/*/*.json", 2).collect()
+    assert [(r["run"], r["task_id"], r["accuracy"]) for r in rows] == [("a", "1", 0.5), ("a", "2", None)]
+
+
+def test_task_files_have_a_status(spark, tmp_path):
+    (tmp_path / "ok.json").write_text('[{"task_id": "1", "video_url": "http://x/y", "styles": ["formal"]}]')
+    rows, status = io.task_files(spark, str(tmp_path / "ok.json"))
+    assert status == 0 and [r["task_id"] for r in rows.collect()] == ["1"] and "_corrupt_record" not in rows.columns
+    (tmp_path / "bad.json").write_text("{not json")
+    for where in ("bad.json", "none.json", "*.json"):
+        rows, status = io.task_files(spark, str(tmp_path / where))
+        assert status == 1 and rows.count() == 0
+
+
+def test_the_last_clip_counts(spark, tmp_path):
+    (tmp_path / "1.json").write_text('[{"task_id": "a", "content_hint": "old"}, {"task_id": "b", "content_hint": "one"}, {"task_id": "b", "content_hint": "two"}]')
+    (tmp_path / "2.json").write_text('[{"task_id": "a", "content_hint": "new"}]')
+    assert {r["task_id"]: r["content_hint"] for r in io.clips(spark, str(tmp_path)).collect()} == {"a": "new", "b": "two"}
