@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import beside
+from .ordered import at_or_after, beside  # noqa: F401  the as-of join is one of this module's choices too
 
 #: Tables of no more rows than this are broadcast (some 20 MB).
 BROADCAST_ROWS = 200_000
