@@ -51,19 +51,33 @@ def facts_richness(value: dict) -> int:
     return texts + sum(1 for v in (value.get(f) for f in rules.LIST_FACTS) if isinstance(v, list) for x in v if str(x).strip())
 
 
+def _useful(value: dict) -> bool:
+    return facts_richness(value) >= 8 and bool(str(value.get("summary", "")).strip())
+
+
 def best_object_of(text: str | None) -> str | None:
-    """The richest object that starts at any { of the text, as JSON with sorted keys; useful ones before others, the first of equals."""
+    """The richest object of a reply, as JSON with sorted keys.
+
+    A reply that is JSON as a whole is that object if it is a useful one, else null: what lies inside it doesn't count. Otherwise objects may start at
+    any {, nested ones too; useful ones come before others, and the first of equals is taken. Null has no object.
+    """
+    text = text or ""
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        pass
+    else:
+        return json.dumps(value, sort_keys=True) if isinstance(value, dict) and _useful(value) else None
     best, rank = None, None
     decoder = json.JSONDecoder()
-    at = (text or "").find("{")
+    at = text.find("{")
     while at >= 0:
         try:
             value, _ = decoder.raw_decode(text, at)
-        except ValueError:
+        except (ValueError, RecursionError):
             value = None
         if isinstance(value, dict):
-            score = facts_richness(value)
-            this = (score >= 8 and bool(str(value.get("summary", "")).strip()), score)
+            this = (_useful(value), facts_richness(value))
             if rank is None or this > rank:
                 best, rank = json.dumps(value, sort_keys=True), this
         at = text.find("{", at + 1)

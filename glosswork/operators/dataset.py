@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from ..functions.text import human_list
 from .ordered import ranked, small
 
@@ -67,6 +68,18 @@ def write_caption(style: Column, subjects: Column, action: Column, setting: Colu
     )
 
 
+def mock_results(tasks: DataFrame, seed: str, styles: Sequence[str] = rules.STYLES) -> DataFrame:
+    """Results without a model, to try what follows: ``tasks(task_id, styles)`` with captions by template from placeholder facts of the task id.
+
+    Null or empty styles mean all of ``styles``; each style comes once; an unknown one has an empty caption.
+    """
+    wanted = F.array_compact(F.array_distinct("styles"))
+    wanted = F.when(F.size(wanted) > 0, wanted).otherwise(F.array(*map(F.lit, styles)))
+    subjects = F.array(F.concat(F.lit("thing "), F.col("task_id").cast("string")), F.lit("one more"))
+    caption = lambda s: write_caption(s, subjects, F.lit("moving"), F.lit("some place"), F.lit("neutral"), seed, "task_id")
+    return tasks.withColumn("_wanted", wanted).select("task_id", F.map_from_arrays("_wanted", F.transform("_wanted", caption)).alias("captions"))
+
+
 def valid_caption(style: Column, caption: Column, banned: dict[str, Sequence[str]], least: int = 15, most: int = 260) -> Column:
     """Length within bounds and none of the style's banned substrings."""
     out = F.char_length(caption).between(least, most)

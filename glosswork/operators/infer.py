@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import judge_score
+from .ordered import small
 
 Model = Callable[[list[str]], list[str]]
 
@@ -50,6 +51,29 @@ def generate(prompts: DataFrame, model: Model, parallel: int = 0, size: int = 64
     return keyed.join(replies, "key").drop("key")
 
 
+#: What a style's rule holds: the system text, example pairs and the template of the last message, in which {facts} stands for the facts.
+STYLE_RULES = "style string, system string, shots array<struct<user: string, reply: string>>, template string"
+
+
+def style_prompts(rows: DataFrame, table: DataFrame, facts: Column) -> DataFrame:
+    """``rows`` (style, ...) with prompt: the style's rule of ``table`` filled with the facts; null for a style without a rule."""
+    shots = F.transform("shots", lambda s: F.concat(F.lit("\n<user>\n"), s["user"], F.lit("\n<assistant>\n"), s["reply"]))
+    filled = F.replace("template", F.lit("{facts}"), facts)
+    prompt = F.concat(F.lit("<system>\n"), F.col("system"), F.array_join(shots, ""), F.lit("\n<user>\n"), filled)
+    return rows.join(small(table), "style", "left").select(*rows.columns, prompt.alias("prompt"))
+
+
+def write_styles(rows: DataFrame, table: DataFrame, facts: Column, model: Model, fallback: Column, neutral: Column, **kw) -> DataFrame:
+    """``rows`` with the caption that their style's rule gets from the model, and how it came (``way``): model, failed or no rule.
+
+    A call that fails gets the ``fallback`` caption. A style without a rule calls no model and gets the ``neutral`` one.
+    """
+    asked = style_prompts(rows.withColumns({"_fallback": fallback, "_neutral": neutral}), table, facts)
+    called = generate(asked.filter("prompt is not null"), model, **kw)
+    done = called.select(*rows.columns, F.when(F.col("ok"), F.trim("text")).otherwise(F.col("_fallback")).alias("written"), F.when(F.col("ok"), "model").otherwise("failed").alias("way"))
+    return done.unionByName(asked.filter("prompt is null").select(*rows.columns, F.col("_neutral").alias("written"), F.lit("no rule").alias("way")))
+
+
 def judge(prompts: DataFrame, model: Model, **kw) -> DataFrame:
     """generate() with the verdict parsed into accuracy and style; null where there is none."""
     return generate(prompts, model, **kw).withColumn("verdict", judge_score(F.col("text"))).select("*", "verdict.accuracy", "verdict.style").drop("verdict")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules
 from .ordered import at_or_after, beside  # noqa: F401  the as-of join is one of this module's choices too
 
 #: Tables of no more rows than this are broadcast (some 20 MB).
@@ -128,6 +129,26 @@ def guarded(chosen: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> Da
     return joined.select(*keys, F.when(F.col("_known"), F.col("text")).otherwise(F.col("_first")).alias("text"), F.coalesce("_known", F.lit(False)).alias("accepted"))
 
 
+def selected_sets(sets: DataFrame, tries: DataFrame, task: str, styles: Sequence[str] = rules.STYLES) -> DataFrame:
+    """The captions of each task after a selection among its candidate sets: task, style, text, chosen.
+
+    ``sets(task, set_no, captions)`` map styles to texts; null and empty maps are of writers that failed. ``tries(task, attempt, picked)`` are the selector's
+    replies, null where it failed; the first that is there counts. Its text for a style stays (``chosen``) if, but for outer spaces, a set of the task has it for that
+    style. All else, and all of a task that has one set only or no reply, comes from the task's first set, '' where that lacks the style. A task
+    without sets gives no rows. Texts are met by digest, so the sets of a task are never gathered in one place.
+    """
+    made = sets.filter(F.size("captions") > 0)
+    first = made.groupBy(task).agg(F.min_by("captions", "set_no").alias("_first"), F.count("*").alias("_sets"))
+    replies = tries.filter("picked is not null").groupBy(task).agg(F.min_by("picked", "attempt").alias("_picked"))
+    of = lambda captions: F.coalesce(F.try_element_at(captions, F.col("style")), F.lit(""))
+    wanted = first.join(replies, task, "left").select("*", F.explode(F.array(*map(F.lit, styles))).alias("style"))
+    wanted = wanted.withColumn("_choice", F.when(F.col("_sets") > 1, of("_picked"))).select(task, "style", of("_first").alias("_first"), "_choice", F.sha2(F.trim("_choice"), 256).alias("_digest"))
+    known = made.select(task, F.explode("captions").alias("style", "_text")).select(task, "style", F.sha2(F.trim("_text"), 256).alias("_digest")).distinct()
+    joined = wanted.join(known.withColumn("_known", F.lit(True)), [task, "style", "_digest"], "left")
+    chosen = F.coalesce(F.col("_known") & (F.col("_choice") != ""), F.lit(False))
+    return joined.select(task, "style", F.when(chosen, F.col("_choice")).otherwise(F.col("_first")).alias("text"), chosen.alias("chosen"))
+
+
 def siblings(captions: DataFrame, key: str, order: str, label: str, text: str) -> DataFrame:
     """Each row with the "- label: text" lines of all rows of its key that aren't blank."""
     line = F.when(F.trim(text) != "", F.concat(F.lit("- "), F.col(label), F.lit(": "), F.col(text)))

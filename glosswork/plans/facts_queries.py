@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.facts import Facts
 from ..functions.jsonx import memo_key
+from ..operators import captions as cap
 from ..operators import dataset as ds
 from ..operators import infer
 from ..operators import run, topics, training
@@ -230,10 +231,10 @@ def _(spark, d):
     return ds.shuffled(read(spark, d, "documents").select("source", "doc_id"), ["source"], "seed", "doc_id").select("doc_id", "place")
 
 
-@query("ds_render_template", "SELECT item_id, replace('A [slot] scene', '[slot]', ['busy', 'calm', 'wide'][('0x' || left(md5('seed/' || item_id), 8))::BIGINT % 3 + 1]) AS scene FROM benchmark")
+@query("ds_render_template", "SELECT item_id, replace(replace('A [slot] scene: [text]', '[slot]', ['busy', 'calm', 'wide'][('0x' || left(md5('seed/' || item_id), 8))::BIGINT % 3 + 1]), '[text]', text) AS scene FROM benchmark")
 def _(spark, d):
     picked = F.element_at(F.array(*map(F.lit, ("busy", "calm", "wide"))), (ds.choice("seed", 3, "item_id") + 1).cast("int"))
-    return read(spark, d, "benchmark").select("item_id", F.replace(F.lit("A [slot] scene"), F.lit("[slot]"), picked).alias("scene"))
+    return read(spark, d, "benchmark").select("item_id", F.replace(F.replace(F.lit("A [slot] scene: [text]"), F.lit("[slot]"), picked), F.lit("[text]"), F.col("text")).alias("scene"))
 
 
 def _written(spark, d):
@@ -244,11 +245,19 @@ def _written(spark, d):
 
 _PICK = "[('0x' || left(md5('seed/' || doc_id || '/' || style), 8))::BIGINT % 3 + 1]"
 _WHO = "CASE len(objects) WHEN 0 THEN 'the subject' WHEN 1 THEN objects[1] ELSE objects[1] || ' and ' || objects[2] END"
-_WRITTEN_SQL = f"""(SELECT doc_id, setting, style, CASE style
-        WHEN 'formal' THEN ['Here one finds ', 'Visible are, in this order, ', 'On view: ']{_PICK} || who || ', ' || what || ' in ' || place || ', with a calm mood.'
-        WHEN 'sarcastic' THEN ['Of course ', 'Naturally, ', 'As everybody had hoped, ']{_PICK} || who || ' spent the day ' || what || ' in ' || place || ', and the world held its breath.'
-        WHEN 'humorous_tech' THEN ['Deployed to production: ', 'Pipeline passed: ', 'Hotfix shipped: ']{_PICK} || who || ', ' || what || ' in ' || place || ' with zero downtime.'
-        ELSE ['Breaking news from the sofa: ', 'Meanwhile, in slow motion: ', 'Somebody tell grandma: ']{_PICK} || who || ' is ' || what || ' in ' || place || ' again.' END AS caption
+
+
+def _template_sql(pick: str, who: str, what: str, place: str, mood: str) -> str:
+    """The caption of a style by template; who, what, place and mood are SQL."""
+    return f"""CASE style
+        WHEN 'formal' THEN ['Here one finds ', 'Visible are, in this order, ', 'On view: ']{pick} || {who} || ', ' || {what} || ' in ' || {place} || ', with a ' || {mood} || ' mood.'
+        WHEN 'sarcastic' THEN ['Of course ', 'Naturally, ', 'As everybody had hoped, ']{pick} || {who} || ' spent the day ' || {what} || ' in ' || {place} || ', and the world held its breath.'
+        WHEN 'humorous_tech' THEN ['Deployed to production: ', 'Pipeline passed: ', 'Hotfix shipped: ']{pick} || {who} || ', ' || {what} || ' in ' || {place} || ' with zero downtime.'
+        WHEN 'humorous_non_tech' THEN ['Breaking news from the sofa: ', 'Meanwhile, in slow motion: ', 'Somebody tell grandma: ']{pick} || {who} || ' is ' || {what} || ' in ' || {place} || ' again.'
+        ELSE '' END"""
+
+
+_WRITTEN_SQL = f"""(SELECT doc_id, setting, style, {_template_sql(_PICK, 'who', 'what', 'place', "'calm'")} AS caption
     FROM (SELECT doc_id, setting, unnest({sql_list(STYLES)}) AS style, {_WHO} AS who, coalesce(nullif(trim(details[1]), ''), 'moving through the frame') AS what, coalesce(nullif(trim(setting), ''), 'an open space') AS place FROM {_FACTS}))"""
 BANS = {"formal": ("the and", "ith der"), "humorous_non_tech": ("que ", "und ")}
 _VALID_SQL = "(length(caption) BETWEEN 15 AND 260" + "".join(f" AND NOT (style = '{s}' AND regexp_matches(lower(caption), '{'|'.join(t)}'))" for s, t in BANS.items()) + ")"
@@ -264,12 +273,19 @@ def _(spark, d):
     return rows.groupBy("source", "style").agg(F.count("*").alias("rows")).withColumn("dropped", F.lit(counts["dropped"]).cast("long"))
 
 
-query("ds_mock", "SELECT item_id, 4 AS styles, bool_and(item_id >= 0) AS ok FROM benchmark GROUP BY item_id")(
-    lambda s, d: ds.cross_styles(read(s, d, "benchmark").select("item_id"), STYLES)
-    .withColumn("caption", ds.write_caption(F.col("style"), F.array(F.concat(F.lit("item "), F.col("item_id").cast("string"))), F.lit("moving"), F.lit(""), F.lit(""), "mock", "item_id"))
-    .groupBy("item_id")
-    .agg(F.count("*").cast("int").alias("styles"), F.bool_and(F.col("caption") != "").alias("ok"))
-)
+_MOCK_SQL = "(SELECT item_id || '-' || left(md5(text), 8) AS task_id, unnest(CASE item_id % 3 WHEN 0 THEN ['formal', 'poem'] WHEN 1 THEN ['formal', 'sarcastic', 'humorous_tech', 'humorous_non_tech'] ELSE ['sarcastic'] END) AS style FROM benchmark)"
+_MOCK_PICK = "[('0x' || left(md5('mock/' || task_id || '/' || style), 8))::BIGINT % 3 + 1]"
+
+
+@query("ds_mock", f"SELECT task_id, style, {_template_sql(_MOCK_PICK, "'thing ' || task_id || ' and one more'", "'moving'", "'some place'", "'neutral'")} AS caption FROM {_MOCK_SQL}")
+def _(spark, d):
+    """Items as tasks that ask for an unknown style, for none, or for one twice; their ids are made from the texts."""
+    kind = F.pmod("item_id", F.lit(3))
+    styles = F.when(kind == 0, F.array(F.lit("formal"), F.lit("poem"))).when(kind == 2, F.array(F.lit("sarcastic"), F.lit(None), F.lit("sarcastic")))
+    tasks = read(spark, d, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit("-"), F.left(F.md5("text"), F.lit(8))).alias("task_id"), styles.alias("styles"))
+    return cap.explode_captions(ds.mock_results(tasks, "mock"))
+
+
 @query("ds_sft_text", "SELECT u.conv_id, u.turn, '<system>' || chr(10) || 'Write.' || chr(10) || '<user>' || chr(10) || coalesce(u.text, '') || chr(10) || '<assistant>' || chr(10) || coalesce(a.text, '') AS text FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role <> 'assistant' AND a.role = 'assistant'")
 def _(spark, d):
     """Every turn that an assistant's one follows, with it."""
@@ -341,10 +357,25 @@ def _(spark, d):
 query("udf_judge", "SELECT doc_id, (length(text) % 11) / 10.0::DOUBLE AS accuracy, 0.5::DOUBLE AS style FROM documents")(lambda s, d: infer.judge(read(s, d, "documents").select("doc_id", F.col("text").alias("prompt")), judge_stub).select("doc_id", "accuracy", "style"))
 
 
-@query("udf_style_rules", f"SELECT style, count(*) AS n, max(CASE style WHEN 'formal' THEN 18 WHEN 'sarcastic' THEN 14 ELSE 1 END) AS floor FROM {CAPTIONS_SQL} GROUP BY style")
+#: System text, example pair and template of each style that has a rule; other styles have none.
+STYLE_TABLE = (
+    ("formal", "Plain words.", [("two birds", "Two birds rest.")], "Describe {facts}"),
+    ("sarcastic", "Dry wit.", [], "Mock {facts}, gently: {facts}"),
+    ("humorous_tech", "For engineers.", [("a bus", "The bus is in production."), ("rain", "Rain has shipped.")], "Joke about {facts}"),
+)
+_FILLED_SQL = "CASE style " + " ".join(
+    f"WHEN {_quoted(s)} THEN {_quoted(''.join(['<system>', chr(10), system, *(f'{chr(10)}<user>{chr(10)}{u}{chr(10)}<assistant>{chr(10)}{r}' for u, r in shots), chr(10), '<user>', chr(10)]))} || replace({_quoted(template)}, '{{facts}}', facts)"
+    for s, system, shots, template in STYLE_TABLE
+) + " END"
+
+
+@query("udf_style_rules", f"SELECT doc_id, CASE WHEN prompt IS NULL THEN 'no rule' WHEN contains(prompt, 'token =') THEN 'failed' ELSE 'model' END AS way, sha256(CASE WHEN prompt IS NULL THEN neutral WHEN contains(prompt, 'token =') THEN 'none' ELSE 'Final caption: ' || array_to_string(list_filter(regexp_split_to_array(prompt, '{_WS}'), lambda w: w <> '')[1:20], ' ') END) AS digest FROM (SELECT doc_id, {_FILLED_SQL} AS prompt, neutral FROM (SELECT doc_id, {STYLE_SQL} AS style, text AS facts FROM documents) JOIN (SELECT doc_id, fallback AS neutral FROM {_fallback_sql().replace(STYLE_SQL, "'formal'")}) USING (doc_id))")
 def _(spark, d):
-    table = spark.createDataFrame([(s, rules.FLOORS.get(s, 1)) for s in STYLES], "style string, floor int")
-    return captions(spark, d).join(F.broadcast(table), "style", "left").groupBy("style").agg(F.count("*").alias("n"), F.max("floor").alias("floor"))
+    """Texts as facts; one style has no rule, so its rows get the formal fallback without a call."""
+    table = spark.createDataFrame(STYLE_TABLE, infer.STYLE_RULES)
+    rows = with_facts(spark, d)
+    made = infer.write_styles(rows.select("doc_id", "style", "facts", "caption"), table, F.col("caption"), stub, F.lit("none"), Facts(rows).fallback(F.lit("formal")))
+    return made.select("doc_id", "way", F.sha2("written", 256).alias("digest"))
 
 
 @query("udf_pipeline", "SELECT source AS task_id, 4::BIGINT AS captions, 0::BIGINT AS blank, count(DISTINCT lang) AS generated, true AS valid FROM documents GROUP BY source")

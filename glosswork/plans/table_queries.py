@@ -310,8 +310,29 @@ def _(spark, d):
     return sel.guarded(chosen.withColumn("text", F.concat("text", odd)), rows, ["conv_id"])
 
 
-QUERIES["win_select_set"] = lambda s, d: QUERIES["jn_candidate_guard"](s, d).select("conv_id", F.char_length("text").cast("long").alias("chars"), "accepted")
-ORACLES["win_select_set"] = f"SELECT conv_id, length(text)::BIGINT AS chars, accepted FROM ({ORACLES['jn_candidate_guard']})"
+_SETS_SQL = """t AS (SELECT conv_id, turn AS set_no, arg_min(coalesce(text, ''), (coalesce(text, ''), role)) AS text, arg_min(role, (coalesce(text, ''), role)) AS role FROM conversations GROUP BY conv_id, turn),
+    sets AS (SELECT conv_id, set_no, 'formal' AS style, text FROM t UNION ALL SELECT conv_id, set_no, 'sarcastic', text || ' ' || role FROM t WHERE set_no % 2 = 1),
+    ends AS (SELECT conv_id, min(set_no) AS low, max(set_no) AS high, count(*) AS n FROM t GROUP BY conv_id),
+    wanted AS (SELECT ends.*, unnest(['formal', 'humorous_non_tech', 'humorous_tech', 'sarcastic']) AS style FROM ends),
+    own AS (SELECT w.*, coalesce(f.text, '') AS first_, l.text AS last_ FROM wanted w LEFT JOIN sets f ON f.conv_id = w.conv_id AND f.set_no = low AND f.style = w.style LEFT JOIN sets l ON l.conv_id = w.conv_id AND l.set_no = high AND l.style = w.style),
+    judged AS (SELECT *, n > 1 AND conv_id % 5 <> 0 AND last_ IS NOT NULL AND last_ <> '' AND NOT (conv_id % 5 = 1 AND style = 'formal') AS chosen FROM own)"""
+
+
+@query("win_select_set", f"WITH {_SETS_SQL} SELECT conv_id, style, sha256(CASE WHEN NOT chosen THEN first_ WHEN conv_id % 5 = 2 THEN '  ' || last_ ELSE last_ END) AS digest, chosen FROM judged")
+def _(spark, d):
+    """Turns as candidate sets of their conversation, of which every second has a sarcastic caption. The selector takes the last set.
+
+    By conv_id: it fails; it rewrites the formal caption; it adds spaces; its first reply fails; it copies.
+    """
+    text = F.coalesce("text", F.lit(""))
+    turns = read(spark, d, "conversations").groupBy("conv_id", F.col("turn").alias("set_no")).agg(F.min(F.struct(text.alias("text"), "role")).alias("x")).select("conv_id", "set_no", "x.*")
+    both = F.create_map(F.lit("formal"), "text", F.lit("sarcastic"), F.concat("text", F.lit(" "), "role"))
+    sets = turns.select("conv_id", "set_no", F.when(F.col("set_no") % 2 == 1, both).otherwise(F.create_map(F.lit("formal"), "text")).alias("captions"))
+    kind = F.pmod("conv_id", F.lit(5))
+    replies = sets.groupBy("conv_id").agg(F.max_by("captions", "set_no").alias("last"))
+    spaced = F.transform_values("last", lambda k, v: F.when(kind == 2, F.concat(F.lit("  "), v)).when((kind == 1) & (k == "formal"), F.concat(v, F.lit(" indeed"))).otherwise(v))
+    tries = replies.select("conv_id", F.posexplode(F.array(F.when(~kind.isin(0, 3), spaced), F.when(kind != 0, spaced))).alias("attempt", "picked"))
+    return sel.selected_sets(sets, tries, "conv_id").select("conv_id", "style", F.sha2("text", 256).alias("digest"), "chosen")
 
 
 @query("jn_overlay_latest", "SELECT c_custkey, coalesce(arg_max(o_orderstatus, o_orderkey), 'fallback') AS o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
@@ -327,11 +348,11 @@ def _(spark, d):
     return made.select("doc_id", "chars")
 
 
-@query("jn_cross_styles", "SELECT item_id, style FROM benchmark CROSS JOIN (SELECT unnest(['formal', 'sarcastic', 'humorous_tech', 'humorous_non_tech']) AS style)")
+@query("jn_cross_styles", "SELECT item_id, md5(text) AS digest, style FROM benchmark CROSS JOIN (SELECT unnest(['formal', 'sarcastic', 'humorous_tech', 'humorous_non_tech']) AS style)")
 def _(spark, d):
     from ..operators.dataset import cross_styles
 
-    return cross_styles(read(spark, d, "benchmark").select("item_id"), ("formal", "sarcastic", "humorous_tech", "humorous_non_tech"))
+    return cross_styles(read(spark, d, "benchmark").select("item_id", F.md5("text").alias("digest")), ("formal", "sarcastic", "humorous_tech", "humorous_non_tech"))
 
 
 @query("jn_sibling_context", "SELECT conv_id, turn, sha256(string_agg('- ' || role || ': ' || text, chr(10)) FILTER (trim(text) <> '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS digest FROM conversations")
@@ -510,7 +531,7 @@ def _listed(times, most):
 _TIMES_SQL = "(SELECT user_id, list_sort(list((epoch_us(ts) % 1000000000) / 1e6)) AS times FROM events GROUP BY user_id)"
 query("tl_default_duration", f"SELECT user_id, dur FROM {_SPAN_SQL}")(lambda s, d: _spans(s, d))
 query("tl_uniform", f"SELECT user_id, i, round_even(i * greatest(dur / 7, 0.1), 1) AS t FROM {_SPAN_SQL}, (SELECT unnest(range(1, 7)) AS i)")(lambda s, d: _spans(s, d).select("user_id", F.posexplode(tl.uniform(F.col("dur"), 6, 1)).alias("i", "t")).withColumn("i", (F.col("i") + 1).cast("long")))
-query("tl_anchored", f"SELECT user_id, i, floor(round_even(greatest(0.1, dur * (0.02 + 0.96 * (i - 1) / 5.0::DOUBLE)), 3))::BIGINT AS t FROM {_SPAN_SQL}, (SELECT unnest(range(1, 7)) AS i)")(lambda s, d: _spans(s, d).select("user_id", F.posexplode(tl.anchored(F.col("dur"), 6)).alias("i", "t")).select("user_id", (F.col("i") + 1).cast("long").alias("i"), F.floor("t").alias("t")))
+query("tl_anchored", f"SELECT user_id, i, round_even(greatest(0.1, dur * (0.02 + 0.96 * (i - 1) / 5.0::DOUBLE)), 3) AS t FROM {_SPAN_SQL}, (SELECT unnest(range(1, 7)) AS i)")(lambda s, d: _spans(s, d).select("user_id", F.posexplode(tl.anchored(F.col("dur"), 6)).alias("i", "t")).withColumn("i", (F.col("i") + 1).cast("long")))
 
 
 @query("tl_scene_cuts", "SELECT user_id, t FROM (SELECT user_id, epoch_us(ts) AS t, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts)) AS change FROM events) WHERE change > 35 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t) <= 5")
@@ -518,10 +539,10 @@ def _(spark, d):
     return tl.cuts(read(spark, d, "events").select("user_id", _micros().alias("at"), "value"), "user_id", "at", "value", 35.0, 5)
 
 
-@query("tl_hybrid", f"SELECT user_id, array_to_string(list_transform((list_slice(times, 1, 4) || list_transform(range(1, 9 - least(len(times), 4)), lambda i: round_even(i * greatest(dur / (9 - least(len(times), 4)), 0.1), 3)))[1:8], lambda x: floor(x)::BIGINT), ',') AS times FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id)")
+@query("tl_hybrid", f"SELECT user_id, unnest(range(1, len(times) + 1)) AS i, unnest(times) AS t FROM (SELECT user_id, (list_slice(times, 1, 4) || list_transform(range(1, 9 - least(len(times), 4)), lambda i: round_even(i * greatest(dur / (9 - least(len(times), 4)), 0.1), 3)))[1:8] AS times FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id))")
 def _(spark, d):
     both = _listed(_times(spark, d), 4).join(_spans(spark, d), "user_id")  # a hybrid of 8 takes 4 cuts at most
-    return both.select("user_id", F.array_join(F.transform(tl.hybrid(F.col("times"), F.col("dur"), 8), lambda x: F.floor(x).cast("string")), ",").alias("times"))
+    return both.select("user_id", F.posexplode(tl.hybrid(F.col("times"), F.col("dur"), 8)).alias("i", "t")).withColumn("i", (F.col("i") + 1).cast("long"))
 
 
 query("tl_cut_offset", f"SELECT user_id, round(least(times[1] + 0.3, dur - 0.5), 6) AS t FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id)")(lambda s, d: _times(s, d).groupBy("user_id").agg(F.min("t").alias("t")).join(_spans(s, d), "user_id").select("user_id", F.round(tl.after_cut(F.col("t"), F.col("dur")), 6).alias("t")))

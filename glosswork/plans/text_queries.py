@@ -201,8 +201,23 @@ _docs("js_list_or_lines", lambda: _joined(jsonx.list_or_lines(_t())), r"array_to
 _over("events", "event_id", "js_slice_object", lambda: jsonx.slice_object(F.concat(F.lit("noise "), F.col("props"), F.lit(" tail")), "k long")["k"], "(regexp_extract('noise ' || props || ' tail', '(?s)\\{.*\\}')::JSON ->> 'k')::BIGINT")
 QUERIES["js_judge_score"] = lambda s, d: read(s, d, "events").select("event_id", jsonx.judge_score(F.concat(F.lit('I think {"accuracy": '), (F.pmod("event_id", F.lit(300)) / 200).cast("string"), F.lit(', "style_match": 0.5} tail'))).alias("v")).select("event_id", "v.accuracy", "v.style")
 ORACLES["js_judge_score"] = "SELECT event_id, CASE WHEN a BETWEEN 0 AND 1 THEN a END AS accuracy, CASE WHEN a BETWEEN 0 AND 1 THEN 0.5::DOUBLE END AS style FROM (SELECT event_id, (event_id % 300) / 200.0::DOUBLE AS a FROM events)"
-QUERIES["js_best_object"] = lambda s, d: read(s, d, "events").select("event_id", jsonx.best_object(F.concat(F.lit('{bad {"a": 1} '), F.col("props"), F.lit(' {"summary": "a '), F.col("event_type"), F.lit(' of user '), F.col("user_id").cast("string"), F.lit('", "subjects": ["'), F.col("event_type"), F.lit('"]} {'))).alias("value"))
-ORACLES["js_best_object"] = """SELECT event_id, '{"subjects": ["' || event_type || '"], "summary": "a ' || event_type || ' of user ' || user_id || '"}' AS value FROM events"""
+
+
+def _replies() -> Column:
+    """Replies around an event, by event_id: objects in noise, a useful object that holds a richer one, an object that isn't useful, an array, equally rich ones, none."""
+    lit, kind = F.lit, F.pmod("event_id", F.lit(6))
+    about = F.concat(lit(" "), F.col("event_type"), lit(" of user "), F.col("user_id").cast("string"))
+    noisy = F.concat(lit('{bad {"a": 1} '), F.col("props"), lit(' {"summary": "a'), about, lit('", "subjects": ["'), F.col("event_type"), lit('"]} {'))
+    nested = F.concat(lit(' {"summary": "six words are said before this'), about, lit('", "inner": {"summary": "and many more words are said in here, where nobody looks,'), about, lit('"}} '))
+    two = F.concat(nested, lit("or {"), F.substring(F.replace(nested, lit("inner"), lit("other")), 3, 1000), lit("?"))
+    return F.when(kind == 0, noisy).when(kind == 1, nested).when(kind == 2, F.col("props")).when(kind == 3, F.concat(lit("["), nested, lit("]"))).when(kind == 4, two).otherwise(F.concat(lit("no } brace {"), about))
+
+
+_ABOUT = "' ' || event_type || ' of user ' || user_id"
+_INNER = f"""'{{"summary": "and many more words are said in here, where nobody looks,' || {_ABOUT} || '"}}'"""
+_OUTER = f"""'{{"inner": ' || {_INNER} || ', "summary": "six words are said before this' || {_ABOUT} || '"}}'"""
+QUERIES["js_best_object"] = lambda s, d: read(s, d, "events").select("event_id", jsonx.best_object(_replies()).alias("value"))
+ORACLES["js_best_object"] = f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{{"subjects": ["' || event_type || '"], "summary": "a' || {_ABOUT} || '"}}' WHEN 1 THEN {_OUTER} WHEN 4 THEN {_INNER} END AS value FROM events"""
 _over("pages", "page_id", "js_embedded_records", lambda: F.array_join(jsonx.embedded_records(F.col("html"), r'push\("([^"]*)"\)', r'<a href="[^"]*">'), "|"), "array_to_string(regexp_extract_all(html, '<a href=\"[^\"]*\">'), '|')")
 _docs("js_render", lambda: F.to_json(F.struct("doc_id", "lang", "source")), """'{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '"}'""")
 _docs("fn_memo_key", lambda: jsonx.memo_key(F.struct("doc_id", "lang")), """left(sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}'), 16)""")
