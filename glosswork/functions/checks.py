@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import LEFT, RIGHT, SPACE, any_of, let
+from .text import END, SPACE, START, any_of, let
 
 _EDGES = ".,!?;:()[]{}\"'`"
 
@@ -38,7 +38,7 @@ def has_terms(text: Column, terms: Sequence[str]) -> Column:
     """Whether a term occurs as a whole word or phrase."""
     if not terms:
         return F.lit(False)
-    return F.rlike(F.lower(text), F.lit(LEFT + any_of(terms) + RIGHT))
+    return F.rlike(F.lower(text), F.lit(START + any_of(terms) + END))
 
 
 def has_substring(text: Column, terms: Sequence[str]) -> Column:
@@ -52,7 +52,8 @@ def overlaps(tokens: Column, terms: Sequence[str]) -> Column:
 
 def looks_english(text: Column) -> Column:
     """An a-z letter, and no more than two or a twentieth of the characters outside ASCII."""
-    outside = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+    other = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+    outside = F.when(F.octet_length(text) == F.char_length(text), 0).otherwise(other)
     return F.rlike(text, F.lit("[A-Za-z]")) & (outside <= F.greatest(F.lit(2), F.floor(F.char_length(text) / 20)))
 
 
@@ -76,7 +77,7 @@ def has_person_pattern(text: Column, terms: Sequence[str] = rules.PERSON_WORDS)
 
 def is_sensitive(text: Column, terms: Sequence[str] = rules.SENSITIVE_TERMS) -> Column:
     low = F.lower(text)
-    return F.rlike(low, F.lit(LEFT + f"({rules.SKIN_PATTERN})" + RIGHT)) | F.rlike(low, F.lit(LEFT + rules.PERSON_PATTERN + RIGHT)) | has_terms(text, terms)
+    return F.rlike(low, F.lit(START + f"({rules.SKIN_PATTERN})" + END)) | F.rlike(low, F.lit(START + rules.PERSON_PATTERN + END)) | has_terms(text, terms)
 
 
 def style_reason(style: Column, text: Column, banned: Sequence[str] = rules.TECH_WORDS, phrases: Sequence[str] = rules.TECH_PHRASES, more: Sequence[str] = rules.TECH_REFERENCES, person: Sequence[str] = rules.PERSON_WORDS, low_taste: Sequence[str] = ()) -> Column:

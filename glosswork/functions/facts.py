@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .checks import evidence_tokens, style_passes, word_count, words
-from .text import LEFT, RIGHT, let, lower_lead, one_space
+from .text import END, START, let, lower_lead, one_space
 
 _CODES = ("too_short", "missing_visual_anchors", "missing_clear_tech_reference")
 
@@ -70,7 +70,7 @@ class Facts:
 
     def background_phrases(self, noise: str = rules.FRAMING_PATTERN) -> Column:
         """The same without the fields on camera and time, and without phrases on framing."""
-        return distinct_but_for_case(F.filter(self._phrases(("setting",)), lambda x: ~F.rlike(F.lower(x), F.lit(f"{LEFT}({noise}){RIGHT}"))))
+        return distinct_but_for_case(F.filter(self._phrases(("setting",)), lambda x: ~F.rlike(F.lower(x), F.lit(f"{START}({noise}){END}"))))
 
     def formal(self, budget: int = 292, most: int = 4) -> Column:
         """The summary and the first phrases that say something new, within a budget of characters.
@@ -121,11 +121,16 @@ class Facts:
         told = let(lacking, lambda k: F.when(F.size(k) == 0, caption).otherwise(F.trim(F.left(F.concat(base, F.lit(", with "), _three(k), F.lit(".")), F.lit(cap)))))
         return F.when(style != "formal", caption).otherwise(told)
 
-    def issues(self, style: Column, caption: Column, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS) -> Column:
-        found = evidence_tokens(caption, stop)
+    def issues(self, style: Column, caption: Column, clear: Sequence[str] = rules.CLEAR_TECH_WORDS, stop: Sequence[str] = rules.STOP_WORDS, terms: Column | None = None) -> Column:
+        """Codes of what a caption lacks; ``terms`` as in ``graded``."""
         least, anchors, _, _ = _by_style(style)
-        lacks_tech = (style == "humorous_tech") & ~F.arrays_overlap(found, F.array(*map(F.lit, clear)))
-        return F.array_compact(F.array(F.when(word_count(caption) < least, _CODES[0]), F.when(self.anchors(caption, stop) < anchors, _CODES[1]), F.when(lacks_tech, _CODES[2])))
+        known = self.evidence_terms(stop) if terms is None else terms
+
+        def codes(found: Column) -> Column:
+            lacks_tech = (style == "humorous_tech") & ~F.arrays_overlap(found, F.array(*map(F.lit, clear)))
+            return F.array_compact(F.array(F.when(word_count(caption) < least, _CODES[0]), F.when(F.size(F.array_intersect(found, known)) < anchors, _CODES[1]), F.when(lacks_tech, _CODES[2])))
+
+        return let(evidence_tokens(caption, stop), codes)
 
     def anchors(self, caption: Column, stop: Sequence[str] = rules.STOP_WORDS) -> Column:
         return F.size(F.array_intersect(evidence_tokens(caption, stop), self.evidence_terms(stop)))

@@ -307,8 +307,9 @@ _FOUND = "regexp_extract_all(replace(lower(concat_ws(' ', summary, setting, arra
 def _(spark, d):
     df = with_facts(spark, d)
     f = Facts(df)
-    codes = f.issues(F.col("style"), F.col("caption"), _CLEAR, STOPS)
-    return df.withColumn("codes", codes).filter(F.size("codes") > 0).select("doc_id", ds.repair_prompt(F.col("caption"), F.col("codes"), f.evidence_terms(STOPS)).alias("prompt"))
+    df = df.withColumn("terms", f.evidence_terms(STOPS))
+    codes = f.issues(F.col("style"), F.col("caption"), _CLEAR, STOPS, F.col("terms"))
+    return df.withColumn("codes", codes).filter(F.size("codes") > 0).select("doc_id", ds.repair_prompt(F.col("caption"), F.col("codes"), F.col("terms")).alias("prompt"))
 
 
 # --- model stages ------------------------------------------------------------------------------------------------
