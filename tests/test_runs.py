@@ -130,3 +130,24 @@ def test_every_task_has_all_captions(spark, scenes, repair):
 def test_a_run_without_scenes(spark, scenes):
     got = run.caption_run(spark.createDataFrame([("t",)], "task_id string"), scenes.limit(0), model, topics.topic_rules(spark)).collect()
     assert [(r["task_id"], r["captions"], r["generated"]) for r in got] == [("t", rules.STATIC_FALLBACKS, 0)]
+
+
+def test_models_are_called_once_for_each_prompt(spark, scenes, tmp_path):
+    def counting(name):
+        where = str(tmp_path / name)
+
+        def call(prompts):
+            with open(where, "a", encoding="utf-8") as f:
+                f.writelines(json.dumps(p) + "\n" for p in prompts)
+            return [f"Final caption: {p}" for p in prompts]
+
+        return call
+
+    def calls(name):
+        return [json.loads(x) for x in (tmp_path / name).read_text(encoding="utf-8").splitlines()]
+
+    tasks = scenes.select("task_id").distinct()
+    result = run.caption_run(tasks, scenes, counting("first"), topics.topic_rules(spark), counting("repair"))
+    assert len(result.collect()) == len(result.collect()) == 3
+    assert sorted(calls("first")) == sorted({r["prompt"] for r in scenes.collect()})
+    assert calls("repair") and len(calls("repair")) == len(set(calls("repair")))
