@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, rules
-from ..functions.text import any_of
+from ..functions.text import any_of, number
 from ..operators import audits
 from ..operators import captions as cap
 from ..operators import ordered
@@ -548,6 +548,6 @@ def _(spark, d):
 query("tl_cut_offset", f"SELECT user_id, round(least(times[1] + 0.3, dur - 0.5), 6) AS t FROM {_TIMES_SQL} JOIN {_SPAN_SQL} USING (user_id)")(lambda s, d: _times(s, d).groupBy("user_id").agg(F.min("t").alias("t")).join(_spans(s, d), "user_id").select("user_id", F.round(tl.after_cut(F.col("t"), F.col("dur")), 6).alias("t")))
 query("tl_gap_dedup", f"SELECT user_id, len(list_reduce(list_transform(times, lambda t: [t]), lambda k, t: CASE WHEN t[1] - k[-1] > 20 THEN k || t ELSE k END))::BIGINT AS kept FROM {_TIMES_SQL}")(lambda s, d: ordered.gap_dedup(_times(s, d), "user_id", "t", 20.0).groupBy("user_id").agg(F.count("*").alias("kept")))
 query("tl_even_thin", f"SELECT user_id, array_to_string(CASE WHEN len(times) > 4 THEN list_transform(range(0, 4), lambda i: times[round_even(i * (len(times) - 1) / 3.0, 0)::BIGINT + 1]) ELSE times END, ',') AS times FROM {_TIMES_SQL}")(
-    lambda s, d: _listed(ordered.even_thin(_times(s, d), "user_id", "t", 4), 4).select("user_id", F.array_join(F.col("times").cast("array<string>"), ",").alias("times"))
+    lambda s, d: _listed(ordered.even_thin(_times(s, d), "user_id", "t", 4), 4).select("user_id", F.array_join(F.transform("times", number), ",").alias("times"))
 )
 

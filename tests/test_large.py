@@ -21,6 +21,21 @@ def rows_and_sql(spark, folder, name, **tables):
     return sorted(map(tuple, df.collect())), sorted(wanted)
 
 
+def test_times_below_a_thousandth(spark, tmp_path):
+    start = datetime.datetime(2001, 9, 9, 1, 46, 40)  # 10^9 seconds
+    micros = [(u, start + datetime.timedelta(microseconds=t)) for u, times in enumerate([[1, 10, 12, 99, 100, 123, 999, 1000], [100], [120, 7_000_000], [999_999_999, 5]]) for t in times]
+    events = spark.createDataFrame(micros, "user_id long, ts timestamp_ntz")
+    got, wanted = rows_and_sql(spark, tmp_path, "tl_even_thin", events=events)
+    assert got == wanted and got[0] == (0, "1e-06,1.2e-05,0.000123,0.001")
+
+
+def test_number(spark):
+    values = [0.0, -0.0, 5.0, -12.5, 1e-3, 1.25e-4, -1e-4, 9.9e-5, 1e-10, -2.5e-300, 1e7, 12345678.5, -123456789012345.6, 1e15, 1e16, 1.5e22, 1e300, float("inf"), float("-inf"), float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.number(F.col("v")).alias("said")).collect()
+    assert [r["said"] for r in rows] == [repr(v) for v in values]
+    assert spark.sql("select cast(null as double) as v").select(text.number(F.col("v")).alias("v")).first()["v"] is None
+
+
 def test_reply_of_preamble_only(spark, tmp_path):
     said = [(0, 0, "u", "Surenment de la."), (0, 1, "u", "Okay\nOf course"), (0, 2, "u", "Answer: one"), (0, 3, "u", None), (0, 4, "u", " \n "), (0, 5, "u", "Sure\nthat")]
     talks = spark.createDataFrame(said, "conv_id long, turn int, role string, text string")
