@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.checks import has_jargon, has_person_pattern, has_reference, has_substring, has_terms, looks_english, style_passes, style_reason, words
+from ..functions.checks import fewer_words, has_person_pattern, has_terms, looks_english, low_jargon, low_within, style_passes, style_reason, words
 from ..functions.facts import Facts, static_fallback
-from ..functions.text import clean, without_hedges
+from ..functions.text import clean, let, without_hedges
 from ..sources.io import write_rows
 
 
@@ -55,8 +55,8 @@ def assemble_captions(captions: DataFrame, fill: str = "", required: Sequence[st
     return maps.select("task_id", F.create_map(*each).alias("captions"))
 
 
-def normalise(captions: DataFrame, facts: Facts | None = None, fallback: Column | None = None, **lists) -> DataFrame:
-    """Adds ``final``, ``reason`` and ``action`` to rows with style and caption.
+def normalise(captions: DataFrame, facts: Facts | None = None, fallback: Column | None = None, cleaned: str | None = None, **lists) -> DataFrame:
+    """Adds ``final``, ``reason`` and ``action`` to rows with style and caption, and the cleaned caption where ``cleaned`` names it.
 
     In order: cleaning; the word floor of a style, where there are facts; hedges taken out if that makes the
     caption pass; exclamation marks to full stops if they are the only fault; else a fallback from the
@@ -82,7 +82,7 @@ def normalise(captions: DataFrame, facts: Facts | None = None, fallback: Column
     kept = F.col("reason") == "ok"
     action = F.when(~kept, "fallback").when(F.col("_two") != F.col("_clean"), "repaired").otherwise("kept")
     out = step.withColumn("final", F.when(kept, F.col("_two")).otherwise(replaced)).withColumn("action", action)
-    return out.select(*captions.columns, "final", "reason", "action")
+    return out.select(*captions.columns, "final", "reason", "action", *([F.col("_clean").alias(cleaned)] if cleaned else []))
 
 
 def self_check(captions: DataFrame, cap: int = rules.CAPTION_CAP, banned: Sequence[str] = rules.TECH_WORDS, person: Sequence[str] = rules.PERSON_WORDS) -> Column:
@@ -103,16 +103,21 @@ def self_check(captions: DataFrame, cap: int = rules.CAPTION_CAP, banned: Sequen
 def quality_check(tells: Sequence[str], low_taste: Sequence[str], generic: str, banned: Sequence[str] = rules.TECH_WORDS, least: tuple[int, int] = (10, 7)) -> Column:
     """Codes of stylistic faults; terms match as substrings here, within words too."""
     text, style = F.coalesce(F.col("caption"), F.lit("")), F.col("style")
-    return F.array_compact(
-        F.array(
-            F.when(has_substring(text, tells), "ai_tell"),
-            F.when(has_substring(text, low_taste), "low_taste"),
-            F.when(F.rlike(F.lower(text), F.lit(generic)), "generic"),
-            F.when((style != "humorous_tech") & has_jargon(text, banned), "style_bleed"),
-            F.when((style == "humorous_tech") & ~has_reference(text, banned), "missing_reference"),
-            F.when(F.size(words(text)) < F.when(style == "formal", least[0]).otherwise(least[1]), "too_thin"),
+
+    def codes(low: Column) -> Column:
+        lacks = ~low_jargon(low, [*banned, *rules.TECH_REFERENCES])
+        return F.array_compact(
+            F.array(
+                F.when(low_within(low, tells), "ai_tell"),
+                F.when(low_within(low, low_taste), "low_taste"),
+                F.when(F.rlike(low, F.lit(generic)), "generic"),
+                F.when((style != "humorous_tech") & low_jargon(low, banned), "style_bleed"),
+                F.when((style == "humorous_tech") & lacks, "missing_reference"),
+                F.when(F.when(style == "formal", fewer_words(text, least[0])).otherwise(fewer_words(text, least[1])), "too_thin"),
+            )
         )
-    )
+
+    return let(F.lower(text), codes)
 
 
 def issues(captions: DataFrame, codes: Column, check: str) -> DataFrame:

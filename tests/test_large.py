@@ -5,7 +5,8 @@ import datetime
 import duckdb
 from pyspark.sql import functions as F
 
-from glosswork.functions import text
+from glosswork.functions import checks, rules, text
+from glosswork.operators import captions as cap
 from glosswork.plans import registry
 
 
@@ -42,3 +43,21 @@ def test_reply_of_preamble_only(spark, tmp_path):
     got, wanted = rows_and_sql(spark, tmp_path, "txt_strip_think", conversations=talks)
     assert str(got) == str(wanted) and [r[2] for r in got] == ["", "", "Answer: one", None, "", "that"]
     assert spark.range(1).select(text.without_thinking(F.lit("a</think>Sure thing")).alias("v")).first()["v"] == "Sure thing"
+
+
+ODD = ["", " ", "api", "API.", "(api)", "the-api/x", "apis", "'ci' cd", "ci/cd", "a\u2003api\u00a0b", "x.api y", '"`api`"!', "api\u3000", "...", "null check", "un\nnull checks", "é api", "two  words", "a b c\u2028d", "\x1capi", "Skin-tone", "a fat  man", "afro", "afros", "Σας ΟΔΟΣ api", None]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tests_without_tokens(spark):
+    rows = spark.createDataFrame([(t,) for t in ODD], "t string")
+    t, terms = F.col("t"), ("api", "ci/cd", "null", "cd", "-x", "σας")
+    one = rows.select(checks.has_person(t, terms).alias("a"), checks.overlaps(checks.stripped_tokens(t), terms).alias("b"), *((checks.fewer_words(t, n).alias(f"f{n}")) for n in range(5)), F.size(checks.words(t)).alias("n"), text.one_space(t).alias("s"), F.trim(F.regexp_replace(t, f"{text.SPACE}+", " ")).alias("r")).collect()
+    assert any(r.a for r in one) and all(r.a == r.b and r.s == r.r for r in one)
+    assert all(r[f"f{n}"] == (None if r.n is None else r.n < n) or n == 0 for r in one for n in range(5))
+    said = rows.select(F.coalesce(checks.is_sensitive(t), F.lit(False)).alias("v")).collect()
+    assert [x for x, r in zip(ODD, said) if r.v] == ["Skin-tone", "a fat  man", "afro"]
+    assert "split(" not in plan(rows.select(F.lit("formal").alias("style"), t.alias("caption")).select(cap.quality_check(("a",), ("b",), "^c").alias("codes")))
