@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checks import words
+from ..functions.checks import fewer_words
+from ..functions.text import let
 from ..sources.shared import stored
 from .ordered import small
 from .scores import gate, summary
@@ -37,21 +38,22 @@ def detail_tokens(caption: Column) -> Column:
 
 def shared_anchors(caption: Column) -> Column:
     """How many of the task's anchor groups share a word with the caption; -1 for a task without groups."""
-    tokens = detail_tokens(caption)
-    return F.when(F.col("_anchors").isNull(), F.lit(-1)).otherwise(F.size(F.filter("_anchors", lambda g: F.arrays_overlap(g, tokens)))).cast("long")
+    met = let(detail_tokens(caption), lambda tokens: F.size(F.filter("_anchors", lambda g: F.arrays_overlap(g, tokens))))
+    return F.when(F.col("_anchors").isNull(), F.lit(-1)).otherwise(met).cast("long")
 
 
 def detail_check(least_words: dict[str, int], least_anchors: dict[str, int], otherwise: tuple[int, int]) -> Column:
     """too_thin below the style's words, few_anchors below its anchor groups; a task without groups passes."""
     text, style = F.coalesce(F.col("caption"), F.lit("")), F.col("style")
-    floor = lambda values, other: F.coalesce(*(F.when(style == s, n) for s, n in values.items()), F.lit(other))
-    shared = shared_anchors(text)
-    return F.array_compact(F.array(F.when(F.size(words(text)) < floor(least_words, otherwise[0]), "too_thin"), F.when((shared >= 0) & (shared < floor(least_anchors, otherwise[1])), "few_anchors")))
+    of = lambda values, other, use: F.coalesce(*(F.when(style == s, use(n)) for s, n in values.items()), use(other))
+    thin = of(least_words, otherwise[0], lambda n: fewer_words(text, n))
+    few = let(shared_anchors(text), lambda shared: (shared >= 0) & (shared < of(least_anchors, otherwise[1], F.lit)))
+    return F.array_compact(F.array(F.when(thin, "too_thin"), F.when(few, "few_anchors")))
 
 
 def grounding_check() -> Column:
     """The task's unsupported terms that the caption holds, within words too."""
-    found = F.filter("_terms", lambda t: F.contains(F.lower(F.coalesce(F.col("caption"), F.lit(""))), t))
+    found = let(F.lower(F.coalesce(F.col("caption"), F.lit(""))), lambda low: F.filter("_terms", lambda t: F.contains(low, t)))
     return F.coalesce(F.transform(found, lambda t: F.concat(F.lit("unsupported: "), t)), F.array().cast("array<string>"))
 
 

@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from glosswork.functions import checks, rules, text
+from glosswork.operators import audits
 from glosswork.operators import captions as cap
 from glosswork.plans import registry
 
@@ -65,3 +66,11 @@ def test_tests_without_tokens(spark):
 
 def test_cleaned_once(spark, data):
     assert plan(registry.QUERIES["agg_replay_diff"](spark, data)).count("(?i)left|right") == 1
+
+
+def test_tokens_and_lower_case_once_a_caption(spark):
+    rows = spark.createDataFrame([("formal", "A red cat/dog.", ["cat"], [["dog", "x"], ["red"], ["y"]])], "style string, caption string, _terms array<string>, _anchors array<array<string>>")
+    checked = rows.select(audits.detail_check({"formal": 5}, {}, (1, 2)).alias("d"), audits.grounding_check().alias("g"), audits.shared_anchors(F.col("caption")).alias("n"))
+    assert tuple(checked.first()) == (["too_thin"], ["unsupported: cat"], 2)
+    codes = plan(rows.select(audits.detail_check({"formal": 5}, {}, (1, 2)).alias("d")))
+    assert codes.count("split(") == 1
