@@ -39,8 +39,13 @@ def evidence_tokens(text: Column, stop: Sequence[str] = rules.STOP_WORDS) -> Col
     return F.array_except(found, F.array(*map(F.lit, stop)))
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[A-Za-z0-9]+([-'][A-Za-z0-9]+)?"))
+def word_count(text: Column, most: int | None = None) -> Column:
+    """Words of letters and digits with one hyphen or apostrophe; counted up to ``most``."""
+    n = F.regexp_count(text, F.lit(r"[A-Za-z0-9]+([-'][A-Za-z0-9]+)?"))
+    if most is None:
+        return n
+    many = rf"^[^A-Za-z0-9]*+(?:[A-Za-z0-9]++(?:[-'][A-Za-z0-9]++)?+[^A-Za-z0-9]*+){{{most}}}"
+    return F.when(F.rlike(text, F.lit(many)), most).otherwise(n)
 
 
 def has_terms(text: Column, terms: Sequence[str]) -> Column:

@@ -5,7 +5,8 @@ import datetime
 import duckdb
 from pyspark.sql import functions as F
 
-from glosswork.functions import checks, rules, text
+from glosswork.functions import checks, text
+from glosswork.functions.facts import Facts
 from glosswork.operators import audits
 from glosswork.operators import captions as cap
 from glosswork.plans import registry
@@ -74,3 +75,17 @@ def test_tokens_and_lower_case_once_a_caption(spark):
     assert tuple(checked.first()) == (["too_thin"], ["unsupported: cat"], 2)
     codes = plan(rows.select(audits.detail_check({"formal": 5}, {}, (1, 2)).alias("d")))
     assert codes.count("split(") == 1
+
+
+def test_openings_tell_what_whole_texts_tell(spark):
+    texts = ["", "one two", "alpha beta gamma delta", "x " * 80 + "alpha beta gamma delta code", "alpha beta x " * 40 + "code", "it's a-b-c " * 12, "alpha-beta/gamma " * 70, "code " * 29 + "end", "a " * 61 + "deploy alpha", None]
+    sides = [(a, b, i % 3) for i, a in enumerate(texts) for b in texts]
+    rows = spark.createDataFrame(sides, "caption string, fine string, k int").withColumn("style", F.element_at(F.array(*map(F.lit, ("formal", "humorous_tech", "sarcastic"))), F.col("k") + 1))
+    rows = rows.withColumn("facts", F.struct(F.col("fine").alias("summary"), F.array(*[F.lit("x")] * 9, F.col("fine")).alias("fine_grained_observations")))
+    f, style, caption = Facts(rows), F.col("style"), F.col("caption")
+    n, shared, issues = checks.word_count(caption), f.anchors(caption), F.size(f.issues(style, caption))
+    length, full = F.when(style == "formal", 30).otherwise(24), F.when(style == "formal", 4).otherwise(3)
+    wanted = F.least(n / length, F.lit(1.0)) + F.least(shared / full, F.lit(1.0)) - issues * 0.2
+    got = rows.select(f.graded(style, caption).alias("g"), wanted.alias("w"), issues.alias("i"), checks.word_count(caption, 30).alias("n"), F.least(n, F.lit(30)).alias("m"), caption.alias("c")).collect()
+    assert all(r.g.value == r.w and r.g.n_issues == r.i and r.n == r.m for r in got if r.c is not None)
+    assert "60" in plan(rows.select(f.graded(style, caption)["value"].alias("v")))
