@@ -96,10 +96,9 @@ def _scored_sql(caption: str = "caption") -> str:
 def _scored(spark: SparkSession, sf_dir: str, **more: str) -> DataFrame:
     """Captions with their evidence score, the number of their issues, and the scores of other texts in their place."""
     df = with_facts(spark, sf_dir)
-    df = df.withColumn("_terms", Facts(df).evidence_terms(STOPS)) if more else df
-    f, terms = Facts(df), F.col("_terms") if more else None
-    rows = run.scored(df, _CLEAR, STOPS, **LISTS) if not more else df.withColumn("score", f.evidence_score(F.col("style"), F.col("caption"), _CLEAR, STOPS, terms, **LISTS)).withColumn("n_issues", F.lit(None).cast("int"))
-    value = lambda c: F.round(f.evidence_score(F.col("style"), c, _CLEAR, STOPS, terms, **LISTS), 6)
+    f = Facts(df)
+    rows = run.scored(df, _CLEAR, STOPS, **LISTS) if not more else df.withColumn("score", f.evidence_score(F.col("style"), F.col("caption"), _CLEAR, STOPS, **LISTS)).withColumn("n_issues", F.lit(None).cast("int"))
+    value = lambda c: F.round(f.evidence_score(F.col("style"), c, _CLEAR, STOPS, **LISTS), 6)
     return rows.select("doc_id", "task_id", "style", F.round("score", 6).alias("score"), "n_issues", *(value(F.expr(c)).alias(k) for k, c in more.items()))
 
 
