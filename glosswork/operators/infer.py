@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,39 +15,37 @@ Model = Callable[[list[str]], list[str]]
 
 
 def _calls(model: Model, size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), size):
-                part = b.iloc[at : at + size]
+            for at in range(0, b.num_rows, size):  # a batch stays in Arrow's buffers; only the prompts of one call become strings
+                prompts = b.column("prompt").slice(at, size).to_pylist()
                 try:
-                    texts, error = model(list(part["prompt"])), None
-                except Exception as e:  # noqa: BLE001  a failed batch is called row by row
-                    texts, error = [None] * len(part), e
-                if error is not None:
+                    texts, errors = model(prompts), [None] * len(prompts)
+                except Exception:  # noqa: BLE001  a failed batch is called row by row
                     texts, errors = [], []
-                    for prompt in part["prompt"]:
+                    for prompt in prompts:
                         try:
                             texts.append(model([prompt])[0])
                             errors.append(None)
                         except Exception as e:  # noqa: BLE001
                             texts.append(None)
                             errors.append(type(e).__name__)
-                else:
-                    errors = [None] * len(part)
-                yield pd.DataFrame({"key": part["key"], "ok": [x is None and bool((t or "").strip()) for x, t in zip(errors, texts, strict=True)], "text": texts, "error": errors})
+                ok = [x is None and bool((t or "").strip()) for x, t in zip(errors, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(at, size), pa.array(ok, pa.bool_()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["key", "ok", "text", "error"])
 
     return run
 
 
-def generate(prompts: DataFrame, model: Model, parallel: int = 0, size: int = 64) -> DataFrame:
+def generate(prompts: DataFrame, model: Model, parallel: int = 0, size: int = 64, asked: DataFrame | None = None) -> DataFrame:
     """Rows (prompt, ...) with ok, text and error of the model's reply; equal prompts are called once.
 
     ``parallel`` bounds the calls at a time; 0 leaves it to the shuffle. Replies that are blank are not ok.
+    ``asked`` has the same prompts where they are cheaper to get at than in rows that were joined.
     """
     keyed = prompts.withColumn("key", F.sha2("prompt", 256))
-    once = keyed.select("key", "prompt").dropDuplicates(["key"])
+    once = (keyed if asked is None else asked.withColumn("key", F.sha2("prompt", 256))).select("key", "prompt").dropDuplicates(["key"])
     once = once.repartition(parallel, "key") if parallel else once
-    replies = once.mapInPandas(_calls(model, size), "key string, ok boolean, text string, error string")
+    replies = once.mapInArrow(_calls(model, size), "key string, ok boolean, text string, error string")
     return keyed.join(replies, "key").drop("key")
 
 

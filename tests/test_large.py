@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import checks, text
 from glosswork.functions.facts import Facts
-from glosswork.operators import audits
+from glosswork.operators import audits, infer
 from glosswork.operators import captions as cap
 from glosswork.plans import registry
 
@@ -89,3 +89,10 @@ def test_openings_tell_what_whole_texts_tell(spark):
     got = rows.select(f.graded(style, caption).alias("g"), wanted.alias("w"), issues.alias("i"), checks.word_count(caption, 30).alias("n"), F.least(n, F.lit(30)).alias("m"), caption.alias("c")).collect()
     assert all(r.g.value == r.w and r.g.n_issues == r.i and r.n == r.m for r in got if r.c is not None)
     assert "60" in plan(rows.select(f.graded(style, caption)["value"].alias("v")))
+
+
+def test_prompts_become_strings_a_call_at_a_time(spark):
+    rows = spark.createDataFrame([(i, None if i == 7 else f"p{i % 150}é") for i in range(300)], "i int, prompt string")
+    out = infer.generate(rows, lambda prompts: [f"{len(prompts) <= 64} {p}" for p in prompts])
+    assert "MapInArrow" in plan(out)
+    assert all(r.text == f"True {r.prompt}" and r.ok for r in out.filter("prompt is not null").collect()) and out.count() == 299
