@@ -30,7 +30,7 @@ def candidates(scenes: DataFrame, model: Model, topics: DataFrame, clear: Sequen
 
     Set 0 is the model's caption, where its call succeeded; set 1 the fallback, where it has no issues.
     """
-    rows = generate(with_fallback(scenes, ["scene"], topics), model)  # last, so that nothing that is counted or joined on the way calls it again
+    rows = generate(with_fallback(scenes, ["scene"], topics), model, asked=scenes)  # last, so that nothing that is counted or joined on the way calls it again
     sets = F.array(F.struct(F.lit(0).alias("set_no"), F.when(F.col("ok"), final_caption(F.col("text"))).alias("caption")), F.struct(F.lit(1).alias("set_no"), F.col("fallback").alias("caption")))
     each = rows.select(*scenes.columns, F.explode(sets).alias("_set")).select(*scenes.columns, "_set.set_no", "_set.caption").filter("trim(caption) <> ''")
     return scored(each, clear, stop, **lists).filter("set_no = 0 or n_issues = 0")
@@ -67,10 +67,12 @@ def caption_run(tasks: DataFrame, scenes: DataFrame, model: Model, topics: DataF
     ``scene`` is a number that orders the scenes of a task and style and names a scene.
     """
     key, words = ["task_id", "style"], {"clear": clear, "stop": stop}
-    offered = stored(candidates(scenes, model, topics, **words, **lists))
+    named = [*key, "scene"]
+    wide = [c for c in scenes.columns if c not in named]  # facts and prompts are read again for the few scenes that win
+    offered = stored(candidates(scenes, model, topics, **words, **lists).drop(*wide))
     slim = offered.select(*key, "scene", "set_no", "score", "n_issues").withColumn("order", F.struct("scene", "set_no"))
     won = sel.accept_early(slim, key, (F.col("n_issues") == 0) & (F.col("set_no") == 0), "score", "order").select(*key, "scene", "set_no")
-    best = offered.join(small(won), [*key, "scene", "set_no"])
+    best = scenes.join(small(offered.join(small(won), [*named, "set_no"])), named)
     best = stored(repaired(best, repair, **words, **lists)) if repair else best
     grounded = with_fallback(best, ["scene"], topics, "_fallback")
     final = cap.normalise(grounded, Facts(grounded), F.col("_fallback"), **lists).select(*key, F.col("final").alias("_final"))

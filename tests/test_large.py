@@ -96,3 +96,12 @@ def test_prompts_become_strings_a_call_at_a_time(spark):
     out = infer.generate(rows, lambda prompts: [f"{len(prompts) <= 64} {p}" for p in prompts])
     assert "MapInArrow" in plan(out)
     assert all(r.text == f"True {r.prompt}" and r.ok for r in out.filter("prompt is not null").collect()) and out.count() == 299
+
+
+def test_offered_captions_are_written_without_facts(spark, data, monkeypatch):
+    from glosswork.operators import run
+
+    written, keep = [], run.stored
+    monkeypatch.setattr(run, "stored", lambda df: written.append(df.columns) or keep(df))
+    registry.QUERIES["udf_pipeline"](spark, data)
+    assert written and not {"facts", "prompt"} & set(written[0])
