@@ -13,6 +13,8 @@ from .text import BLANK, END, SPACE, START, any_of, let
 
 _EDGES = ".,!?;:()[]{}\"'`"
 _APART = rf"[\x09-/\x85-\x{{3000}}&&{SPACE[:-1]}/\-]]"
+#: Letters in text, the most frequent first; others are rarer.
+_COMMON = " etaoinshrdlucmwfgypbvkxjqz"
 _EDGE = "[" + "".join(f"\\{c}" for c in _EDGES) + "]"
 
 
@@ -24,7 +26,12 @@ def words(text: Column) -> Column:
 def fewer_words(text: Column, n: int) -> Column:
     """size(words(text)) < n, told by the first n words."""
     other = "[^" + SPACE[1:]
-    return ~F.rlike(text, F.lit(f"^{BLANK}*+(?:{other}++{BLANK}++){{{n - 1}}}{other}")) if n > 0 else F.lit(False)
+    return ~_in_opening(text, f"^{BLANK}*+(?:{other}++{BLANK}++){{{n - 1}}}{other}", 2 * n) if n > 0 else F.lit(False)
+
+
+def _in_opening(text: Column, pattern: str, spaces: int) -> Column:
+    """Whether a pattern that no later text undoes is found, in the text up to a space or else in all of it."""
+    return F.rlike(F.substring_index(text, " ", spaces), F.lit(pattern)) | F.rlike(text, F.lit(pattern))
 
 
 def stripped_tokens(text: Column, apart: str = "/-") -> Column:
@@ -50,7 +57,7 @@ def word_count(text: Column, most: int | None = None) -> Column:
 
 def has_terms(text: Column, terms: Sequence[str]) -> Column:
     """Whether a term occurs as a whole word or phrase."""
-    return let(F.lower(text), lambda low: _terms(low, terms)) if terms else F.lit(False)
+    return let(F.lower(text), lambda low: low_terms(low, terms)) if terms else F.lit(False)
 
 
 def has_substring(text: Column, terms: Sequence[str]) -> Column:
@@ -63,7 +70,14 @@ def has_substring(text: Column, terms: Sequence[str]) -> Column:
 
 def low_within(low: Column, terms: Sequence[str]) -> Column:
     """has_substring of a text that is lower-cased already."""
-    return reduce(Column.__or__, (F.contains(low, F.lit(t)) for t in terms)) if terms else F.lit(False)
+    return reduce(Column.__or__, (_found(low, t) for t in terms)) if terms else F.lit(False)
+
+
+def _found(low: Column, term: str) -> Column:
+    """A search stops at each first letter. So the part of the term that starts with its rarest letter is looked for first."""
+    rarest = max(range(max(1, len(term) - 2)), key=lambda i: (_COMMON.find(term[i : i + 1]) % 99, -i))
+    whole = F.contains(low, F.lit(term))
+    return F.contains(low, F.lit(term[rarest:])) & whole if rarest else whole
 
 
 def _matches(low: Column, hints: Sequence[str], pattern: str) -> Column:
@@ -71,8 +85,19 @@ def _matches(low: Column, hints: Sequence[str], pattern: str) -> Column:
     return low_within(low, hints) & F.rlike(low, F.lit(pattern))
 
 
-def _terms(low: Column, terms: Sequence[str]) -> Column:
-    return _matches(low, terms, START + any_of(terms) + END) if terms else F.lit(False)
+def _between_spaces(low: Column, terms: Sequence[str], most: int = 4) -> Column:
+    """Whether one of a few terms stands between spaces, where it is a word and a token; searches for many would cost more than a pattern."""
+    return low_within(low, [f" {t} " for t in terms]) if len(terms) <= most else F.lit(False)
+
+
+def _apart(low: Column, terms: Sequence[str]) -> Column:
+    """Whether a term occurs without an ASCII letter, digit or underscore beside it, as between ``START`` and ``END``; Java's own class is the quickest."""
+    return F.rlike(F.concat(F.lit(" "), low), F.lit(rf"\W{any_of(terms)}(?!\w)"))
+
+
+def low_terms(low: Column, terms: Sequence[str]) -> Column:
+    """has_terms of a text that is lower-cased already."""
+    return low_within(low, terms) & (_between_spaces(low, terms) | _apart(low, terms)) if terms else F.lit(False)
 
 
 def _tokens(low: Column, terms: Sequence[str]) -> Column:
@@ -80,7 +105,10 @@ def _tokens(low: Column, terms: Sequence[str]) -> Column:
     if not terms or "" in terms:
         return overlaps(stripped_tokens(low), terms)
     whole = [t for t in terms if t.strip(_EDGES) == t and not any(c in "/-" or c.isspace() for c in t)]  # no token is another one
-    return _matches(low, whole, f"(?:^|{_APART}){_EDGE}*{any_of(whole)}{_EDGE}*(?={_APART}|\\z)") if whole else F.when(low.isNotNull(), F.lit(False))
+    if not whole:
+        return F.when(low.isNotNull(), F.lit(False))
+    token = F.rlike(low, F.lit(f"(?:^|{_APART}){_EDGE}*{any_of(whole)}{_EDGE}*(?={_APART}|\\z)"))
+    return low_within(low, whole) & (_between_spaces(low, whole) | (_apart(low, whole) & token))
 
 
 def overlaps(tokens: Column, terms: Sequence[str]) -> Column:
@@ -89,9 +117,13 @@ def overlaps(tokens: Column, terms: Sequence[str]) -> Column:
 
 def looks_english(text: Column) -> Column:
     """An a-z letter, and no more than two or a twentieth of the characters outside ASCII."""
-    other = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
-    outside = F.when(F.octet_length(text) == F.char_length(text), 0).otherwise(other)
-    return F.rlike(text, F.lit("[A-Za-z]")) & (outside <= F.greatest(F.lit(2), F.floor(F.char_length(text) / 20)))
+
+    def few(n: Column, more: Column) -> Column:  # a character outside ASCII has one to three bytes more
+        most = F.greatest(F.lit(2), F.floor(n / 20))
+        outside = n - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+        return F.when(more <= most, F.lit(True)).when(more > 3 * most, F.lit(False)).otherwise(outside <= most)
+
+    return _in_opening(text, "[A-Za-z]", 3) & let(F.char_length(text), lambda n: few(n, F.octet_length(text) - n))
 
 
 def has_jargon(text: Column, banned: Sequence[str] = rules.TECH_WORDS, phrases: Sequence[str] = rules.TECH_PHRASES) -> Column:
@@ -123,7 +155,7 @@ def is_sensitive(text: Column, terms: Sequence[str] = rules.SENSITIVE_TERMS) ->
 
 def _sensitive(low: Column, terms: Sequence[str] = rules.SENSITIVE_TERMS) -> Column:
     skin = _matches(low, rules.SKIN_HINTS, START + f"({rules.SKIN_PATTERN})" + END)
-    return skin | _matches(low, rules.PERSON_HINTS, START + rules.PERSON_PATTERN + END) | _terms(low, terms)
+    return skin | _matches(low, rules.PERSON_HINTS, START + rules.PERSON_PATTERN + END) | low_terms(low, terms)
 
 
 def style_reason(style: Column, text: Column, banned: Sequence[str] = rules.TECH_WORDS, phrases: Sequence[str] = rules.TECH_PHRASES, more: Sequence[str] = rules.TECH_REFERENCES, person: Sequence[str] = rules.PERSON_WORDS, low_taste: Sequence[str] = ()) -> Column:
@@ -133,7 +165,7 @@ def style_reason(style: Column, text: Column, banned: Sequence[str] = rules.TECH
         jargon = low_jargon(low, banned, phrases)
         return (
             F.when(_sensitive(low), "sensitive_appearance")
-            .when(_terms(low, low_taste), "low_taste_term")
+            .when(low_terms(low, low_taste), "low_taste_term")
             .when((style == "humorous_non_tech") & jargon, "tech_jargon_banned")
             .when((style == "humorous_tech") & ~(jargon | _tokens(low, more)), "missing_tech_term")
             .when(style.isin("formal", "sarcastic") & F.contains(text, F.lit("!")), "exclamation")

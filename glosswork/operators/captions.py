@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.checks import fewer_words, has_person_pattern, has_terms, looks_english, low_jargon, low_within, style_passes, style_reason, words
+from ..functions.checks import fewer_words, has_terms, looks_english, low_jargon, low_terms, low_within, style_passes, style_reason, words
 from ..functions.facts import Facts, static_fallback
 from ..functions.text import clean, let, without_hedges
 from ..sources.io import write_rows
@@ -85,23 +85,24 @@ def normalise(captions: DataFrame, facts: Facts | None = None, fallback: Column
     return out.select(*captions.columns, "final", "reason", "action", *([F.col("_clean").alias(cleaned)] if cleaned else []))
 
 
-def self_check(captions: DataFrame, cap: int = rules.CAPTION_CAP, banned: Sequence[str] = rules.TECH_WORDS, person: Sequence[str] = rules.PERSON_WORDS) -> Column:
-    """Codes of structural faults of one caption."""
+def self_check(captions: DataFrame, cap: int = rules.CAPTION_CAP, banned: Sequence[str] = rules.TECH_WORDS, person: Sequence[str] = rules.PERSON_WORDS, low: Column | None = None) -> Column:
+    """Codes of structural faults of one caption; ``low`` is the caption in lower case, where a column holds it already."""
     text, style = F.coalesce(F.col("caption"), F.lit("")), F.col("style")
+    says = lambda terms: has_terms(text, terms) if low is None else low_terms(low, terms)
     return F.array_compact(
         F.array(
             F.when(F.trim(text) == "", "empty"),
-            F.when(F.char_length(text) > cap, "too_long"),
+            F.when((F.octet_length(text) > 4 * cap) | (F.char_length(text) > cap), "too_long"),  # a character has four bytes at most
             F.when((F.trim(text) != "") & ~looks_english(text), "not_english"),
             F.when(style.isin("formal", "sarcastic") & F.contains(text, F.lit("!")), "exclamation"),
-            F.when((style == "formal") & has_person_pattern(text, person), "first_second_person"),
-            F.when(style.isin("sarcastic", "humorous_non_tech") & has_terms(text, banned), "tech_jargon"),
+            F.when((style == "formal") & says(person), "first_second_person"),
+            F.when(style.isin("sarcastic", "humorous_non_tech") & says(banned), "tech_jargon"),
         )
     )
 
 
-def quality_check(tells: Sequence[str], low_taste: Sequence[str], generic: str, banned: Sequence[str] = rules.TECH_WORDS, least: tuple[int, int] = (10, 7)) -> Column:
-    """Codes of stylistic faults; terms match as substrings here, within words too."""
+def quality_check(tells: Sequence[str], low_taste: Sequence[str], generic: str, banned: Sequence[str] = rules.TECH_WORDS, least: tuple[int, int] = (10, 7), low: Column | None = None) -> Column:
+    """Codes of stylistic faults; terms match as substrings here, within words too. ``low`` as in ``self_check``."""
     text, style = F.coalesce(F.col("caption"), F.lit("")), F.col("style")
 
     def codes(low: Column) -> Column:
@@ -117,7 +118,7 @@ def quality_check(tells: Sequence[str], low_taste: Sequence[str], generic: str,
             )
         )
 
-    return let(F.lower(text), codes)
+    return let(F.lower(text), codes) if low is None else codes(low)
 
 
 def issues(captions: DataFrame, codes: Column, check: str) -> DataFrame:

@@ -484,7 +484,8 @@ _CHECKS = ("self_check", "quality_audit", "detail_audit", "grounding_audit")
 
 
 def _all_issues(spark, d):
-    codes = (cap.self_check(captions(spark, d), banned=("que", "les"), person=("that", "was")), cap.quality_check(("of the", "rat"), _TASTE, "^(the|in|on) ", banned=_BLEED), audits.detail_check({}, {}, (20, 2)), audits.grounding_check())
+    low = F.col(audits.LOW)
+    codes = (cap.self_check(captions(spark, d), banned=("que", "les"), person=("that", "was"), low=low), cap.quality_check(("of the", "rat"), _TASTE, "^(the|in|on) ", banned=_BLEED, low=low), audits.detail_check({}, {}, (20, 2), low), audits.grounding_check(low))
     return audits.issue_table(_dictionaries(spark, d), dict(zip(_CHECKS, codes)), ["doc_id"])
 
 

@@ -77,6 +77,41 @@ def test_tokens_and_lower_case_once_a_caption(spark):
     assert codes.count("split(") == 1
 
 
+def test_gate_lowers_a_caption_once_and_reads_scores_once(spark, data, monkeypatch):
+    written, keep = [], audits.stored
+    monkeypatch.setattr(audits, "stored", lambda df: written.append(plan(df)) or keep(df))
+    gate = plan(registry.QUERIES["agg_gate"](spark, data))
+    assert written[0].count("lower(") == 1
+    assert "avg(" not in gate and written[1].count("avg(") == 1
+
+
+def test_searches_before_patterns_and_words(spark):
+    texts = [*filter(None, ODD), "_api", "api_", "xapi api", "apiapi", "é-api", "api\u0301", "la api la", "in api", "api.api", "a null", "nul", "eventual  consistency", "an eventual consistency", "hot load", "a/ΑΣ ΑΣ.", "'Σ ΑΣ'/b", "İ api/'İ'", "...", "a ... b", "/", "x" * 2000 + " api", "é" * 60 + "a" * 1140, "é" * 61 + "a" * 1140, "€" * 3 + "a" * 40, "𝄞𝄞a", "𝄞𝄞𝄞a", "é" * 300, "a" + "é" * 2, "1 2 3 4", "1 2 3 4" * 90 + "b"]
+    groups = [["api"], ["API"], ["null", "la"], ["ας"], [""], ["i̇"], ["a b"], ["..."], ["x/"], ["ας", None], None]
+    t, terms, many = F.col("t"), ("api", "null check", "_api", "é"), ("api", "null", "la", "nul", "ας", "x.y")
+    rows = spark.createDataFrame([(x, groups) for x in [*texts, None]], "t string, _anchors array<array<string>>")
+    low = F.lower(t)
+    whole = lambda c, ts: F.rlike(c, F.lit(text.START + text.any_of(ts) + text.END))
+    parts = F.filter(F.split(F.replace(t, F.lit("/"), F.lit(" ")), " "), lambda w: w != "")
+    tokens = F.transform(parts, lambda w: F.lower(F.btrim(w, F.lit(".,!?;:()[]{}\"'`"))))
+    english = F.rlike(t, F.lit("[A-Za-z]")) & (F.char_length(t) - F.char_length(F.regexp_replace(t, r"[^\x00-\x7F]", "")) <= F.greatest(F.lit(2), F.floor(F.char_length(t) / 20)))
+    within = [F.contains(low, F.lit(x)) for x in ("eventual consistency", "hot reload", "api", "an", "null check")]
+    pairs = {
+        "terms": (checks.has_terms(t, terms), whole(low, terms)),
+        "many": (checks.has_terms(t, many), whole(low, many)),
+        "tokens": (checks.has_person(t, many), checks.overlaps(checks.stripped_tokens(t), many)),
+        "few": (checks.has_person(t, many[:3]), checks.overlaps(checks.stripped_tokens(t), many[:3])),
+        "english": (checks.looks_english(t), english),
+        "words": (checks.fewer_words(t, 4), F.size(checks.words(t)) < 4),
+        "anchors": (audits.shared_anchors(F.coalesce(t, F.lit(""))), F.size(F.filter("_anchors", lambda g: F.arrays_overlap(g, F.coalesce(tokens, F.array().cast("array<string>")))))),
+        "within": (F.array(*(checks.low_within(low, [x]) for x in ("eventual consistency", "hot reload", "api", "an", "null check"))), F.array(*within)),
+        "long": (F.array_contains(cap.self_check(None, cap=40), "too_long"), F.char_length(F.coalesce(t, F.lit(""))) > 40),
+    }
+    got = rows.withColumns({"caption": t, "style": F.lit("formal")}).select(t, *(c.alias(f"{k}{i}") for k, both in pairs.items() for i, c in enumerate(both))).collect()
+    assert not [(k, r.t, r[f"{k}0"], r[f"{k}1"]) for r in got for k in pairs if (r[f"{k}0"] if k != "words" or r.t is not None else None) != (r[f"{k}1"] if k != "words" or r.t is not None else None)]
+    assert len({r.anchors0 for r in got}) > 2 and {r.english0 for r in got} == {True, False, None}
+
+
 def test_openings_tell_what_whole_texts_tell(spark):
     texts = ["", "one two", "alpha beta gamma delta", "x " * 80 + "alpha beta gamma delta code", "alpha beta x " * 40 + "code", "it's a-b-c " * 12, "alpha-beta/gamma " * 70, "code " * 29 + "end", "a " * 61 + "deploy alpha", None]
     sides = [(a, b, i % 3) for i, a in enumerate(texts) for b in texts]
