@@ -78,8 +78,10 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of smallest neighbouring label and pointer jumping, all of them joins; only the count of
     changed labels comes to the driver. Hot nodes meet in partial aggregates and splittable joins. Labels are written as
     tables: a checkpoint keeps the constraints that the optimizer has found, and these multiply from round to round.
+    Both directions of an edge come from one evaluation of ``edges``, as another one may name other edges or turn them round.
     """
-    both = stored(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("way")
+    both = stored(edges.filter("u <> v").select(ways).select("way.u", "way.v").distinct())
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
     small = F.broadcast if labels.count() <= BROADCAST_ROWS else lambda x: x
     while True:

@@ -406,11 +406,16 @@ def _to_hubs(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _compare(key: tuple[pa.Scalar, ...], block: pa.Table, percent: int) -> pa.Table:
-    """Links between components of a block: of two components no more than one, so that there are fewer links than sets."""
-    node, component, part = (block[c].to_numpy().copy() for c in ("node", "component", "part"))
+    """Links between components of a block: of two components no more than one, so that there are fewer links than sets.
+
+    The rows are sorted, since which links these are depends on their order, and a task that runs again may get them in another one.
+    """
+    order = np.lexsort((block["member"].to_numpy(), block["node"].to_numpy()))
+    node, component, part = (block[c].to_numpy()[order] for c in ("node", "component", "part"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in block["shingles"].chunks for x in c]
+    bits = np.array(block["bits"].combine_chunks().values, np.int64).view(np.uint64).reshape(len(sets), BITMAP)[order]
+    sets = [sets[k] for k in order]
     size = np.array([len(x) for x in sets])
-    bits = np.array(block["bits"].combine_chunks().values, np.int64).view(np.uint64).reshape(len(sets), BITMAP)
     apart = key[1] != key[2]
     found = []
     for i in range(len(sets) - 1):
@@ -435,7 +440,7 @@ def _within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sizes = rows.join(sets.select("member", "node", F.octet_length("shingles").alias("bytes")), ["member", "node"]).groupBy("f").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
     sizes = sizes.select("f", F.expr(f"cast(greatest(ceil(bytes / {BLOCK_BYTES}), ceil(n / {BLOCK_ROWS})) as int)").alias("parts"))
     dealt = whole.join(sizes, "f").withColumn("part", F.pmod(F.xxhash64("member", "node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = dealt.select("f", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "component", "part", "bits", "shingles")
+    blocks = dealt.select("f", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "member", "node", "component", "part", "bits", "shingles")
     return blocks.groupBy("f", "i", "j").applyInArrow(lambda key, block: _compare(key, block, percent), "u long, v long")
 
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,33 @@ def test_near_duplicates_of_drifting_copies(spark, monkeypatch, block, number):
     assert len({c for _, c in got.values()}) > 20
 
 
+def test_links_of_a_block_in_any_order_of_its_rows():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    rows = []
+    for k in range(40):  # copies that all link with each other: which links come out is a choice
+        h = np.sort(np.concatenate((base[: 99 - k % 5], rng.integers(0, 2**63, 1).astype(np.uint64))))
+        parity = np.bincount((h % np.uint64(512)).astype(np.int64), minlength=512) & 1
+        rows.append({"member": 900 - k, "node": k // 2, "component": k // 2, "part": k // 2 % 2, "bits": np.packbits(parity.astype(np.uint8)).view(np.int64).tolist(), "shingles": h.tobytes()})
+    for other in (0, 1):  # within a block, and between two
+        key = pa.scalar(7), pa.scalar(0), pa.scalar(other)
+        found = [sorted(zip(*setjoin._compare(key, pa.Table.from_pylist([rows[k] for k in order]), 80).to_pydict().values())) for order in [range(40), *(rng.permutation(40) for _ in range(5))]]
+        assert len(found[0]) == 19
+        assert all(f == found[0] for f in found)
+
+
+def test_components_of_edges_that_change_when_evaluated_again(spark):
+    def turned(rows):  # as links between components are, when a task gets its rows in another order
+        for b in rows:
+            u, v = b.column("u").to_numpy(), b.column("v").to_numpy()
+            turn = np.random.default_rng().integers(0, 2, len(u)) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(turn, v, u)), pa.array(np.where(turn, u, v))], ["u", "v"])
+
+    edges = spark.range(1, 200).selectExpr("id div 50 * 1000 as u", "1000 * (id div 50) + id as v").mapInArrow(turned, "u long, v long")
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert got == {k // 50 * 1000 + x: k // 50 * 1000 for k in range(1, 200) for x in (0, k)}
+
+
 def test_near_duplicates_edges(spark):
     none = docs_of(spark, [(1, "a")]).limit(0)
     assert setjoin.near_duplicates(none).count() == 0
